@@ -1,0 +1 @@
+"""Incremental ingest of monthly activity drops (Structured Streaming)."""

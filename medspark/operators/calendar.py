@@ -4,12 +4,18 @@ Gap filling follows ``as_tsibble(key, index) |> fill_gaps(v = 0, .full = TRUE)``
 every observed key gets every month from the global first month to the global
 last month, new months get the fill value.
 
-Plan shape: the input is first reduced to one row per (key, month) - a partial
-+ final hash aggregate, so a hot key is pre-aggregated before its shuffle.
-Each key's months (at most the calendar length) are then gathered into a
-map, and the calendar is generated per key with ``sequence`` from the two
-global bounds, which are scalar subqueries (no cross join, no calendar
-table, no second shuffle for a key x month join).
+Plan shape
+1. The input is reduced to one row per (key, month) - a partial + final hash
+   aggregate, so even a key holding a third of all rows is pre-aggregated
+   before its shuffle.
+2. One ``groupBy(key)`` gathers each key's observed months - at most the
+   calendar length, whatever the raw row count - as a month-sorted list.
+3. The dense array is assembled from that sparse list: per observed month,
+   the zeros of the gap before it plus its value (``zip_with`` + ``flatten``),
+   then trailing zeros.  Work per key is proportional to its OBSERVED months,
+   not to the calendar; the calendar bounds are scalar subqueries (no cross
+   join, no calendar table, no key x month join).
+4. The long form is ``posexplode`` of the dense array.
 """
 
 from __future__ import annotations
@@ -38,14 +44,44 @@ def calendar_bounds(df: DataFrame, month_col: str) -> tuple[Column, Column]:
     return df.agg(F.min(month_col)).scalar(), df.agg(F.max(month_col)).scalar()
 
 
-def _month_maps(df: DataFrame, keys: list[str], month_col: str, value: str) -> DataFrame:
-    # one entry per month of the key: bounded by the calendar length
-    return df.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(month_col), F.col(value)))).alias("_by_month"))
+def _dense(df: DataFrame, keys: list[str], month_col: str, value: str, fill) -> tuple[DataFrame, Column]:
+    """Per key: ``_dense`` array over the global calendar, plus the first month."""
+    lo, hi = calendar_bounds(df, month_col)
+    idx = F.months_between(F.col(month_col), lo).cast("int")
+    sparse = (df.select(*keys, idx.alias("i"), F.col(value).alias("v"))
+              .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_s"))
+              .withColumn("_n", F.months_between(hi, lo).cast("int") + 1))
+    fill_col = F.lit(fill)
+    if fill is None:
+        fill_col = fill_col.cast(dict(df.dtypes)[value])
+    prev = F.concat(F.array(F.lit(-1)), F.slice(F.col("_s.i"), 1, F.size("_s") - 1))
+    pieces = F.zip_with("_s", prev, lambda e, p: F.concat(F.array_repeat(fill_col, e["i"] - p - 1),
+                                                          F.array(e["v"])))
+    tail = F.array_repeat(fill_col, F.col("_n") - 1 - F.element_at(F.col("_s.i"), -1))
+    dense = sparse.select(*keys, "_s", F.concat(F.flatten(pieces), tail).alias("_dense"))
+    return dense, lo
+
 
+def trend_array(df: DataFrame, keys: str | Sequence[str], month_col: str, value: str,
+                out: str = "trend", fill: float = 0.0, total: str | None = None,
+                n_positive: str | None = None) -> DataFrame:
+    """R6 + A18: one row per key with the month-ordered, gap-filled value array.
 
-def _months(lo: Column, hi: Column) -> Column:
-    return F.sequence(lo, hi, F.expr("INTERVAL 1 MONTH"))
+    ``df`` must hold at most one row per (key, month); use ``monthly_sum``.
+    Optional ``total`` (X19, the array's sum) and ``n_positive`` (X20, its
+    count of entries > 0) are computed from the observed months only - the
+    filled zeros add nothing to either.
+    """
+    keys = _cols(keys)
+    if fill != 0.0 and (total or n_positive):
+        raise ValueError("total / n_positive from the sparse months need fill = 0")
+    dense, _ = _dense(df, keys, month_col, value, fill)
+    extra = []
+    if total:
+        extra.append(F.aggregate("_s.v", F.lit(0.0), lambda a, x: a + x).alias(total))
+    if n_positive:
+        extra.append(F.size(F.filter("_s.v", lambda x: x > 0)).alias(n_positive))
+    return dense.select(*keys, F.col("_dense").alias(out), *extra)
 
 
 def fill_calendar(df: DataFrame, keys: str | Sequence[str], month_col: str, value: str,
@@ -56,24 +92,9 @@ def fill_calendar(df: DataFrame, keys: str | Sequence[str], month_col: str, valu
     ``fill=None`` leaves new months missing (input for ``locf``).
     """
     keys = _cols(keys)
-    lo, hi = calendar_bounds(df, month_col)
-    looked_up = F.try_element_at(F.col("_by_month"), F.col(month_col))
-    filled = looked_up if fill is None else F.coalesce(looked_up, F.lit(fill))
-    return (_month_maps(df, keys, month_col, value)
-            .select(*keys, F.explode(_months(lo, hi)).alias(month_col), "_by_month")
-            .select(*keys, month_col, filled.alias(value)))
-
-
-def trend_array(df: DataFrame, keys: str | Sequence[str], month_col: str, value: str,
-                out: str = "trend", fill: float = 0.0) -> DataFrame:
-    """R6 + A18: one row per key with the month-ordered, gap-filled value array."""
-    keys = _cols(keys)
-    lo, hi = calendar_bounds(df, month_col)
-    # the calendar is projected first: a subquery may not sit inside a lambda
-    arr = F.transform("_months", lambda m: F.coalesce(F.try_element_at(F.col("_by_month"), m), F.lit(fill)))
-    return (_month_maps(df, keys, month_col, value)
-            .select(*keys, "_by_month", _months(lo, hi).alias("_months"))
-            .select(*keys, arr.alias(out)))
+    dense, lo = _dense(df, keys, month_col, value, fill)
+    return (dense.select(*keys, F.posexplode("_dense").alias("_pos", value))
+            .select(*keys, F.add_months(lo, F.col("_pos")).alias(month_col), value))
 
 
 def ordered_list(df: DataFrame, keys: str | Sequence[str], order: str, value: str,
@@ -86,4 +107,4 @@ def ordered_list(df: DataFrame, keys: str | Sequence[str], order: str, value: st
     keys = _cols(keys)
     return (df.groupBy(*keys)
             .agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(value)))).alias("_s"))
-            .select(*keys, F.transform("_s", lambda s: s[value]).alias(out)))
+            .select(*keys, F.col("_s").getField(value).alias(out)))

@@ -13,23 +13,42 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medspark.operators.joins import anti_join, semi_join
+from medspark.operators.joins import anti_join, broadcast_if_small, semi_join
 
 # Above this many patterns a wildcard filter becomes a semi join against a
 # broadcast pattern table instead of one long OR chain.
 MAX_INLINE_PATTERNS = 64
 
 
-def in_codelist(df: DataFrame, col: str, codes: DataFrame | Sequence, code_col: str | None = None) -> DataFrame:
+# A codelist table with at most this many codes is broadcast after a count.
+MAX_BROADCAST_CODES = 2_000_000
+
+
+def _codes_side(codes: DataFrame, code_col: str, max_rows: int) -> DataFrame:
+    """The codelist's key column, broadcast when a bounded count proves it small.
+
+    The hint matters beyond the join itself: Catalyst pushes a left-semi/anti
+    join below an aggregate only when the join can be a broadcast join, so a
+    small codelist then filters the raw fact rows at the scan, before the
+    aggregate's shuffle.  Larger codelists stay a shuffle join.
+    """
+    return broadcast_if_small(codes.select(code_col), max_rows)
+
+
+def in_codelist(df: DataFrame, col: str, codes: DataFrame | Sequence, code_col: str | None = None,
+                max_broadcast_rows: int = MAX_BROADCAST_CODES) -> DataFrame:
     """Keep rows whose code is in the codelist (NULL never matches)."""
     if isinstance(codes, DataFrame):
-        return semi_join(df, codes, {col: code_col or col})
+        code_col = code_col or col
+        return semi_join(df, _codes_side(codes, code_col, max_broadcast_rows), {col: code_col})
     return df.where(F.col(col).isin(list(codes)))
 
 
-def not_in_codelist(df: DataFrame, col: str, codes: DataFrame, code_col: str | None = None) -> DataFrame:
+def not_in_codelist(df: DataFrame, col: str, codes: DataFrame, code_col: str | None = None,
+                    max_broadcast_rows: int = MAX_BROADCAST_CODES) -> DataFrame:
     """Keep rows whose code is absent; NA is a value here."""
-    return anti_join(df, codes, {col: code_col or col}, null_safe=True)
+    code_col = code_col or col
+    return anti_join(df, _codes_side(codes, code_col, max_broadcast_rows), {col: code_col}, null_safe=True)
 
 
 def contains_any(col: Column | str, patterns: Sequence[str]) -> Column:

@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from medspark.functions.scalars import parse_digits_date, replace_first, snake_case_names, title_case
 from medspark.functions.semantics import explicit_missing
 from medspark.operators.joins import anti_join
 
@@ -46,6 +47,15 @@ AREA_OVERRIDES_OLDER: dict[str, str] = {
     "RJF": "QJ2",
     "RR1": "QHL",
 }
+# Column names of the headerless organisation register file, in file order
+# (positions 13-17, 19-21, 23 and 25-27 are not used and are dropped).
+REGISTER_COLUMNS: list[str] = [
+    "Organisation Code", "Name", "National Grouping", "High Level Health Geography",
+    "Address Line 1", "Address Line 2", "Address Line 3", "Address Line 4", "Address Line 5",
+    "Postcode", "Open Date", "Close Date", "DROP_1", "DROP_2", "DROP_3", "DROP_4", "DROP_5",
+    "Contact Telephone Number", "DROP_6", "DROP_7", "DROP_8", "Amended Record Indicator",
+    "DROP_9", "GOR Code", "DROP_10", "DROP_11", "DROP_12",
+]
 # Organisation code -> display name for two merged organisations.
 NAME_OVERRIDES: dict[str, str] = {
     "RM2": "UNIVERSITY HOSPITAL OF SOUTH MANCHESTER NHS FOUNDATION TRUST",
@@ -109,3 +119,30 @@ def area_coverage(register: DataFrame, area_map: DataFrame, key: str = "stp_code
     joined to the area names; NA codes form their own group."""
     counts = first_per_group(register, key, code_col, [code_col, name_col])
     return counts.join(area_map, counts[key].eqNullSafe(area_map[key]), "left").drop(area_map[key])
+
+
+def register_names() -> list[str]:
+    """The register's column names in snake case."""
+    return snake_case_names(REGISTER_COLUMNS)
+
+
+def tidy_register(raw: DataFrame, area_overrides: Mapping | None = None) -> DataFrame:
+    """Q20: clean the raw organisation register.
+
+    Drops the unused columns, title-cases the name and then fixes only the
+    FIRST "Nhs" and the FIRST "And" (X1 X2), parses the ``yyyymmdd`` dates
+    (X3), renames the key columns (P3) and applies the area overrides (X12;
+    default: the older six rules).  ``raw`` has the snake-case column names
+    of ``register_names()``, all text.
+    """
+    overrides = AREA_OVERRIDES_OLDER if area_overrides is None else area_overrides
+    keep = [c for c in raw.columns if not c.startswith("drop") and c != "contact_telephone_number"]
+    name = replace_first(replace_first(title_case("name"), "Nhs", "NHS"), "And", "and")
+    df = raw.select(*keep).withColumns({
+        "name": name,
+        "open_date": parse_digits_date("open_date"),
+        "close_date": parse_digits_date("close_date"),
+        "amended_record_indicator": F.col("amended_record_indicator").cast("int"),
+    }).withColumnsRenamed({"national_grouping": "region_code", "high_level_health_geography": "stp_code",
+                           "organisation_code": "ods_code", "name": "ods_name"})
+    return apply_override(df, "ods_code", "stp_code", overrides) if overrides else df

@@ -387,7 +387,7 @@ def _q_moiety_ddd_trend(spark, d):
 
 
 def _trend_text(df):
-    return df.withColumn("trend", F.array_join(F.transform("trend", lambda x: x.cast("bigint").cast("string")), ","))
+    return df.withColumn("trend", F.array_join(F.col("trend").cast("array<bigint>").cast("array<string>"), ","))
 
 
 def _q_trend_array(spark, d):

@@ -45,15 +45,17 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, header: b
 
 
 def read_csv_positional(spark: SparkSession, path: str, names: Sequence[str], keep: int | None = None,
-                        null_value: str = "NA", blank_is_missing: bool = True) -> DataFrame:
+                        null_value: str = "NA", blank_is_missing: bool = True,
+                        mode: str = "PERMISSIVE") -> DataFrame:
     """Headerless CSV, columns named by position, optionally only the first ``keep``.
 
     All columns are read as text (the register files hold codes and
-    ``yyyymmdd`` dates); callers cast what they need.
+    ``yyyymmdd`` dates); callers cast what they need.  PERMISSIVE by default:
+    a file may carry fewer trailing columns than names (they read as NULL).
     """
     schema = StructType([StructField(n, StringType(), True) for n in names])
     df = read_csv(spark, path, schema, header=False, null_value=null_value,
-                  blank_is_missing=blank_is_missing)
+                  blank_is_missing=blank_is_missing, mode=mode)
     return df.select(*names[:keep]) if keep else df
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medspark.functions.scalars import month_start
+from medspark.operators.windows import stable
 
 
 def _cols(cs: str | Sequence[str]) -> list[str]:
@@ -44,8 +45,16 @@ def calendar_bounds(df: DataFrame, month_col: str) -> tuple[Column, Column]:
     return df.agg(F.min(month_col)).scalar(), df.agg(F.max(month_col)).scalar()
 
 
-def _dense(df: DataFrame, keys: list[str], month_col: str, value: str, fill) -> tuple[DataFrame, Column]:
-    """Per key: ``_dense`` array over the global calendar, plus the first month."""
+def _dense(df: DataFrame, keys: list[str], month_col: str, value: str, fill,
+           materialise: bool) -> tuple[DataFrame, Column]:
+    """Per key: ``_dense`` array over the global calendar, plus the first month.
+
+    The input feeds two branches (global bounds, per-key gather); with
+    ``materialise`` it is checkpointed once so the upstream plan (e.g. a scan
+    and aggregate of the fact table) is not executed per branch.
+    """
+    if materialise:
+        df = stable(df.select(*keys, month_col, value))
     lo, hi = calendar_bounds(df, month_col)
     idx = F.months_between(F.col(month_col), lo).cast("int")
     sparse = (df.select(*keys, idx.alias("i"), F.col(value).alias("v"))
@@ -64,7 +73,7 @@ def _dense(df: DataFrame, keys: list[str], month_col: str, value: str, fill) ->
 
 def trend_array(df: DataFrame, keys: str | Sequence[str], month_col: str, value: str,
                 out: str = "trend", fill: float = 0.0, total: str | None = None,
-                n_positive: str | None = None) -> DataFrame:
+                n_positive: str | None = None, materialise: bool = True) -> DataFrame:
     """R6 + A18: one row per key with the month-ordered, gap-filled value array.
 
     ``df`` must hold at most one row per (key, month); use ``monthly_sum``.
@@ -75,7 +84,7 @@ def trend_array(df: DataFrame, keys: str | Sequence[str], month_col: str, value:
     keys = _cols(keys)
     if fill != 0.0 and (total or n_positive):
         raise ValueError("total / n_positive from the sparse months need fill = 0")
-    dense, _ = _dense(df, keys, month_col, value, fill)
+    dense, _ = _dense(df, keys, month_col, value, fill, materialise)
     extra = []
     if total:
         extra.append(F.aggregate("_s.v", F.lit(0.0), lambda a, x: a + x).alias(total))
@@ -85,14 +94,14 @@ def trend_array(df: DataFrame, keys: str | Sequence[str], month_col: str, value:
 
 
 def fill_calendar(df: DataFrame, keys: str | Sequence[str], month_col: str, value: str,
-                  fill: float | None = 0.0) -> DataFrame:
+                  fill: float | None = 0.0, materialise: bool = True) -> DataFrame:
     """Long form, one row per observed key and calendar month.
 
     ``df`` must hold at most one row per (key, month); use ``monthly_sum``.
     ``fill=None`` leaves new months missing (input for ``locf``).
     """
     keys = _cols(keys)
-    dense, lo = _dense(df, keys, month_col, value, fill)
+    dense, lo = _dense(df, keys, month_col, value, fill, materialise)
     return (dense.select(*keys, F.posexplode("_dense").alias("_pos", value))
             .select(*keys, F.add_months(lo, F.col("_pos")).alias(month_col), value))
 

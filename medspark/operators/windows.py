@@ -63,19 +63,25 @@ def locf(df: DataFrame, value: str, keys: str | Sequence[str], order: str, out:
     return df.withColumn(out or value, F.last(value, ignorenulls=True).over(w))
 
 
-def minmax_scale(df: DataFrame, value: str, out: str) -> DataFrame:
-    """``(v - min) / (max - min)`` with the bounds as scalar subqueries."""
-    lo = df.agg(F.min(value)).scalar()
-    hi = df.agg(F.max(value)).scalar()
-    return df.withColumn(out, safe_div(F.col(value) - lo, hi - lo))
+def minmax_scale(df: DataFrame, value: str, out: str, materialise: bool = True) -> DataFrame:
+    """``(v - min) / (max - min)`` with the bounds as one scalar subquery.
+
+    The input is checkpointed first (``materialise``) so the bounds and the
+    rows come from one execution of its plan.
+    """
+    base = stable(df) if materialise else df
+    b = base.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
+    return base.withColumn(out, safe_div(F.col(value) - b["lo"], b["hi"] - b["lo"]))
 
 
 def stable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared checkpoint folder.
 
-    Used where one result feeds two branches that must see bit-identical
-    doubles (a sum of doubles may differ in its last bit when recomputed in
-    another order).  ``checkpoint`` survives executor loss, unlike a cache.
+    Used where one result feeds two branches: both then read the same files,
+    so the upstream plan (often a scan and aggregate of the fact table) runs
+    once, and both branches see bit-identical doubles (a sum of doubles may
+    differ in its last bit when recomputed in another order).  The lineage is
+    cut, and unlike a cache the checkpoint survives executor loss.
     """
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -119,14 +125,15 @@ def global_dense_rank(df: DataFrame, value: str, out: str = "rank", descending:
     return base.join(ranks, value, "left")
 
 
-def top_n_groups(df: DataFrame, value: str, n: int, out: str = "rank") -> DataFrame:
+def top_n_groups(df: DataFrame, value: str, n: int, out: str = "rank", materialise: bool = True) -> DataFrame:
     """O4 (W4 + F9): rows whose value is among the ``n`` largest distinct values.
 
     Ties share a rank and every row of a kept group is kept.  Only ``n``
     distinct values are ever ranked on one task (a top-k report), and the
     broadcast back is bounded by ``n`` rows.  NULL values are never kept.
+    ``materialise=False`` when ``df`` is already read from a checkpoint.
     """
-    base = stable(df)
+    base = stable(df) if materialise else df
     top = (base.select(value).where(F.col(value).isNotNull()).distinct()
            .orderBy(F.col(value).desc()).limit(n))
     ranked = top.withColumn(out, F.dense_rank().over(Window.orderBy(F.col(value).desc())))

@@ -3,9 +3,14 @@
 Every entry reads the test tables (through the views of
 ``medspark.sources.testdata``) over their whole extent.  For each query the
 Spark builder and the DuckDB SQL are written next to each other with the same
-output column names.  Output rounding follows the measured rules of
-SURVEY 7.3: row-level values unrounded, sums of doubles rounded to 8 digits,
-shares to 6 digits, integer-valued sums unrounded.
+output column names.
+
+Numbers: row-level values are unrounded (both engines compute them with the
+same IEEE operations).  Daily-dose volumes are summed as fixed-point BIGINT
+micro-DDD (``volume_units``), so every total, share, running position and
+rank key is exact and independent of summation order, partitioning or
+retries; outputs divide by 1e6.  Only results of inexact steps (means,
+interpolated percentiles) are rounded, to 6 or 8 digits.
 
 Where the source analyses use R's strict sum (N1) and that would leave nearly
 every group of the mapped tables NULL (one product in five has no DDD), the

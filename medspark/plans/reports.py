@@ -25,7 +25,7 @@ from medspark.operators.joins import join_left
 from medspark.operators.organisations import apply_override
 from medspark.operators.reshape import pivot_one, unpivot_longer
 from medspark.operators.quality import percentiles_by
-from medspark.operators.windows import share_of_group, stacked_midpoint, top_n_groups
+from medspark.operators.windows import share_of_group, stable, stacked_midpoint, top_n_groups
 
 
 def _cols(cs: str | Sequence[str]) -> list[str]:
@@ -88,8 +88,9 @@ def top_groups(shares: DataFrame, group: str | Sequence[str], n: int = 20, total
     the ``n`` largest (dense rank, ties kept).  Totals are ranked on their
     value rounded to ``key_digits`` so float noise cannot split a tie."""
     group = _cols(group)
+    shares = stable(shares)  # one execution of the upstream plan feeds both branches
     groups = shares.groupBy(*group).agg(F.round(F.max(total), key_digits).alias("_rank_key"))
-    kept = top_n_groups(groups, "_rank_key", n, rank).drop("_rank_key")
+    kept = top_n_groups(groups, "_rank_key", n, rank, materialise=False).drop("_rank_key")
     return join_left(shares, kept, group, null_safe=True, how="inner")
 
 

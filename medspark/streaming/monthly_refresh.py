@@ -1,0 +1,59 @@
+"""Incremental ingest of monthly activity drops (the monthly-refresh step).
+
+New raw activity files (one row per issue line) arrive in a folder.  A
+Structured Streaming query picks them up with an explicit schema and, per
+micro-batch, writes the partial monthly aggregate (A1: sum of quantity per
+month, organisation and product) below ``<target>/batch=<id>``, partitioned
+by month.  Writing a batch with ``overwrite`` into its own folder makes a
+retried batch idempotent; the stream's checkpoint records which files are done.
+Because the aggregate is a sum, readers add the partial aggregates again
+(``read_activity``), which also merges a month that arrived in two drops.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
+
+from medspark.functions.scalars import month_start
+
+KEYS = ("year_month", "ods_code", "vmp_code")
+
+
+def monthly_partial(batch: DataFrame, date_col: str, org_col: str, product_col: str, value: str) -> DataFrame:
+    """A1 on one batch of raw rows (partial + final hash aggregate)."""
+    return (batch.groupBy(month_start(date_col).alias("year_month"), F.col(org_col).alias("ods_code"),
+                          F.col(product_col).alias("vmp_code"))
+            .agg(F.sum(value).alias("total_quantity")))
+
+
+def start_ingest(spark: SparkSession, source_dir: str, schema: StructType | str, target_dir: str,
+                 checkpoint_dir: str, *, date_col: str, org_col: str, product_col: str, value: str,
+                 file_format: str = "parquet", max_files_per_trigger: int | None = None,
+                 available_now: bool = True) -> StreamingQuery:
+    """Start the stream; ``available_now`` processes what is there and stops."""
+    reader = spark.readStream.schema(schema).format(file_format)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    raw = reader.load(source_dir)
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        (monthly_partial(batch, date_col, org_col, product_col, value)
+         .write.mode("overwrite").partitionBy("year_month").parquet(f"{target_dir}/batch={batch_id}"))
+
+    writer = raw.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 hour")
+    return writer.start()
+
+
+def read_activity(spark: SparkSession, target_dir: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The ingested activity: partial aggregates of all batches summed again.
+
+    ``year_month`` is a partition column, so a month filter prunes folders.
+    """
+    parts = spark.read.option("basePath", target_dir).parquet(f"{target_dir}/batch=*")
+    return parts.groupBy(*keys).agg(F.sum("total_quantity").alias("total_quantity"))

@@ -11,9 +11,20 @@ Every division is ANSI-safe: a zero divisor gives NULL rather than an error
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# --- fixed values -----------------------------------------------------------
+# Milligrams per defined daily dose by moiety, for the biologic medicines whose
+# DDD is looked up by moiety rather than by product.
+MOIETY_MG_PER_DDD: list[tuple[str, float]] = [
+    ("Omalizumab", 16.0),
+    ("Mepolizumab", 3.6),
+    ("Reslizumab", 7.1),
+    ("Benralizumab", 0.54),
+]
+# ---------------------------------------------------------------------------
+
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -37,3 +48,9 @@ def volume_mg(quantity: Column | str, udfs: Column | str, numerator: Column | st
 def volume_ddd(quantity: Column | str, udfs: Column | str, numerator: Column | str,
                denominator: Column | str, ddd: Column | str) -> Column:
     return F.try_divide(volume_mg(quantity, udfs, numerator, denominator), _c(ddd))
+
+
+def moiety_ddd_table(spark: SparkSession, rows: list[tuple[str, float]] | None = None) -> DataFrame:
+    """``(vtmnm, mg_per_ddd)`` as a broadcast inline lookup."""
+    data = MOIETY_MG_PER_DDD if rows is None else rows
+    return F.broadcast(spark.createDataFrame(data, "vtmnm string, mg_per_ddd double"))

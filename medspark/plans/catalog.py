@@ -336,6 +336,23 @@ def _q_dose_volume(spark, d):
     return td.dose_columns(spark, d)
 
 
+def _q_dose_volume_fact(spark, d):
+    prod = td.products(spark, d)
+    dictionary = prod.select(F.col("vmp_code").alias("vmp_snomed_code"), F.col("vmp_name").alias("vmp_product_name"),
+                             "vtmnm", "udfs", F.col("nmr").alias("strnt_nmrtr_val"),
+                             F.col("dnm").alias("strnt_dnmtr_val"))
+    act = (td.activity(spark, d).join(prod.select("vmp_code", "vmp_name"), "vmp_code", "left")
+           .withColumnsRenamed({"vmp_code": "vmp_snomed_code", "vmp_name": "vmp_product_name"}))
+    ddds = prod.groupBy(F.col("vmp_name").alias("nm")).agg(F.min("ddd").alias("ddd"))
+    return reports.dose_volume_fact(act, td.orgs(spark, d), dictionary, ddds, area_overrides=TD_AREA_OVERRIDES)
+
+
+def _q_dictionary_view(spark, d):
+    dictionary = td.products(spark, d)
+    return reports.dictionary_view(dictionary, _codelist(spark, d), "vmp_code",
+                                   ["vmp_code", "vtmnm", "udfs", "nmr", "dnm", "ddd"])
+
+
 def _q_national_trend(spark, d):
     return _to_ddd(reports.national_trend(td.volume(spark, d), value="volume_units", na_rm=False))
 
@@ -624,6 +641,23 @@ CATALOG: dict[str, Query] = {
                          "(act.total_quantity / prod.udfs) * CASE WHEN prod.dnm IS NULL THEN prod.nmr "
                          "ELSE prod.nmr * (prod.udfs / prod.dnm) END / NULLIF(prod.ddd, 0) AS volume_ddd "
                          "FROM act LEFT JOIN prod ON act.vmp_code = prod.vmp_code", "Q5 X10 X11"),
+    "dose_volume_fact": Query(_q_dose_volume_fact,
+                              f"{V}, named AS (SELECT act.year_month, act.ods_code, act.vmp_code AS vmp_snomed_code, "
+                              "prod.vmp_name AS vmp_product_name, act.total_quantity FROM act LEFT JOIN prod ON "
+                              f"act.vmp_code = prod.vmp_code),\nreg AS (SELECT ods_code, ods_name, {AREA_CASE_SQL} AS "
+                              "stp_code FROM orgs),\nbyname AS (SELECT vmp_name AS nm, MIN(ddd) AS ddd FROM prod GROUP "
+                              "BY 1)\nSELECT n.*, reg.ods_name, reg.stp_code, p.vtmnm, p.udfs, p.nmr AS strnt_nmrtr_val, "
+                              "p.dnm AS strnt_dnmtr_val, b.ddd, n.total_quantity / p.udfs AS volume_singles, "
+                              "(n.total_quantity / p.udfs) * CASE WHEN p.dnm IS NULL THEN p.nmr ELSE p.nmr * (p.udfs / "
+                              "p.dnm) END AS volume_mg_strength, (n.total_quantity / p.udfs) * CASE WHEN p.dnm IS NULL "
+                              "THEN p.nmr ELSE p.nmr * (p.udfs / p.dnm) END / NULLIF(b.ddd, 0) AS volume_ddd FROM named n "
+                              "LEFT JOIN reg ON n.ods_code = reg.ods_code LEFT JOIN prod p ON n.vmp_snomed_code = "
+                              "p.vmp_code AND n.vmp_product_name = p.vmp_name LEFT JOIN byname b ON n.vmp_product_name = "
+                              "b.nm", "Q5 J4 J5 J6 X11 X12"),
+    "dictionary_view": Query(_q_dictionary_view,
+                             f"{V}\nSELECT DISTINCT vmp_code, vtmnm, udfs, nmr, dnm, ddd FROM prod WHERE vmp_code IN "
+                             f"(SELECT p_partkey FROM part WHERE p_brand IN ({_sql_list(CODELIST_BRANDS)}))",
+                             "Q4 F1 A12 P1"),
     "national_trend": Query(_q_national_trend,
                             f"{V}\nSELECT year_month, vtmnm, {_strict_sql('volume_units')} / 1e6 AS volume_ddd "
                             "FROM vol GROUP BY 1, 2", "Q6 A2 N1"),

@@ -18,9 +18,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from medspark.functions.dose import strength_per_single, volume_singles
 from medspark.functions.semantics import (agg_sum, explicit_missing, safe_div, sum_strict,
                                           window_sum)
 from medspark.operators.calendar import trend_array
+from medspark.operators.codelists import in_codelist
 from medspark.operators.joins import join_left
 from medspark.operators.organisations import apply_override
 from medspark.operators.reshape import pivot_one, unpivot_longer
@@ -45,6 +47,47 @@ def with_areas(df: DataFrame, orgs: DataFrame, areas: DataFrame, org_key: str =
     return df.join(reg, org_key, "left").join(areas, area_key, "left")
 
 
+def dose_volume_fact(activity: DataFrame, register: DataFrame, dictionary: DataFrame, ddds: DataFrame,
+                     codes: DataFrame | Sequence | None = None, *, code: str = "vmp_snomed_code",
+                     name: str = "vmp_product_name", quantity: str = "total_quantity",
+                     org_key: str = "ods_code", area_overrides: Mapping | DataFrame | None = None,
+                     ddd_by: Mapping[str, str] | str | None = None, ddd_col: str = "ddd") -> DataFrame:
+    """Q5 (A1 F1 J4 X12 J5 J6 X11): activity in daily doses.
+
+    Activity (optionally restricted to a codelist) gets the organisation's
+    name and area code from the register (area overrides applied), the
+    dictionary row by product code AND name (J5), and the DDD by product name
+    (J6, ``{name: "nm"}``) or by moiety (``"vtmnm"``); ``ddd_col`` names the
+    lookup's value column.  Adds
+    ``volume_singles``, ``volume_mg_strength`` and ``volume_ddd`` (X11).
+    The dictionary may fan out (one row per ingredient), as in the source.
+    """
+    act = activity if codes is None else in_codelist(activity, code, codes)
+    reg = register.select(org_key, "ods_name", "stp_code")
+    if area_overrides is not None:
+        reg = apply_override(reg, org_key, "stp_code", area_overrides)
+    named = act.join(reg, org_key, "left")
+    enriched = join_left(named, dictionary, [code, name])
+    by = ddd_by if ddd_by is not None else {name: "nm"}
+    with_ddd = join_left(enriched, ddds, by)
+    singles = volume_singles(quantity, "udfs")
+    mg = singles * strength_per_single("udfs", "strnt_nmrtr_val", "strnt_dnmtr_val")
+    return with_ddd.withColumns({"volume_singles": singles, "volume_mg_strength": mg,
+                                 "volume_ddd": F.try_divide(mg, F.col(ddd_col))})
+
+
+def dictionary_view(dictionary: DataFrame, codes: DataFrame | Sequence, code: str, columns: Sequence[str]) -> DataFrame:
+    """Q4 (F1 P1 A12): the distinct dictionary rows of the selected products."""
+    return in_codelist(dictionary, code, codes).select(*columns).distinct()
+
+
+def subtotals(df: DataFrame, groups: Sequence[str], value: str, out: str | None = None,
+              level: str = "grp") -> DataFrame:
+    """Sums per group with subtotals for every prefix of ``groups`` and
+    the grand total (``ROLLUP``); ``level`` is the grouping id (0 = detail)."""
+    return df.rollup(*groups).agg(F.sum(value).alias(out or value), F.grouping_id().alias(level))
+
+
 # --- trends ----------------------------------------------------------------------
 
 def national_trend(df: DataFrame, month: str = "year_month", moiety: str = "vtmnm",

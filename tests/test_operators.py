@@ -331,3 +331,62 @@ def test_columns_helpers(spark):
     assert columns.with_constant(df, "src", None, "string").schema["src"].dataType.simpleString() == "string"
     with pytest.raises(ValueError):
         columns.require_columns(df, "missing")
+
+
+# --- dm+d dictionary and the dose-volume fact ----------------------------------------------
+
+def _dmd_tables(spark):
+    vmp = spark.createDataFrame([(1001, "Drug 100mg/5ml vial", 7, 1, 5.0, 30, 31, "0101"),
+                                 (1002, "Drug 50mg tablet", 7, 2, 1.0, 32, 32, None)],
+                                "id long, nm string, vtm int, df_ind int, udfs double, udfs_uom int, "
+                                "unit_dose_uom int, bnf_code string")
+    dform = spark.createDataFrame([(1001, 1), (1002, 2)], "vmp long, form int")
+    form = spark.createDataFrame([(1, "Solution for injection"), (2, "Tablet")], "cd int, descr string")
+    dfind = spark.createDataFrame([(1, "Discrete"), (2, "Continuous")], "cd int, descr string")
+    uom = spark.createDataFrame([(30, "ml"), (31, "vial"), (32, "tablet"), (40, "mg")], "cd int, descr string")
+    vpi = spark.createDataFrame([(1001, 100.0, 40, 5.0, 30), (1002, 50.0, 40, None, None)],
+                                "vmp long, strnt_nmrtr_val double, strnt_nmrtr_uom int, strnt_dnmtr_val double, "
+                                "strnt_dnmtr_uom int")
+    vtm = spark.createDataFrame([(7, "Drugmab")], "id int, nm string")
+    bnf = spark.createDataFrame([("0101", "Drug inj")], "presentation_code string, presentation string")
+    return vmp, dform, form, dfind, uom, vpi, vtm, bnf
+
+
+def test_product_dictionary_star(spark):
+    d = dictionary.product_dictionary(*_dmd_tables(spark))
+    got = {r["vmp_snomed_code"]: r for r in d.collect()}
+    assert set(got) == {"1001", "1002"}
+    r = got["1001"]
+    assert (r["form_descr"], r["df_descr"], r["udfs_descr"], r["unit_dose_descr"], r["strnt_nmrtr_uom"],
+            r["strnt_dnmtr_descr"], r["vtmnm"], r["bnf_presentation"]) == (
+        "Solution for injection", "Discrete", "ml", "vial", "mg", "ml", "Drugmab", "Drug inj")
+    assert got["1002"]["strnt_dnmtr_descr"] is None and got["1002"]["bnf_presentation"] is None
+    small = dictionary.product_dictionary(*_dmd_tables(spark), columns=["vmp_snomed_code", "vtmnm"])
+    assert small.columns == ["vmp_snomed_code", "vtmnm"]
+
+
+def test_dose_volume_fact_by_name_and_by_moiety(spark):
+    d = dictionary.product_dictionary(*_dmd_tables(spark))
+    act = spark.createDataFrame([(D(2020, 1, 1), "RQ6", "1001", "Drug 100mg/5ml vial", 50.0),
+                                 (D(2020, 1, 1), "RXX", "1002", "Drug 50mg tablet", 10.0)],
+                                "year_month date, ods_code string, vmp_snomed_code string, "
+                                "vmp_product_name string, total_quantity double")
+    reg = spark.createDataFrame([("RQ6", "Royal", "Q75")], "ods_code string, ods_name string, stp_code string")
+    ddds = spark.createDataFrame([("Drug 100mg/5ml vial", 20.0)], "nm string, ddd double")
+    out = {r["vmp_snomed_code"]: r for r in reports.dose_volume_fact(
+        act, reg, d, ddds, codes=["1001", "1002"], area_overrides=organisations.AREA_OVERRIDES).collect()}
+    # 50 ml / 5 ml per vial = 10 vials; 100 mg * (5/5) each = 1000 mg; / 20 mg per DDD = 50 DDD
+    assert out["1001"]["volume_singles"] == 10.0 and out["1001"]["volume_ddd"] == 50.0
+    assert out["1001"]["stp_code"] == "QYG" and out["1002"]["ods_name"] is None
+    assert out["1002"]["volume_mg_strength"] == 500.0 and out["1002"]["volume_ddd"] is None
+    by_moiety = reports.dose_volume_fact(act, reg, d, dose.moiety_ddd_table(spark, [("Drugmab", 10.0)]),
+                                         ddd_by="vtmnm", ddd_col="mg_per_ddd")
+    assert {r["vmp_snomed_code"]: r["volume_ddd"] for r in by_moiety.collect()} == {"1001": 100.0, "1002": 50.0}
+    view = reports.dictionary_view(d, ["1001"], "vmp_snomed_code", ["vmp_snomed_code", "vtmnm", "udfs"])
+    assert rows(view) == [("1001", "Drugmab", 5.0)]
+
+
+def test_subtotals_rollup_levels(spark):
+    df = spark.createDataFrame([("t1", "p1", 1.0), ("t1", "p2", 2.0), ("t2", "p1", 4.0)], "t string, p string, q double")
+    got = {(r["t"], r["p"]): (r["q"], r["grp"]) for r in reports.subtotals(df, ["t", "p"], "q").collect()}
+    assert got[("t1", None)] == (3.0, 1) and got[(None, None)] == (7.0, 3) and got[("t2", "p1")] == (4.0, 0)

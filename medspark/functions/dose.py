@@ -53,4 +53,5 @@ def volume_ddd(quantity: Column | str, udfs: Column | str, numerator: Column | s
 def moiety_ddd_table(spark: SparkSession, rows: list[tuple[str, float]] | None = None) -> DataFrame:
     """``(vtmnm, mg_per_ddd)`` as a broadcast inline lookup."""
     data = MOIETY_MG_PER_DDD if rows is None else rows
-    return F.broadcast(spark.createDataFrame(data, "vtmnm string, mg_per_ddd double"))
+    from medspark.sources.literals import literal_table
+    return F.broadcast(literal_table(spark, data, "vtmnm string, mg_per_ddd double"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medspark.operators.joins import anti_join, broadcast_if_small, semi_join
+from medspark.sources.literals import literal_table
 
 # Above this many patterns a wildcard filter becomes a semi join against a
 # broadcast pattern table instead of one long OR chain.
@@ -65,7 +66,7 @@ def filter_contains_any(df: DataFrame, col: str, patterns: Sequence[str]) -> Dat
     if len(patterns) <= MAX_INLINE_PATTERNS:
         return df.where(contains_any(col, patterns))
     spark = df.sparkSession
-    pats = F.broadcast(spark.createDataFrame([(p,) for p in patterns], "_pattern string"))
+    pats = F.broadcast(literal_table(spark, [(p,) for p in patterns], "_pattern string"))
     return df.join(pats, F.col(col).contains(F.col("_pattern")), "left_semi")
 
 
@@ -111,7 +112,7 @@ def exact_union_wildcard(exact: DataFrame, wildcard: DataFrame) -> DataFrame:
 def missing_names(spark: SparkSession, requested: Sequence[str], found: DataFrame,
                   found_col: str = "ingredient", out: str = "ingredient") -> DataFrame:
     """Requested names that the lookup did not find (anti join on the name)."""
-    req = F.broadcast(spark.createDataFrame([(n,) for n in dict.fromkeys(requested)], f"{out} string"))
+    req = F.broadcast(literal_table(spark, [(n,) for n in dict.fromkeys(requested)], f"{out} string"))
     return anti_join(req, found.select(F.col(found_col).alias(out)).distinct(), out, null_safe=False)
 
 

@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from medspark.functions.semantics import null_safe_condition
+from medspark.sources.literals import literal_table
 
 
 def literal_lookup(spark: SparkSession, rows: Sequence[tuple], schema: StructType | str) -> DataFrame:
     """An inline lookup table, broadcast (its size is fixed on the driver)."""
-    return F.broadcast(spark.createDataFrame(list(rows), schema))
+    return F.broadcast(literal_table(spark, rows, schema))
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:

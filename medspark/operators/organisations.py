@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from medspark.functions.scalars import parse_digits_date, replace_first, snake_case_names, title_case
 from medspark.functions.semantics import explicit_missing
 from medspark.operators.joins import anti_join
+from medspark.sources.literals import literal_table
 
 # --- fixed values -----------------------------------------------------------
 # Organisation code -> area (STP) code corrections for codes that the activity
@@ -67,8 +68,7 @@ NAME_OVERRIDES: dict[str, str] = {
 def override_table(spark: SparkSession, overrides: Mapping, key_type: str = "string",
                    value_type: str = "string") -> DataFrame:
     """A broadcast ``(_key, _value)`` table from a literal mapping."""
-    return F.broadcast(spark.createDataFrame(list(overrides.items()),
-                                             f"_key {key_type}, _value {value_type}"))
+    return F.broadcast(literal_table(spark, list(overrides.items()), f"_key {key_type}, _value {value_type}"))
 
 
 def apply_override(df: DataFrame, key: str, target: str, overrides: Mapping | DataFrame,

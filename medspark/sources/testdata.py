@@ -35,17 +35,33 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+# Declared schemas of the tables the views read: no schema-inference job per
+# read, and a file with a different layout fails instead of changing types.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": ("p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+             "p_retailprice double"),
+    "orders": ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+               "o_orderdate timestamp_ntz, o_orderpriority string"),
+    "lineitem": ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                 "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                 "l_linestatus string, l_shipdate timestamp_ntz"),
+}
 _TABLES: dict[tuple[int, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables.  The DataFrame (a lazy scan; listing and
-    footer reading happen once) is reused for the session, so a view built
-    from the same table several times does not re-list its files."""
+    """One of the driver's tables, read with its declared schema.  The
+    DataFrame (a lazy scan) is reused within the session, so a view built
+    from the same table several times does not list its files again."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     key = (id(spark._jsparkSession), path)
     if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(path)
+        reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+        _TABLES[key] = reader.parquet(path)
     return _TABLES[key]
 
 

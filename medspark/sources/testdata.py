@@ -215,3 +215,18 @@ VIEWS_SQL = ("WITH act AS (" + ACTIVITY_SQL + "),\nprod AS (" + PRODUCTS_SQL + "
              + "),\nareas AS (" + AREAS_SQL + "),\nccg_map AS (" + CCG_MAP_SQL + "),\ncommunity AS ("
              + COMMUNITY_SQL + "),\nlinks AS (" + LINKS_SQL + "),\nings AS (" + INGREDIENTS_SQL
              + "),\nvol AS (" + VOLUME_SQL + ")\n")
+
+
+VIEW_BUILDERS = {"act": activity, "prod": products, "orgs": orgs, "areas": areas, "ccg_map": ccg_map,
+                 "community": community, "links": ingredient_links, "ings": ingredients, "vol": volume}
+
+
+def register_views(spark: SparkSession, sf_dir: str, prefix: str = "") -> list[str]:
+    """Register the domain views as temporary views, so SQL text
+    (``spark.sql("SELECT ... FROM vol ...")``) runs on them lazily, as the
+    warehouse SQL strings did.  Returns the registered names."""
+    names = []
+    for name, build in VIEW_BUILDERS.items():
+        build(spark, sf_dir).createOrReplaceTempView(prefix + name)
+        names.append(prefix + name)
+    return names

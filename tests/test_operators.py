@@ -390,3 +390,12 @@ def test_subtotals_rollup_levels(spark):
     df = spark.createDataFrame([("t1", "p1", 1.0), ("t1", "p2", 2.0), ("t2", "p1", 4.0)], "t string, p string, q double")
     got = {(r["t"], r["p"]): (r["q"], r["grp"]) for r in reports.subtotals(df, ["t", "p"], "q").collect()}
     assert got[("t1", None)] == (3.0, 1) and got[(None, None)] == (7.0, 3) and got[("t2", "p1")] == (4.0, 0)
+
+
+def test_sql_over_registered_views(spark):
+    from medspark.sources import testdata as td
+    td.register_views(spark, "/root/testdata/sf0.001", prefix="t_")
+    sql = spark.sql("SELECT year_month, ods_code, vmp_code, SUM(total_quantity) AS total_quantity "
+                    "FROM t_act WHERE vmp_code IN (1, 2, 3) GROUP BY 1, 2, 3")
+    api = td.activity(spark, "/root/testdata/sf0.001").where(F.col("vmp_code").isin(1, 2, 3))
+    assert rows(sql) == rows(api.select(*sql.columns))

@@ -88,16 +88,43 @@ def column_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def percentiles_by(df: DataFrame, by: str | Sequence[str], value: str, probs: Sequence[float],
-                   names: Sequence[str], approx: bool = False, accuracy: int = 10000) -> DataFrame:
-    """Per group, quantiles with linear interpolation (R type 7, N14).
-
-    Exact ``percentile`` keeps the group's distinct values in its buffer, so it
-    is meant for inputs already reduced to one row per entity (e.g. one share
-    per organisation and month); ``approx=True`` uses ``percentile_approx``
-    with bounded memory for raw, unbounded groups.
+                   names: Sequence[str], method: str = "distributed", accuracy: int = 10000) -> DataFrame:
+    """Per group, quantiles with linear interpolation (R type 7, N14);
+    missing values are ignored.  One output row per group, one column per name.
+
+    ``method``:
+    * ``"distributed"`` (default) - exact, and no task ever holds a whole
+      group: the rows are globally sorted by (group, value) with a range
+      partitioning (a hash tie-breaker spreads even a run of identical values),
+      numbered with per-partition offsets, and only the two order statistics
+      around each quantile position are fetched by a join on the row number.
+    * ``"buffer"`` - Spark's exact ``percentile`` aggregate: keeps a group's
+      values in one aggregation buffer; fine when a group is bounded (e.g.
+      one value per organisation and month).
+    * ``"approx"`` - ``percentile_approx`` with bounded memory per group.
     """
     by = [by] if isinstance(by, str) else list(by)
-    fn = (F.percentile_approx(value, list(probs), accuracy) if approx
-          else F.percentile(value, list(probs)))
-    q = df.groupBy(*by).agg(fn.alias("_q"))
-    return q.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    if method in ("buffer", "approx"):
+        fn = (F.percentile_approx(value, list(probs), accuracy) if method == "approx"
+              else F.percentile(value, list(probs)))
+        q = df.groupBy(*by).agg(fn.alias("_q"))
+        return q.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    if method != "distributed":
+        raise ValueError(f"unknown method {method!r}")
+    from medspark.operators.windows import global_row_number
+    base = df.select(*by, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    tie = F.xxhash64(*by, "_v", F.monotonically_increasing_id())
+    ranked = global_row_number(base.withColumn("_tie", tie), [*by, "_v", "_tie"], "_rn").drop("_tie")
+    groups = ranked.groupBy(*by).agg(F.min("_rn").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    wanted = groups.select(*by, "_start", "_n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"))
+    wanted = wanted.withColumn("_h", (F.col("_n") - 1) * F.col("_p") + F.col("_start"))  # 1-based global rank
+    wanted = wanted.withColumns({"_lo": F.floor("_h"), "_hi": F.ceil("_h")})
+    vals = ranked.select("_rn", "_v")
+    lo = vals.withColumnsRenamed({"_rn": "_lo", "_v": "_vlo"})
+    hi = vals.withColumnsRenamed({"_rn": "_hi", "_v": "_vhi"})
+    got = (wanted.join(lo, "_lo").join(hi, "_hi")
+           .withColumn("_q", F.col("_vlo") + (F.col("_h") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo"))))
+    out = got.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
+    # groups whose values are all missing still get a row of NULLs
+    all_groups = df.select(*by).distinct()
+    return all_groups.join(out, by, "left") if by else out

@@ -227,7 +227,7 @@ def area_share_by_source(combined: DataFrame, start: str, end: str, product: str
 
 def trust_share_deciles(hospital: DataFrame, product: str, *, month: str = "year_month",
                         org: str = "ods_code", product_col: str = "product_name",
-                        value: str = "total_quantity", approx: bool = False) -> DataFrame:
+                        value: str = "total_quantity", method: str = "distributed") -> DataFrame:
     """Q15 (W1 W2 F6 A17 R3): each trust's share of one product in its monthly
     issues, then the 10th..90th percentiles of that share per month, long form
     ``(year_month, decile, prop_prescribing)``."""
@@ -236,5 +236,5 @@ def trust_share_deciles(hospital: DataFrame, product: str, *, month: str = "year
     one = shared.where(F.col(product_col) == F.lit(product))
     names = [f"Percentile_{p}" for p in range(10, 100, 10)]
     wide = percentiles_by(one, month, "prop_prescribing", [p / 100 for p in range(10, 100, 10)], names,
-                          approx=approx)
+                          method=method)
     return unpivot_longer(wide, [month], names, "decile", "prop_prescribing")

@@ -399,3 +399,21 @@ def test_sql_over_registered_views(spark):
                     "FROM t_act WHERE vmp_code IN (1, 2, 3) GROUP BY 1, 2, 3")
     api = td.activity(spark, "/root/testdata/sf0.001").where(F.col("vmp_code").isin(1, 2, 3))
     assert rows(sql) == rows(api.select(*sql.columns))
+
+
+def test_distributed_percentiles_match_buffer_and_type7(spark):
+    import random
+    rnd = random.Random(7)
+    data = [("hot", float(rnd.randint(0, 5))) for _ in range(3000)] + \
+           [(f"g{i % 7}", rnd.random() * 100) for i in range(700)] + [("one", 4.0), ("nulls", None)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(6)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    names = [f"p{i}" for i in range(len(probs))]
+    dist = {r["g"]: r for r in quality.percentiles_by(df, "g", "v", probs, names).collect()}
+    buf = {r["g"]: r for r in quality.percentiles_by(df, "g", "v", probs, names, method="buffer").collect()}
+    assert set(dist) == set(buf)
+    for g in dist:
+        for n in names:
+            a, b = dist[g][n], buf[g][n]
+            assert (a is None and b is None) or abs(a - b) <= 1e-9 * max(1.0, abs(b)), (g, n, a, b)
+    assert dist["one"]["p3"] == 4.0 and dist["nulls"]["p3"] is None

@@ -96,3 +96,11 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
     """Columnar source: only the selected columns are read (``ReadSchema``)."""
     df = spark.read.parquet(path)
     return df.select(*columns) if columns else df
+
+
+def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ("year_month",),
+                  mode: str = "overwrite") -> None:
+    """Columnar sink laid out by month: a later month-range filter on
+    ``year_month`` prunes whole folders (``PartitionFilters``) before any file
+    is opened, and column pruning reads only the selected columns."""
+    df.write.mode(mode).partitionBy(*partition_by).parquet(path)

@@ -417,3 +417,17 @@ def test_distributed_percentiles_match_buffer_and_type7(spark):
             a, b = dist[g][n], buf[g][n]
             assert (a is None and b is None) or abs(a - b) <= 1e-9 * max(1.0, abs(b)), (g, n, a, b)
     assert dist["one"]["p3"] == 4.0 and dist["nulls"]["p3"] is None
+
+
+def test_month_partitioned_activity_prunes_partitions(spark, tmpdir_path):
+    from medspark.plans.reports import in_period
+    from medspark.sources import readers
+    from medspark.sources import testdata as td
+    path = f"{tmpdir_path}/activity"
+    readers.write_parquet(td.activity(spark, "/root/testdata/sf0.001"), path)
+    back = spark.read.parquet(path)
+    q = in_period(back, "year_month", "1998-08-01", "1999-07-01").select("ods_code", "total_quantity")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year_month" in plan and "1998-08-01" in plan
+    months = {r[0] for r in in_period(back, "year_month", "1998-08-01", "1999-07-01").select("year_month").distinct().collect()}
+    assert months and all(D(1998, 8, 1) <= m <= D(1999, 7, 1) for m in months)

@@ -11,8 +11,10 @@ offsets, and top-N keeps only ``n`` distinct values before ranking.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,16 +77,27 @@ def minmax_scale(df: DataFrame, value: str, out: str, materialise: bool = True)
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared checkpoint folder.
+    """Materialise ``df`` once as a parquet table in the shared checkpoint folder.
 
     Used where one result feeds two branches: both then read the same files,
     so the upstream plan (often a scan and aggregate of the fact table) runs
     once, and both branches see bit-identical doubles (a sum of doubles may
     differ in its last bit when recomputed in another order).  The lineage is
-    cut, and unlike a cache the checkpoint survives executor loss.
+    cut and the files survive executor loss.  A written table is preferred to
+    ``Dataset.checkpoint``: that computes the plan twice (eager count, then the
+    write) and yields a relation of unknown size, while the parquet copy is
+    one job, columnar, and carries real size statistics for join planning.
+    Schemas parquet cannot hold fall back to ``checkpoint``.
     """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_root(spark)
+    path = f"{root.rstrip('/')}/medspark-stable/{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(path)
+    except AnalysisException:
+        checkpoint_root(spark)
+        return df.checkpoint(eager=True)
+    return spark.read.parquet(path)
 
 
 def global_row_number(df: DataFrame, order: Sequence[Column | str], out: str = "row_number",

@@ -420,6 +420,13 @@ def _q_trend_array(spark, d):
     return _trend_text(t)
 
 
+def _q_trend_array_all(spark, d):
+    names = [(td.orgs(spark, d).select("ods_code", "ods_name"), "ods_code"),
+             (td.products(spark, d).select("vmp_code", "vmp_name"), "vmp_code")]
+    t = reports.trend_table(td.activity(spark, d), ["ods_code", "vmp_code"], "year_month", "total_quantity", names)
+    return _trend_text(t)
+
+
 def _q_gap_fill(spark, d):
     monthly = _codelist_activity(spark, d).groupBy("ods_code", "vmp_code", "year_month").agg(
         F.sum("total_quantity").alias("total_quantity"))
@@ -720,6 +727,19 @@ CATALOG: dict[str, Query] = {
                          "FROM filled GROUP BY 1, 2)\nSELECT t.*, orgs.ods_name, prod.vmp_name FROM t LEFT JOIN "
                          "orgs ON t.ods_code = orgs.ods_code LEFT JOIN prod ON t.vmp_code = prod.vmp_code",
                          "Q3 R6 A18 X19 X20"),
+    "trend_array_all": Query(_q_trend_array_all,
+                             f"{V},\nm AS (SELECT ods_code, vmp_code, year_month, SUM(total_quantity) AS q "
+                             "FROM act GROUP BY 1, 2, 3),\ncal AS (SELECT CAST(unnest(generate_series((SELECT MIN("
+                             "year_month) FROM m), (SELECT MAX(year_month) FROM m), INTERVAL 1 MONTH)) AS DATE) AS "
+                             "year_month),\nk AS (SELECT DISTINCT ods_code, vmp_code FROM m),\n"
+                             "filled AS (SELECT k.ods_code, k.vmp_code, cal.year_month, COALESCE(m.q, 0) AS q FROM k "
+                             "CROSS JOIN cal LEFT JOIN m ON m.ods_code = k.ods_code AND m.vmp_code = k.vmp_code AND "
+                             "m.year_month = cal.year_month),\nt AS (SELECT ods_code, vmp_code, array_to_string(list("
+                             "CAST(CAST(q AS BIGINT) AS VARCHAR) ORDER BY year_month), ',') AS trend, SUM(q) AS "
+                             "total_quantity, SUM(CASE WHEN q > 0 THEN 1 ELSE 0 END) > 10 AS many_positive_months "
+                             "FROM filled GROUP BY 1, 2)\nSELECT t.*, orgs.ods_name, prod.vmp_name FROM t LEFT JOIN "
+                             "orgs ON t.ods_code = orgs.ods_code LEFT JOIN prod ON t.vmp_code = prod.vmp_code",
+                             "Q3 R6 A18 X19 X20 (all keys)"),
     "gap_fill": Query(_q_gap_fill,
                       f"{V}{CODES_SQL},\nm AS (SELECT ods_code, vmp_code, year_month, SUM(total_quantity) AS q "
                       "FROM cact GROUP BY 1, 2, 3),\ncal AS (SELECT CAST(unnest(generate_series((SELECT MIN("

@@ -353,6 +353,11 @@ def _q_dictionary_view(spark, d):
                                    ["vmp_code", "vtmnm", "udfs", "nmr", "dnm", "ddd"])
 
 
+def _q_dose_volume_by_product(spark, d):
+    v = td.volume(spark, d)
+    return _to_ddd(v.groupBy("vmp_code", "vtmnm").agg(sum_strict("volume_units").alias("volume_units")))
+
+
 def _q_national_trend(spark, d):
     return _to_ddd(reports.national_trend(td.volume(spark, d), value="volume_units", na_rm=False))
 
@@ -665,6 +670,9 @@ CATALOG: dict[str, Query] = {
                              f"{V}\nSELECT DISTINCT vmp_code, vtmnm, udfs, nmr, dnm, ddd FROM prod WHERE vmp_code IN "
                              f"(SELECT p_partkey FROM part WHERE p_brand IN ({_sql_list(CODELIST_BRANDS)}))",
                              "Q4 F1 A12 P1"),
+    "dose_volume_by_product": Query(_q_dose_volume_by_product,
+                                    f"{V}\nSELECT vmp_code, vtmnm, {_strict_sql('volume_units')} / 1e6 AS volume_ddd "
+                                    "FROM vol GROUP BY 1, 2", "Q5 A2 N1 (per product)"),
     "national_trend": Query(_q_national_trend,
                             f"{V}\nSELECT year_month, vtmnm, {_strict_sql('volume_units')} / 1e6 AS volume_ddd "
                             "FROM vol GROUP BY 1, 2", "Q6 A2 N1"),

@@ -34,10 +34,18 @@ def materialised(spark: SparkSession, name: str, params: Mapping, build: Callabl
                  refresh: bool = False) -> DataFrame:
     """Read-through parquet copy of ``build()`` keyed by name + params."""
     path = f"{shared_folder(spark)}/medspark-materialised/{cache_key(name, params)}"
-    if not refresh:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            pass
+    if not refresh and _committed(spark, path):
+        return spark.read.parquet(path)
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def _committed(spark: SparkSession, path: str) -> bool:
+    """True when a completed write left its ``_SUCCESS`` marker: a folder from
+    a write that died with its job (lost driver, killed application) is
+    rebuilt rather than read half-written."""
+    try:
+        spark.read.format("text").load(f"{path}/_SUCCESS")
+        return True
+    except AnalysisException:
+        return False

@@ -431,3 +431,24 @@ def test_month_partitioned_activity_prunes_partitions(spark, tmpdir_path):
     assert "PartitionFilters: [isnotnull(year_month" in plan and "1998-08-01" in plan
     months = {r[0] for r in in_period(back, "year_month", "1998-08-01", "1999-07-01").select("year_month").distinct().collect()}
     assert months and all(D(1998, 8, 1) <= m <= D(1999, 7, 1) for m in months)
+
+
+def test_materialised_is_read_through_and_ignores_uncommitted(spark, tmpdir_path):
+    from medspark.sources import cache
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(5).withColumnRenamed("id", "k")
+
+    params = {"t": tmpdir_path}
+    a = cache.materialised(spark, "t_range", params, build)
+    b = cache.materialised(spark, "t_range", params, build)
+    assert a.count() == b.count() == 5 and len(calls) == 1
+    c = cache.materialised(spark, "t_range", {"t": tmpdir_path, "v": 2}, build)
+    assert c.count() == 5 and len(calls) == 2          # other parameters, other key
+    import os
+    path = f"{cache.shared_folder(spark)}/medspark-materialised/{cache.cache_key('t_range', params)}".replace("file:", "")
+    os.remove(f"{path}/_SUCCESS")                      # as if the write had not committed
+    cache.materialised(spark, "t_range", params, build)
+    assert len(calls) == 3

@@ -27,6 +27,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # local data is small: keep post-shuffle stages parallel (AQE's default
+        # 1 MB minimum would merge a CPU-heavy stage into one task)
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize",
+                os.environ.get("MEDSPARK_MIN_PARTITION_SIZE", "64k"))
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("MEDSPARK_DRIVER_MEMORY", "16g"))

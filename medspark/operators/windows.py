@@ -149,5 +149,6 @@ def top_n_groups(df: DataFrame, value: str, n: int, out: str = "rank", materiali
     base = stable(df) if materialise else df
     top = (base.select(value).where(F.col(value).isNotNull()).distinct()
            .orderBy(F.col(value).desc()).limit(n))
-    ranked = top.withColumn(out, F.dense_rank().over(Window.orderBy(F.col(value).desc())))
+    # BIGINT like the other rank columns (Spark's dense_rank alone is INT)
+    ranked = top.withColumn(out, F.dense_rank().over(Window.orderBy(F.col(value).desc())).cast("bigint"))
     return base.join(F.broadcast(ranked), value)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medspark.functions.semantics import round_half_even
+from medspark.operators.columns import require_columns
 
 
 def pivot_wider(df: DataFrame, id_cols: Sequence[str], names_from: str, values_from: Sequence[str],
@@ -61,6 +62,7 @@ def share_table(df: DataFrame, id_col: str, category: str, categories: Sequence[
                 digits: int = 3) -> DataFrame:
     """Round shares (half-even), zero-fill, pivot volume and share by category,
     keep ``id``, the ``<share>_<category>`` columns and the total (R1 R5 P5 X7)."""
+    require_columns(df, id_col, category, volume, share, total)  # P9
     prepared = fill_missing(df.withColumn(share, round_half_even(share, digits)),
                             {volume: 0.0, share: 0.0})
     wide = pivot_wider(prepared, [id_col, total], category, [volume, share], categories,

@@ -28,15 +28,40 @@ def _cols(cs: str | Sequence[str]) -> list[str]:
     return [cs] if isinstance(cs, str) else list(cs)
 
 
+def _totals_joined(df: DataFrame, value: str, by: list[str], out: str, na_rm: bool) -> DataFrame:
+    """Group totals by a partial+final aggregate, joined back null-safely on the
+    group key (the planner broadcasts small totals; AQE splits a hot key)."""
+    agg = (F.coalesce(F.sum(value), F.lit(0)) if na_rm
+           else F.when(F.count(F.lit(1)) == F.count(value), F.sum(value)))
+    totals = df.groupBy(*by).agg(agg.alias(out))
+    l, r = df.alias("_d"), totals.alias("_t")
+    cond = None
+    for b in by:
+        c = F.col(f"_d.{b}").eqNullSafe(F.col(f"_t.{b}"))
+        cond = c if cond is None else cond & c
+    return l.join(r, cond, "left").select("_d.*", F.col(f"_t.{out}"))
+
+
 def group_total(df: DataFrame, value: str, by: str | Sequence[str], out: str = "total",
-                na_rm: bool = True) -> DataFrame:
-    """The group total repeated on every row."""
+                na_rm: bool = True, method: str = "window") -> DataFrame:
+    """The group total repeated on every row.
+
+    ``method="window"`` suits aggregated input (a group = a few category
+    rows); ``method="aggregate"`` suits raw rows, where one group may hold a
+    third of the table: totals come from a partial aggregate and a join.
+    """
+    if method == "aggregate":
+        return _totals_joined(df, value, _cols(by), out, na_rm)
     return df.withColumn(out, window_sum(value, Window.partitionBy(*_cols(by)), na_rm))
 
 
 def share_of_group(df: DataFrame, value: str, by: str | Sequence[str], out: str = "prop",
-                   na_rm: bool = True) -> DataFrame:
-    """``value / sum(value)`` within the group; zero total gives NULL."""
+                   na_rm: bool = True, method: str = "window") -> DataFrame:
+    """``value / sum(value)`` within the group; zero total gives NULL.
+    ``method`` as for ``group_total``."""
+    if method == "aggregate":
+        joined = _totals_joined(df, value, _cols(by), "_grp_total", na_rm)
+        return joined.withColumn(out, safe_div(F.col(value), F.col("_grp_total"))).drop("_grp_total")
     tot = window_sum(value, Window.partitionBy(*_cols(by)), na_rm)
     return df.withColumn(out, safe_div(F.col(value), tot))
 
@@ -48,14 +73,27 @@ def stacked_midpoint(df: DataFrame, value: str, by: str | Sequence[str],
     return df.withColumn(out, window_sum(value, w, na_rm=False) - F.col(value) / 2)
 
 
-def fill_group_attribute(df: DataFrame, cols: Sequence[str], by: str | Sequence[str]) -> DataFrame:
+def fill_group_attribute(df: DataFrame, cols: Sequence[str], by: str | Sequence[str],
+                         method: str = "window") -> DataFrame:
     """Replace each attribute by its non-missing value within the group.
 
     For attributes that are functionally dependent on the group key (one
     distinct non-missing value per group) ``min`` ignoring NULLs equals R's
     ``first(na.omit(x))`` and does not depend on row order (N8).
+    ``method="aggregate"`` computes the values by a partial aggregate and a
+    null-safe join instead of a window (for raw, possibly skewed groups).
     """
-    w = Window.partitionBy(*_cols(by))
+    by = _cols(by)
+    if method == "aggregate":
+        vals = df.groupBy(*by).agg(*[F.min(c).alias(c) for c in cols])
+        l, r = df.alias("_d"), vals.alias("_v")
+        cond = None
+        for b in by:
+            c = F.col(f"_d.{b}").eqNullSafe(F.col(f"_v.{b}"))
+            cond = c if cond is None else cond & c
+        return l.join(r, cond, "left").select(
+            *[F.col(f"_v.{c}").alias(c) if c in cols else F.col(f"_d.{c}") for c in df.columns])
+    w = Window.partitionBy(*by)
     return df.withColumns({c: F.min(c).over(w) for c in cols})
 
 

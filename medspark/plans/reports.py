@@ -27,7 +27,8 @@ from medspark.operators.joins import join_left
 from medspark.operators.organisations import apply_override
 from medspark.operators.reshape import pivot_one, unpivot_longer
 from medspark.operators.quality import percentiles_by
-from medspark.operators.windows import share_of_group, stable, stacked_midpoint, top_n_groups
+from medspark.operators.windows import (fill_group_attribute, share_of_group, stable, stacked_midpoint,
+                                        top_n_groups)
 
 
 def _cols(cs: str | Sequence[str]) -> list[str]:
@@ -191,9 +192,9 @@ def combine_sources(hospital: DataFrame, org_area: DataFrame, community: DataFra
          .agg(agg_sum(community_value, na_rm).alias("quantity")))
     cols = ["comm_region_name", "stp_name", "stp", "month", "source", "product_name", "quantity"]
     both = c.select(*cols).unionByName(h.select(*cols)).distinct().where(F.col("stp").isNotNull())
-    w = Window.partitionBy("stp")
-    filled = both.withColumns({"comm_region_name": F.min("comm_region_name").over(w),
-                               "stp_name": F.min("stp_name").over(w)})
+    # W5 by aggregate + join: the per-area names are one row per area (small,
+    # broadcastable), so the unioned rows are not shuffled again by area
+    filled = fill_group_attribute(both, ["comm_region_name", "stp_name"], "stp", method="aggregate")
     return filled.where(F.col("stp_name").isNotNull())
 
 

@@ -452,3 +452,20 @@ def test_materialised_is_read_through_and_ignores_uncommitted(spark, tmpdir_path
     os.remove(f"{path}/_SUCCESS")                      # as if the write had not committed
     cache.materialised(spark, "t_range", params, build)
     assert len(calls) == 3
+
+
+def test_window_and_aggregate_forms_agree_on_a_hot_group(spark):
+    data = [("hot", float(i % 10), i % 3 == 0 and "name" or None) for i in range(3000)] + \
+           [(f"g{i}", float(i), None) for i in range(20)] + [(None, 5.0, "x"), (None, None, None)]
+    df = spark.createDataFrame(data, "g string, v double, nm string").repartition(8)
+    for na_rm in (True, False):
+        a = rows(windows.share_of_group(df, "v", "g", "p", na_rm=na_rm), "g", "v", "p")
+        b = rows(windows.share_of_group(df, "v", "g", "p", na_rm=na_rm, method="aggregate"), "g", "v", "p")
+        assert len(a) == len(b) and all(x[:2] == y[:2] and (x[2] == y[2] or abs(x[2] - y[2]) < 1e-12)
+                                        for x, y in zip(a, b))
+        ta = rows(windows.group_total(df, "v", "g", na_rm=na_rm), "g", "total")
+        tb = rows(windows.group_total(df, "v", "g", na_rm=na_rm, method="aggregate"), "g", "total")
+        assert [t[0] for t in ta] == [t[0] for t in tb]
+    fa = rows(windows.fill_group_attribute(df, ["nm"], "g"), "g", "nm")
+    fb = rows(windows.fill_group_attribute(df, ["nm"], "g", method="aggregate"), "g", "nm")
+    assert fa == fb

@@ -111,8 +111,9 @@ def percentiles_by(df: DataFrame, by: str | Sequence[str], value: str, probs: Se
         return q.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     if method != "distributed":
         raise ValueError(f"unknown method {method!r}")
-    from medspark.operators.windows import global_row_number
-    base = df.select(*by, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    from medspark.operators.windows import global_row_number, stable
+    src = stable(df.select(*by, F.col(value).alias("_v")))  # the input feeds several branches below
+    base = src.where(F.col("_v").isNotNull())
     tie = F.xxhash64(*by, "_v", F.monotonically_increasing_id())
     ranked = global_row_number(base.withColumn("_tie", tie), [*by, "_v", "_tie"], "_rn").drop("_tie")
     groups = ranked.groupBy(*by).agg(F.min("_rn").alias("_start"), F.count(F.lit(1)).alias("_n"))
@@ -126,5 +127,5 @@ def percentiles_by(df: DataFrame, by: str | Sequence[str], value: str, probs: Se
            .withColumn("_q", F.col("_vlo") + (F.col("_h") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo"))))
     out = got.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
     # groups whose values are all missing still get a row of NULLs
-    all_groups = df.select(*by).distinct()
+    all_groups = src.select(*by).distinct()
     return all_groups.join(out, by, "left") if by else out

@@ -49,6 +49,8 @@ def group_total(df: DataFrame, value: str, by: str | Sequence[str], out: str = "
     ``method="window"`` suits aggregated input (a group = a few category
     rows); ``method="aggregate"`` suits raw rows, where one group may hold a
     third of the table: totals come from a partial aggregate and a join.
+    The aggregate form evaluates ``df`` in two branches - give it a
+    file-backed or materialised input (``stable``), not an expensive plan.
     """
     if method == "aggregate":
         return _totals_joined(df, value, _cols(by), out, na_rm)

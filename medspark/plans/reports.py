@@ -192,9 +192,10 @@ def combine_sources(hospital: DataFrame, org_area: DataFrame, community: DataFra
          .agg(agg_sum(community_value, na_rm).alias("quantity")))
     cols = ["comm_region_name", "stp_name", "stp", "month", "source", "product_name", "quantity"]
     both = c.select(*cols).unionByName(h.select(*cols)).distinct().where(F.col("stp").isNotNull())
-    # W5 by aggregate + join: the per-area names are one row per area (small,
-    # broadcastable), so the unioned rows are not shuffled again by area
-    filled = fill_group_attribute(both, ["comm_region_name", "stp_name"], "stp", method="aggregate")
+    # W5 as a window: each area holds at most months x sources x products rows
+    # here, and the window reads the union once (the aggregate-and-join form
+    # would evaluate the union twice, once per branch)
+    filled = fill_group_attribute(both, ["comm_region_name", "stp_name"], "stp")
     return filled.where(F.col("stp_name").isNotNull())
 
 

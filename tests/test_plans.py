@@ -76,3 +76,16 @@ def test_hot_key_third_of_rows(spark):
     n_months = (hi.year - lo.year) * 12 + hi.month - lo.month + 1
     assert filled.where("ods_code = -1").count() == n_months
     assert months.count() <= n_months
+
+
+TWO_SOURCE = {"combined_sources", "source_share", "area_share_pivot"}
+
+
+@pytest.mark.parametrize("name", list(queries()))
+def test_fact_table_scanned_once_per_source(spark, name):
+    """A query reads lineitem at most once per source it needs (the two-source
+    reports need it twice); inputs used by two branches are materialised."""
+    df = queries()[name](spark, SF)
+    df.write.format("noop").mode("overwrite").save()
+    scans = df._jdf.queryExecution().executedPlan().toString().count("lineitem.parquet")
+    assert scans <= (2 if name in TWO_SOURCE else 1), (name, scans)

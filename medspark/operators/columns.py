@@ -65,3 +65,10 @@ def require_columns(df: DataFrame, *cols: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing required columns: {missing}; have {df.columns}")
     return df
+
+
+def r_order(*cols: str, descending: bool | Sequence[bool] = False) -> list:
+    """O2/O3: sort keys with missing values last in both directions (R's
+    ``arrange``), unlike Spark's ascending default that puts NULLs first."""
+    flags = [descending] * len(cols) if isinstance(descending, bool) else list(descending)
+    return [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_last() for c, d in zip(cols, flags, strict=True)]

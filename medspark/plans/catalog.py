@@ -533,7 +533,8 @@ def _q_name_cleanup(spark, d):
 def _q_category_order(spark, d):
     totals = (_vola(spark, d).groupBy(explicit_missing("stp_name").alias("stp_name"))
               .agg(sum_na_rm("volume_units").alias("total")))
-    ranked = windows.global_row_number(totals, [F.col("total").desc(), F.col("stp_name").asc()], "sort_order")
+    ranked = windows.global_row_number(totals, columns.r_order("total", "stp_name", descending=[True, False]),
+                                       "sort_order")
     return _to_ddd(ranked, ("total",))
 
 

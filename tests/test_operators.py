@@ -469,3 +469,9 @@ def test_window_and_aggregate_forms_agree_on_a_hot_group(spark):
     fa = rows(windows.fill_group_attribute(df, ["nm"], "g"), "g", "nm")
     fb = rows(windows.fill_group_attribute(df, ["nm"], "g", method="aggregate"), "g", "nm")
     assert fa == fb
+
+
+def test_r_order_puts_missing_last(spark):
+    df = spark.createDataFrame([(None,), (2,), (1,)], "v int")
+    assert [r[0] for r in df.orderBy(*columns.r_order("v")).collect()] == [1, 2, None]
+    assert [r[0] for r in df.orderBy(*columns.r_order("v", descending=True)).collect()] == [2, 1, None]

@@ -70,8 +70,9 @@ def share_of_group(df: DataFrame, value: str, by: str | Sequence[str], out: str
 
 def stacked_midpoint(df: DataFrame, value: str, by: str | Sequence[str],
                      order: str | Sequence[str], out: str = "pos") -> DataFrame:
-    """``cumsum(v) - v/2`` in category order; NA from the first NA on."""
-    w = running(Window.partitionBy(*_cols(by)).orderBy(*_cols(order)))
+    """``cumsum(v) - v/2`` in category order (a missing category last, as
+    in R's grouped output); NA from the first NA on (N3)."""
+    w = running(Window.partitionBy(*_cols(by)).orderBy(*[F.col(c).asc_nulls_last() for c in _cols(order)]))
     return df.withColumn(out, window_sum(value, w, na_rm=False) - F.col(value) / 2)
 
 

@@ -475,3 +475,9 @@ def test_r_order_puts_missing_last(spark):
     df = spark.createDataFrame([(None,), (2,), (1,)], "v int")
     assert [r[0] for r in df.orderBy(*columns.r_order("v")).collect()] == [1, 2, None]
     assert [r[0] for r in df.orderBy(*columns.r_order("v", descending=True)).collect()] == [2, 1, None]
+
+
+def test_stacked_midpoint_missing_category_last(spark):
+    df = spark.createDataFrame([("g", None, 4.0), ("g", "a", 2.0)], "g string, c string, v double")
+    got = {r["c"]: r["pos"] for r in windows.stacked_midpoint(df, "v", "g", "c").collect()}
+    assert got == {"a": 1.0, None: 2.0 + 2.0}

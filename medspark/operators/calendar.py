@@ -53,8 +53,10 @@ def _dense(df: DataFrame, keys: list[str], month_col: str, value: str, fill,
     ``materialise`` it is checkpointed once so the upstream plan (e.g. a scan
     and aggregate of the fact table) is not executed per branch.
     """
+    # a row without a month has no place on the calendar (tsibble rejects it)
+    df = df.select(*keys, month_col, value).where(F.col(month_col).isNotNull())
     if materialise:
-        df = stable(df.select(*keys, month_col, value))
+        df = stable(df)
     lo, hi = calendar_bounds(df, month_col)
     idx = F.months_between(F.col(month_col), lo).cast("int")
     sparse = (df.select(*keys, idx.alias("i"), F.col(value).alias("v"))

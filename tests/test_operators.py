@@ -481,3 +481,8 @@ def test_stacked_midpoint_missing_category_last(spark):
     df = spark.createDataFrame([("g", None, 4.0), ("g", "a", 2.0)], "g string, c string, v double")
     got = {r["c"]: r["pos"] for r in windows.stacked_midpoint(df, "v", "g", "c").collect()}
     assert got == {"a": 1.0, None: 2.0 + 2.0}
+
+
+def test_calendar_ignores_rows_without_month(spark):
+    df = _monthly(spark, [("a", D(2020, 1, 1), 1.0), ("a", None, 9.0), ("a", D(2020, 2, 1), 2.0)])
+    assert dict(rows(calendar.trend_array(df, "k", "year_month", "q", "t"))) == {"a": [1.0, 2.0]}

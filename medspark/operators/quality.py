@@ -120,11 +120,13 @@ def percentiles_by(df: DataFrame, by: str | Sequence[str], value: str, probs: Se
     wanted = groups.select(*by, "_start", "_n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"))
     wanted = wanted.withColumn("_h", (F.col("_n") - 1) * F.col("_p") + F.col("_start"))  # 1-based global rank
     wanted = wanted.withColumns({"_lo": F.floor("_h"), "_hi": F.ceil("_h")})
-    vals = ranked.select("_rn", "_v")
-    lo = vals.withColumnsRenamed({"_rn": "_lo", "_v": "_vlo"})
-    hi = vals.withColumnsRenamed({"_rn": "_hi", "_v": "_vhi"})
-    got = (wanted.join(lo, "_lo").join(hi, "_hi")
-           .withColumn("_q", F.col("_vlo") + (F.col("_h") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo"))))
+    # one join fetches both order statistics around each position
+    needed = wanted.select(*by, "_i", "_h", "_lo", "_hi", F.explode(F.array("_lo", "_hi")).alias("_rn"))
+    pairs = (needed.join(ranked.select("_rn", "_v"), "_rn")
+             .groupBy(*by, "_i", "_h", "_lo")
+             .agg(F.max(F.when(F.col("_rn") == F.col("_lo"), F.col("_v"))).alias("_vlo"),
+                  F.max(F.when(F.col("_rn") == F.col("_hi"), F.col("_v"))).alias("_vhi")))
+    got = pairs.withColumn("_q", F.col("_vlo") + (F.col("_h") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo")))
     out = got.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
     # groups whose values are all missing still get a row of NULLs
     all_groups = src.select(*by).distinct()

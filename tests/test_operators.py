@@ -486,3 +486,16 @@ def test_stacked_midpoint_missing_category_last(spark):
 def test_calendar_ignores_rows_without_month(spark):
     df = _monthly(spark, [("a", D(2020, 1, 1), 1.0), ("a", None, 9.0), ("a", D(2020, 2, 1), 2.0)])
     assert dict(rows(calendar.trend_array(df, "k", "year_month", "q", "t"))) == {"a": [1.0, 2.0]}
+
+
+def test_csv_sink_and_clean_name_reader_round_trip(spark, tmpdir_path):
+    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+    from medspark.sources import readers
+    df = spark.createDataFrame([("100000000000000001", "", 1.5), ("100000000000000002", None, None)],
+                               "id string, nm string, ddd double")
+    readers.write_csv(df, f"{tmpdir_path}/out", quote_all=True)
+    schema = StructType([StructField("VPID Code", StringType()), StructField("Name", StringType()),
+                         StructField("DDD", DoubleType())])
+    back = readers.read_csv_clean_names(spark, f"{tmpdir_path}/out", schema)
+    assert back.columns == ["vpid_code", "name", "ddd"]
+    assert rows(back) == [("100000000000000001", None, 1.5), ("100000000000000002", None, None)]

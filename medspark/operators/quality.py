@@ -1,8 +1,10 @@
 """Data-quality profiles (SURVEY: A9, A12-A17, A19, A21, Q18, Q19).
 
-All profiles are single aggregations: partial aggregates on every input
+The profiles are single aggregations: partial aggregates on every input
 partition, one small final merge.  Distinct counts are exact by default;
 ``approx=True`` switches to HyperLogLog++ (bounded memory per group).
+Per-group quantiles (``percentiles_by``) are exact without holding a group
+in one task (global sort + order statistics), or approximate on request.
 """
 
 from __future__ import annotations

@@ -499,3 +499,28 @@ def test_csv_sink_and_clean_name_reader_round_trip(spark, tmpdir_path):
     back = readers.read_csv_clean_names(spark, f"{tmpdir_path}/out", schema)
     assert back.columns == ["vpid_code", "name", "ddd"]
     assert rows(back) == [("100000000000000001", None, 1.5), ("100000000000000002", None, None)]
+
+
+def test_dose_xml_reader_row_tag_sentinel_and_missing_elements(spark, tmpdir_path):
+    from medspark.sources.readers import read_dose_xml
+    xml = """<?xml version="1.0" encoding="UTF-8"?>
+<BNF_DETAILS>
+  <VMPS>
+    <VMP><VPID>383772001000001107</VPID><BNF>0301011R0</BNF><ATC>R03DX05</ATC><DDD>16.0000</DDD><DDD_UOMCD>258684004</DDD_UOMCD></VMP>
+    <VMP><VPID>100000000000000002</VPID><BNF>n/a</BNF><DDD>n/a</DDD></VMP>
+    <VMP><VPID>100000000000000003</VPID></VMP>
+  </VMPS>
+  <AMPS>
+    <AMP><APID>900000000000000001</APID><BNF>0301011R0AA</BNF></AMP>
+  </AMPS>
+</BNF_DETAILS>
+"""
+    p = f"{tmpdir_path}/dose.xml"
+    with open(p, "w") as f:
+        f.write(xml)
+    got = {r["VPID"]: r for r in read_dose_xml(spark, p).collect()}
+    assert set(got) == {"383772001000001107", "100000000000000002", "100000000000000003"}  # AMP rows ignored
+    first = got["383772001000001107"]
+    assert (first["BNF"], first["ATC"], float(first["DDD"]), first["DDD_UOMCD"]) == ("0301011R0", "R03DX05", 16.0, "258684004")
+    assert got["100000000000000002"]["BNF"] is None and got["100000000000000002"]["DDD"] is None
+    assert got["100000000000000003"]["ATC"] is None

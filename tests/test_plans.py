@@ -24,6 +24,13 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def _final(plan: str) -> str:
+    """Only the '== Final Plan ==' part of an executed adaptive plan."""
+    if "== Final Plan ==" in plan:
+        plan = plan.split("== Final Plan ==", 1)[1].split("== Initial Plan ==", 1)[0]
+    return plan
+
+
 @pytest.mark.parametrize("name", list(queries()))
 def test_no_cartesian_or_nested_loop(spark, name):
     plan = _plan(queries()[name](spark, SF))
@@ -48,8 +55,8 @@ def test_fact_table_partially_aggregated_before_shuffle(spark):
 def test_single_partition_exchanges_are_bounded(spark):
     for name in ("category_order", "trust_rank", "profile_activity", "gap_fill"):
         df = queries()[name](spark, SF)
-        df.write.format("noop").mode("overwrite").save()
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        df.collect()  # finalises the adaptive plan
+        plan = _final(df._jdf.queryExecution().executedPlan().toString())
         for m in re.finditer(r"Exchange SinglePartition[^\n]*\n(.*\n){0,3}", plan):
             block = m.group(0)
             assert ("partial_" in block or "_pid" in block or "HashAggregate" in block
@@ -86,6 +93,38 @@ def test_fact_table_scanned_once_per_source(spark, name):
     """A query reads lineitem at most once per source it needs (the two-source
     reports need it twice); inputs used by two branches are materialised."""
     df = queries()[name](spark, SF)
-    df.write.format("noop").mode("overwrite").save()
-    scans = df._jdf.queryExecution().executedPlan().toString().count("lineitem.parquet")
+    df.collect()  # finalises the adaptive plan
+    scans = _final(df._jdf.queryExecution().executedPlan().toString()).count("lineitem.parquet")
     assert scans <= (2 if name in TWO_SOURCE else 1), (name, scans)
+
+
+def test_hot_organisation_join_is_split_by_aqe(spark):
+    """With the register too big to broadcast, the fact-to-register join is a
+    sort-merge join on the organisation key, and AQE splits the hot key."""
+    from medspark.plans import reports
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        act = td.activity(spark, SF)
+        n = act.count()
+        hot = act.limit(n // 2).withColumn("ods_code", F.lit(7).cast("long"))  # a third of the rows
+        fact = act.unionByName(hot)
+        out = reports.with_areas(fact, td.orgs(spark, SF), td.areas(spark, SF))
+        total = len(out.collect())  # finalises the adaptive plan
+        plan = _final(out._jdf.queryExecution().executedPlan().toString())
+        assert total == fact.count()
+        assert "SortMergeJoin(skew=true)" in plan and "AQEShuffleRead skewed" in plan, plan[:2000]
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)

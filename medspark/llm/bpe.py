@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame
 
 from medspark.llm.texts import Recent, map_texts
 
-CACHE_ENTRIES = 150_000  # words and chunks that one Python worker keeps; others are computed again
-_PLAIN = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+WORD_ENTRIES, CHUNK_ENTRIES = 100_000, 400_000  # that one Python worker keeps; others are computed again
+#: Latin letters that the normalizer lowers one by one, then signs that it keeps
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _NEVER = 1 << 60
 
 
@@ -49,7 +50,11 @@ class TokenizationAutomaton:
         reached = {token: i for token, i in vocabulary.items() if i in made or token not in merged}
         self.inner = {t: i for t, i in reached.items() if not t.endswith(end) or t == end}
         self.final = {t[:-len(end)]: i for t, i in reached.items() if t.endswith(end) and t != end}
-        self.longest = max(map(len, [*self.inner, *self.final]))
+        #: the longest label that begins with given three characters
+        self.reach: dict[str, int] = {}
+        for token in [*self.inner, *self.final]:
+            if len(token) > 2:
+                self.reach[token[:3]] = max(len(token), self.reach.get(token[:3], 0))
 
     def step(self, state: int, label: int, until: int = _NEVER) -> bool:
         """Is there an arc ``label`` from ``state``, counting gadgets before ``until``?"""
@@ -68,7 +73,7 @@ class TokenizationAutomaton:
         key = (state, label)
         known = self._table.get(key)
         if known is None:
-            if len(self._table) > 4 * CACHE_ENTRIES:
+            if len(self._table) > WORD_ENTRIES:
                 self._table.clear()
             known = self._table[key] = self.step(state, label)
         return known
@@ -77,9 +82,10 @@ class TokenizationAutomaton:
         """The labels of the path that spells ``word``: longest arcs first; a
         place from which no arc leads on is left and never entered again, since
         one path alone leads to each place."""
-        n, longest, inner, arc = len(word), self.longest, self.inner, self._arc
-        path, starts, i, j, dead = [], [], 0, min(n, self.longest), set()
+        n, reach, inner, arc = len(word), self.reach, self.inner, self._arc
+        path, starts, i, j, dead = [], [], 0, reach.get(word[:3], 2), set()
         while i < n:
+            j = min(j, n)
             while j > i:
                 token = (self.final if j == n else inner).get(word[i:j])
                 if token is not None and j not in dead and (not path or arc(path[-1], token)):
@@ -88,7 +94,7 @@ class TokenizationAutomaton:
             if j > i:
                 path.append(token)
                 starts.append(i)
-                i, j = j, min(n, j + longest)
+                i, j = j, j + reach.get(word[j:j + 3], 2)
             else:
                 dead.add(i)
                 path.pop()
@@ -113,10 +119,14 @@ class WordEncoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.automaton = TokenizationAutomaton(model["vocab"], pairs, model["end_of_word_suffix"] or "")
         self.automaton.label.update({i: t for t, i in self.special.items()})
+        self._label = {i: t.encode() for i, t in self.automaton.label.items()}
+        self._decimal = {i: b"%d" % i for i in self._label}
         tokenizer = Tokenizer.from_file(path)
         self._normal, self._split = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
-        self._words = Recent(self.automaton.encode, CACHE_ENTRIES)
-        self._known = Recent(self._entry, CACHE_ENTRIES)
+        #: how the pre-splitter writes a letter's bytes
+        self._letters = {c: self._split(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
+        self._words = Recent(lambda word: tuple(self.automaton.encode(word)), WORD_ENTRIES)
+        self._known = Recent(self._entry, CHUNK_ENTRIES)
 
     def _pieces(self, chunk: str):
         at = min(((p, s) for s in self.special if (p := chunk.find(s)) >= 0), default=None)
@@ -126,22 +136,25 @@ class WordEncoder:
             yield chunk[:at[0]], self.special[at[1]]
             yield from self._pieces(chunk[at[0] + len(at[1]):])
 
-    def ids_of(self, chunk: str) -> list[int]:
-        ids = []
+    def ids_of(self, chunk: str) -> tuple[int, ...]:
+        ids = ()
         for piece, special in self._pieces(chunk):
             for word, _ in self._split(self._normal(piece)) if piece else ():
                 ids += self._words[word]
-            ids += [special] if special is not None else []
+            ids += () if special is None else (special,)
         return ids
 
     def _entry(self, chunk: bytes) -> tuple[int, bytes, bytes]:
-        plain = _PLAIN.fullmatch(chunk)
-        if plain:  # letters, then signs: two words that the normalizer only lowers
+        text = chunk.decode()
+        plain = _PLAIN.fullmatch(text)
+        if plain:  # two words at most
             letters, signs = plain.groups()
-            ids = self._words[letters.decode().lower()] + (self._words[signs.decode()] if signs else [])
+            ids = self._words[letters.lower().translate(self._letters)]
+            if signs:
+                ids += self._words[signs]
         else:
-            ids = self.ids_of(chunk.decode())
-        return len(ids), b" ".join(b"%d" % i for i in ids), self.automaton.decode(ids).encode()
+            ids = self.ids_of(text)
+        return len(ids), b" ".join([self._decimal[i] for i in ids]), b" ".join([self._label[i] for i in ids])
 
     def chunks(self, text: bytes) -> list[tuple[int, bytes, bytes]]:
         """(number of ids, ids, decoded) of each run without ASCII white space;

@@ -6,15 +6,17 @@ of the smallest remainder seen, the number of leading zeros and the next
 ``MANTISSA`` bits (16 bits in all).  Empty registers borrow from others in a fixed
 random order, so small sets compare as well.
 
-Bands of four compressed registers propose pairs; the share of equal registers,
+Bands of six compressed registers propose pairs; the share of equal registers,
 corrected for accidental collisions, estimates the Jaccard similarity; pairs that
 can't reach the threshold are dropped and the rest are confirmed on full sets.
 
 A band's bucket never emits all its pairs.  Its most central member (the one that
-meets most others over all bands) leads: members are compared with the leader, and
-only those that are not linked to it are compared with the other members.  A pair
-that is skipped has both ends linked to the same leader, so components, and links
-between them, stay whole.
+meets most others over all bands) leads, and the members are compared with it.
+Buckets whose members then lie in one component are settled.  In the others all
+pairs of members of different components are estimated, in tiles of bounded size
+that hold the registers as arrays; only pairs within reach of the threshold, each
+from the first band that it shares, leave a tile and are confirmed.  So every link
+between different components is found, and components stay whole.
 """
 
 from __future__ import annotations
@@ -30,11 +32,12 @@ from medspark.llm.texts import bytes_of, hashed_texts, joined, map_texts
 
 SHINGLE = 5
 PERCENT = 85
-BUCKETS, MANTISSA = 128, 10
-BAND = 4  # registers, 8 bytes
-#: A pair at similarity s shares no band with chance (1 - s^4)^32: 6e-11 at 0.85.
-SLACK = 0.2  # five deviations of an estimate from 128 registers at 0.85
-_REST = 64 - 7
+BUCKETS, MANTISSA = 256, 10
+BAND = 6  # registers
+BANDS = BUCKETS // BAND  # a pair at 0.85 shares none with chance (1 - 0.85^6)^42: 2e-9
+DEVIATIONS = 5  # of an estimate, below the threshold, that still count as within reach
+TILE = 1024  # members of a bucket compared with as many
+_REST = 64 - 8
 _rng = np.random.Generator(np.random.PCG64(7))
 _LENDERS = np.array([_rng.permutation(BUCKETS) for _ in range(BUCKETS)])
 
@@ -82,6 +85,17 @@ def estimates(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.
     return (equal - chance) / (1 - chance)
 
 
+def within_reach(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Can these pairs be linked?  By sizes, and by the estimate: the registers in
+    use sample the union without replacement."""
+    least = PERCENT / 100
+    used = np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
+    unseen = np.clip(1 - used * (1 + least) / (n + m), 0.02, 1)
+    deviation = np.sqrt(least * (1 - least) * unseen / used)
+    return (estimates(a, b, n, m) >= least - DEVIATIONS * deviation - 1 / used) & (
+        100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+
+
 def word_sets(text: bytes, size: int = SHINGLE) -> set[tuple[bytes, ...]]:
     """A text's distinct shingles: of ``size`` words, or of all if fewer."""
     words = text.lower().split()
@@ -107,34 +121,38 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_texts(df, make, "n_shingles bigint, words binary, registers binary", id_col, text_col)
 
 
+def bands_of(own: np.ndarray) -> np.ndarray:
+    """Keys of the bands of each row of registers."""
+    full = np.array([filled(r) for r in own]).reshape(len(own), BUCKETS)[:, :BANDS * BAND].astype(np.uint64)
+    full = full.reshape(len(own), BANDS, BAND)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), full.shape[:2])
+    for i in range(BAND):
+        key = (key ^ full[:, :, i]) * np.uint64(0xD6E8FEB86659FD93)
+        key = key ^ (key >> np.uint64(31))
+    return key.astype(np.int64)
+
+
+def _registers(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BUCKETS)
+
+
 def band_keys(sets: DataFrame) -> DataFrame:
     """(key, id) of each band of each set."""
     def run(batches):
-        bands = np.arange(BUCKETS // BAND, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            own = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS)
-            keys = np.concatenate([_spread(filled(r).view(np.uint64) + bands) for r in own]) if len(own) else own
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.astype(np.int64).ravel()),
-                 pa.array(np.repeat(batch.column(0).to_numpy(), len(bands)))], ["key", "id"])
+                [pa.array(bands_of(_registers(batch.column(1))).ravel()),
+                 pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "id"])
 
     return sets.select("id", "registers").mapInArrow(run, "key bigint, id bigint")
 
 
-def _spread(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
 def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose estimate leaves the threshold within reach."""
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS)
-                    for c in ("ra", "rb"))
             n, m = (batch.column(c).to_numpy().astype(np.float64) for c in ("na", "nb"))
-            near = estimates(a, b, n, m) >= PERCENT / 100 - SLACK
-            near &= 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+            near = within_reach(*(_registers(batch.column(c)) for c in ("ra", "rb")), n, m)
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
     def side(x):
@@ -143,6 +161,59 @@ def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint")
 
 
+def likely_in_tiles(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (key, id, component, n_shingles, registers, tiles) of
+    one key and different components that are within reach; each pair from the
+    first band that it shares."""
+    sides = ["key", "low", "high"]
+    tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+    rows = (members.withColumn("tile", tile)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles").cast("int") - 1)))
+            .select("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile",
+                    "id", "component", "n_shingles", "registers"))
+
+    def compared(name, held):
+        """All pairs of a tile with itself (low = high) or with another one."""
+        key, low, high = name
+        table = pa.Table.from_batches(held)
+        tile, ids, component, sizes = (table.column(c).to_numpy() for c in ("tile", "id", "component", "n_shingles"))
+        sizes, own, bands, found = sizes.astype(np.float64), _registers(table.column("registers")), None, []
+        for i in range(len(ids)):
+            other = component != component[i]
+            other[:i + 1] = False
+            if low != high:
+                other &= tile != tile[i]
+            at = np.flatnonzero(other & (100 * np.minimum(sizes, sizes[i]) >= PERCENT * np.maximum(sizes, sizes[i])))
+            at = at[within_reach(own[i][None], own[at], np.full(len(at), sizes[i]), sizes[at])]
+            if len(at):
+                bands = bands_of(own) if bands is None else bands
+                at = at[bands[i][np.argmax(bands[at] == bands[i], axis=1)] == key]
+                found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in at.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches):
+        held, name = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy() for c in sides]
+            change = np.zeros(batch.num_rows - 1, bool)
+            for c in columns:
+                change |= c[1:] != c[:-1]
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                here = tuple(int(c[a]) for c in columns)
+                if held and here != name:
+                    yield compared(name, held)
+                    held = []
+                name = here
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield compared(name, held)
+
+    return rows.repartition(*sides).sortWithinPartitions(*sides).mapInArrow(run, "a bigint, b bigint")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough."""
     def run(batches):
@@ -209,19 +280,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                .agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("leader")))
     led = written(members.select("key", "id").join(leaders, "key"), "led")
 
-    first = written(likely(led.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
-                           .distinct(), sets), "pairs")
-    texts = texts_of(first.select(F.col("a").alias("id")).union(first.select("b")), df, id_col, text_col)
-    links = written(confirmed(first, texts), "links")
-    # members that are not linked to their leader meet the other members
-    apart = (led.where("id <> leader").join(links, (F.col("id") == F.col("a")) & (F.col("leader") == F.col("b")),
-                                            "left_anti").select("key", F.col("id").alias("x")))
-    others = led.where("id <> leader").select("key", F.col("id").alias("y"))
-    rest = (apart.join(others, "key").where("x <> y")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    second = written(likely(rest, sets), "pairs")
-    texts = texts_of(second.select(F.col("a").alias("id")).union(second.select("b")), df, id_col, text_col)
-    found = components(links.union(confirmed(second, texts)))
+    texts = texts_of(led, df, id_col, text_col)
+    first = likely(led.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), sets)
+    links = written(confirmed(written(first, "pairs"), texts), "links")
+    found = components(links)
+
+    placed = led.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = (placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"),
+                                       F.count(F.lit(1)).alias("size"))
+             .where("c0 < c1").select("key", F.ceil(F.col("size") / TILE).alias("tiles")))
+    sketched = sets.select("id", "n_shingles", "registers")
+    rest = written(likely_in_tiles(placed.select("key", "id", "component").join(mixed, "key").join(sketched, "id")),
+                   "pairs")
+    more = written(confirmed(rest, texts), "links")
+    if not more.isEmpty():
+        found = components(links.union(more))
 
     named = sets.select("words", F.col("id").alias("name")).join(
         found.withColumnRenamed("id", "name"), "name", "left")
@@ -234,7 +307,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, without documents whose component has a
-    smaller id.  Of rows alike in every column one stays."""
+    smaller id.  Rows alike in id and text are one document and stay together."""
     gone = written(near_duplicates(df, id_col, text_col).where(~F.col("kept")).select(
         F.col(id_col).alias("_gone")), "gone")
     kept = df.join(gone, F.col(id_col).cast("bigint") == F.col("_gone"), "left_anti")

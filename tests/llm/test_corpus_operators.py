@@ -61,8 +61,8 @@ def test_registers_estimate_similarity():
     ra, rb = near_dups.registers(a), near_dups.registers(b)
     est = near_dups.estimates(ra[None], rb[None], np.array([3000.0]), np.array([3000.0]))[0]
     assert abs(est - 1 / 3) < 0.15
-    one = near_dups.registers(np.array([1 << 57 | 0b1011 << 40], np.uint64))
-    assert one[1] == (57 - 44 + 1) << 10 | 0b011 << 7 and np.count_nonzero(one) == 1
+    one = near_dups.registers(np.array([1 << 56 | 0b1011 << 40], np.uint64))
+    assert one[1] == (56 - 44 + 1) << 10 | 0b011 << 7 and np.count_nonzero(one) == 1
 
 
 def test_repeats(docs):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medspark.llm.license_scan import words
-from medspark.llm.texts import bytes_of
+from medspark.llm.texts import bytes_of, slices
 
 MIN_WORDS = 5  # a shorter item is no evidence of a leak
 EDITS = 0.2  # of an item's words
@@ -236,7 +236,7 @@ def keep_clean(df: DataFrame, items: DataFrame, text_col: str = "text", item_col
         held = df.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, held=held):
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, place)):
                 clean = [x is None or not held.value.matches(words(x.encode()))
                          for x in batch.column(place).to_pylist()]
                 yield pa.RecordBatch.from_arrays(batch.columns, names).filter(pa.array(clean, pa.bool_()))

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from medspark.llm.texts import map_texts
+from medspark.llm.texts import map_texts, slices
 
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -158,7 +158,7 @@ def redact_secrets(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]"
     place = names.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, place)):
             texts = [None if x is None else redacted(x.encode(), pattern, mark.encode()).decode()
                      for x in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays(

@@ -10,10 +10,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20  # texts hashed together; a longer text makes its own chunk
+SLICE_BYTES = 2 << 20
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15  # odd, 5 mod 8: its powers have full period
@@ -122,6 +124,9 @@ class Recent(dict):
         value = self._older.get(key)
         if value is None:
             value = self._make(key)
+        return self.put(key, value)
+
+    def put(self, key, value):
         if len(self) >= self._size:
             self._older = dict(self)
             self.clear()
@@ -134,6 +139,18 @@ def bytes_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``SLICE_BYTES`` of its text column ``text``, so
+    that what is made from a part stays small."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(
+        zero_copy_only=False)
+    part = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def map_texts(df: DataFrame, make: Callable, schema: str, id_col: str = "doc_id",
               text_col: str = "text") -> DataFrame:
     """``make()`` once per task gives a function of the texts of a batch (UTF-8)
@@ -143,10 +160,10 @@ def map_texts(df: DataFrame, make: Callable, schema: str, id_col: str = "doc_id"
     def run(batches):
         columns_of = make()
         for batch in batches:
-            if batch.num_rows:
-                columns = columns_of(bytes_of(batch.column(1)))
+            for part in slices(batch, 1):
+                columns = columns_of(bytes_of(part.column(1)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *[c if isinstance(c, pa.Array) else pa.array(c) for c in columns]],
+                    [part.column(0), *[c if isinstance(c, pa.Array) else pa.array(c) for c in columns]],
                     [id_col, *names])
 
     kind = df.schema[id_col].dataType.simpleString()

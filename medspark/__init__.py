@@ -11,7 +11,6 @@ DataFrame; nothing is collected to the driver.  Sub-packages:
   the mapping of the driver's test tables onto the domain.
 * ``plans``      - composite reports and the query catalogue used by
   ``__spark_entry__``.
-* ``streaming``  - incremental ingest of monthly activity drops.
 """
 
 from medspark.session import build_session, checkpoint_root

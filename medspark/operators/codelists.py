@@ -3,7 +3,8 @@
 A codelist is a small set of product codes.  Literal codes typed by the user
 become an ``isin`` (Catalyst turns it into an ``InSet`` and pushes it to the
 parquet scan); a codelist held in a table becomes a left-semi join, which the
-planner broadcasts when the table is small.
+planner broadcasts when the table's bytes are few.  Apply it to the raw rows,
+before they are aggregated.
 """
 
 from __future__ import annotations
@@ -13,61 +14,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medspark.operators.joins import anti_join, broadcast_if_small, semi_join
+from medspark.operators.joins import anti_join, semi_join
 from medspark.sources.literals import literal_table
 
-# Above this many patterns a wildcard filter becomes a semi join against a
-# broadcast pattern table instead of one long OR chain.
-MAX_INLINE_PATTERNS = 64
-
-
-# A codelist table with at most this many codes is broadcast after a count.
-MAX_BROADCAST_CODES = 2_000_000
-
-
-def _codes_side(codes: DataFrame, code_col: str, max_rows: int) -> DataFrame:
-    """The codelist's key column, broadcast when a bounded count proves it small.
-
-    The hint matters beyond the join itself: Catalyst pushes a left-semi/anti
-    join below an aggregate only when the join can be a broadcast join, so a
-    small codelist then filters the raw fact rows at the scan, before the
-    aggregate's shuffle.  Larger codelists stay a shuffle join.
-    """
-    return broadcast_if_small(codes.select(code_col), max_rows)
-
-
-def in_codelist(df: DataFrame, col: str, codes: DataFrame | Sequence, code_col: str | None = None,
-                max_broadcast_rows: int = MAX_BROADCAST_CODES) -> DataFrame:
+def in_codelist(df: DataFrame, col: str, codes: DataFrame | Sequence, code_col: str | None = None) -> DataFrame:
     """Keep rows whose code is in the codelist (NULL never matches)."""
     if isinstance(codes, DataFrame):
         code_col = code_col or col
-        return semi_join(df, _codes_side(codes, code_col, max_broadcast_rows), {col: code_col})
+        return semi_join(df, codes.select(code_col), {col: code_col})
     return df.where(F.col(col).isin(list(codes)))
 
 
-def not_in_codelist(df: DataFrame, col: str, codes: DataFrame, code_col: str | None = None,
-                    max_broadcast_rows: int = MAX_BROADCAST_CODES) -> DataFrame:
+def not_in_codelist(df: DataFrame, col: str, codes: DataFrame, code_col: str | None = None) -> DataFrame:
     """Keep rows whose code is absent; NA is a value here."""
     code_col = code_col or col
-    return anti_join(df, _codes_side(codes, code_col, max_broadcast_rows), {col: code_col}, null_safe=True)
+    return anti_join(df, codes.select(code_col), {col: code_col}, null_safe=True)
 
 
 def contains_any(col: Column | str, patterns: Sequence[str]) -> Column:
     """case-sensitive ``col LIKE '%p%'`` OR-ed over the patterns."""
     c = F.col(col) if isinstance(col, str) else col
-    out = F.lit(False)
-    for p in patterns:
-        out = out | c.contains(p)
-    return out
+    return F.exists(F.array(*[F.lit(p) for p in patterns]).cast("array<string>"), lambda p: c.contains(p))
 
 
 def filter_contains_any(df: DataFrame, col: str, patterns: Sequence[str]) -> DataFrame:
-    """F3 as a filter; many patterns use a broadcast semi join on ``contains``."""
-    if len(patterns) <= MAX_INLINE_PATTERNS:
-        return df.where(contains_any(col, patterns))
-    spark = df.sparkSession
-    pats = F.broadcast(literal_table(spark, [(p,) for p in patterns], "_pattern string"))
-    return df.join(pats, F.col(col).contains(F.col("_pattern")), "left_semi")
+    """F3 as a filter over the rows, however many patterns there are."""
+    return df.where(contains_any(col, patterns))
 
 
 def ingredient_lookup(products: DataFrame, links: DataFrame, ingredients: DataFrame, ddd: DataFrame,
@@ -86,7 +58,7 @@ def ingredient_lookup(products: DataFrame, links: DataFrame, ingredients: DataFr
     """
     names = list(names)
     if wildcards and len(names) < 2:
-        raise ValueError("ingredient_list must contain 2 or more ingredients")
+        raise ValueError("wildcard matching takes at least two names")
     if not names:
         raise ValueError("no ingredient names given")
     p = products.select(F.col(product_id).alias("id"), F.col(bnf_code).alias("bnf_code"),

@@ -10,8 +10,6 @@ Broadcast policy
   the planner's size estimate is under ``spark.sql.autoBroadcastJoinThreshold``
   and AQE re-plans at run time from the real shuffle sizes; above the limit
   the join stays a shuffle join, and AQE splits a skewed key.
-* ``broadcast_if_small`` is the explicit form for callers that want a hint:
-  it counts at most ``max_rows + 1`` rows and falls back to a plain join.
 """
 
 from __future__ import annotations
@@ -31,13 +29,6 @@ def literal_lookup(spark: SparkSession, rows: Sequence[tuple], schema: StructTyp
     return F.broadcast(literal_table(spark, rows, schema))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint ``broadcast`` only after checking that ``df`` has <= ``max_rows`` rows."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def _key_pairs(on: str | Sequence[str] | dict[str, str]) -> list[tuple[str, str]]:
     if isinstance(on, str):
         return [(on, on)]

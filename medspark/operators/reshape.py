@@ -1,38 +1,59 @@
 """Reshaping and the share table.
 
-Pivots always take their category values explicitly: ``pivot(c)`` without
-values runs an extra job to discover them and makes the output schema data
-dependent.  A pivot is a grouped aggregate, so its shuffle is keyed by the id
-columns only.
+A pivot's categories are given, or found in the data (one distinct over what is
+by then an aggregated table; a missing category is the column ``NA``).  A category
+that is not in a given list is an error, never a dropped row.  A pivot is a grouped
+aggregate, so its shuffle is keyed by the id columns only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medspark.functions.semantics import round_half_even
 from medspark.operators.columns import require_columns
 
 
+def categories_of(df: DataFrame, col: str) -> list[str | None]:
+    """The distinct categories in name order, a missing one last."""
+    return [r[0] for r in df.select(col).distinct().orderBy(F.col(col).asc_nulls_last()).collect()]
+
+
+def _shown(category: str | None) -> str:
+    return "NA" if category is None else str(category)
+
+
+def _listed(df: DataFrame, col: str, values: Sequence[str | None]) -> Column:
+    """The category column; a row with an unlisted category raises."""
+    known = F.lit(False)
+    for v in values:
+        known = known | F.col(col).eqNullSafe(F.lit(v))
+    told = F.concat(F.lit(f"unlisted category in {col}: "), F.coalesce(F.col(col).cast("string"), F.lit("NA")))
+    return F.when(known, F.col(col)).otherwise(F.raise_error(told).cast(df.schema[col].dataType))
+
+
 def pivot_wider(df: DataFrame, id_cols: Sequence[str], names_from: str, values_from: Sequence[str],
-                values: Sequence[str], values_fill: float | None = None) -> DataFrame:
-    """``pivot_wider``; output columns are ``<measure>_<category>``.
+                values: Sequence[str | None] | None = None, values_fill: float | None = None) -> DataFrame:
+    """``pivot_wider``; output columns are ``<measure>_<category>``, of all
+    categories in name order (missing last) when ``values`` is not given.
 
     Cells absent from the input get ``values_fill`` (None keeps NULL); cells
     present with a NULL measure stay NULL, as in tidyr.
     """
-    aggs = []
+    if values is None:
+        values = categories_of(df, names_from)
+    category, aggs = _listed(df, names_from, values), []
     for v in values:
         for m in values_from:
-            cell = F.first(F.when(F.col(names_from) == F.lit(v), F.col(m)), ignorenulls=True)
-            present = F.max(F.when(F.col(names_from) == F.lit(v), F.lit(1)))
+            cell = F.first(F.when(category.eqNullSafe(F.lit(v)), F.col(m)), ignorenulls=True)
+            present = F.max(F.when(category.eqNullSafe(F.lit(v)), F.lit(1)))
             if values_fill is not None:
                 cell = F.when(present.isNull(), F.lit(values_fill)).otherwise(cell)
             aggs.append((m, v, cell))
-    names = {(m, v): f"{m}_{v}" if len(values_from) > 1 else str(v) for m, v, _ in aggs}
+    names = {(m, v): f"{m}_{_shown(v)}" if len(values_from) > 1 else _shown(v) for m, v, _ in aggs}
     grouped = df.groupBy(*id_cols).agg(*[c.alias(names[(m, v)]) for m, v, c in aggs])
     ordered = [names[(m, v)] for m in values_from for v in values]
     return grouped.select(*id_cols, *ordered)
@@ -41,7 +62,8 @@ def pivot_wider(df: DataFrame, id_cols: Sequence[str], names_from: str, values_f
 def pivot_one(df: DataFrame, id_cols: Sequence[str], names_from: str, value: str,
               values: Sequence[str]) -> DataFrame:
     """R2: one measure cast wide; column names are the category values, absent cells NULL."""
-    aggs = [F.first(F.when(F.col(names_from) == F.lit(v), F.col(value)), ignorenulls=True).alias(v)
+    category = _listed(df, names_from, values)
+    aggs = [F.first(F.when(category.eqNullSafe(F.lit(v)), F.col(value)), ignorenulls=True).alias(_shown(v))
             for v in values]
     return df.groupBy(*id_cols).agg(*aggs)
 
@@ -57,7 +79,7 @@ def fill_missing(df: DataFrame, fills: Mapping[str, float]) -> DataFrame:
     return df.fillna(dict(fills))
 
 
-def share_table(df: DataFrame, id_col: str, category: str, categories: Sequence[str],
+def share_table(df: DataFrame, id_col: str, category: str, categories: Sequence[str | None] | None = None,
                 share: str = "prop_use", volume: str = "volume_ddd", total: str = "total",
                 digits: int = 3) -> DataFrame:
     """Round shares (half-even), zero-fill, pivot volume and share by category,
@@ -65,7 +87,9 @@ def share_table(df: DataFrame, id_col: str, category: str, categories: Sequence[
     require_columns(df, id_col, category, volume, share, total)  # P9
     prepared = fill_missing(df.withColumn(share, round_half_even(share, digits)),
                             {volume: 0.0, share: 0.0})
+    if categories is None:
+        categories = categories_of(prepared, category)
     wide = pivot_wider(prepared, [id_col, total], category, [volume, share], categories,
                        values_fill=0.0)
-    share_cols = [f"{share}_{c}" for c in categories]
+    share_cols = [f"{share}_{_shown(c)}" for c in categories]
     return wide.select(id_col, *share_cols, total)

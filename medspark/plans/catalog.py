@@ -46,6 +46,8 @@ EXACT_NAMES = ["gear", "anvil", "unobtainium", "sprocket"]
 WILDCARD_NAMES = ["ol", "izm"]
 NAME_PATTERNS = ["red", "gear", "ld b"]
 TREND_INGREDIENTS = ["gizmo"]                       # codelist of the trend reports
+UNNAMED_MOIETY = "MEDIUM"
+MANY_PATTERNS = [a + b for a in "abcdefghij" for b in "aeiouylr"]
 MOIETIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 ONE_MOIETY = "PROMO"
 # Area and name corrections for the mapped register (the domain's own tables
@@ -108,7 +110,7 @@ def _trend_codes(spark, d):
 
 
 def _codelist_activity(spark, d):
-    return codelists.in_codelist(td.activity(spark, d), "vmp_code", _trend_codes(spark, d))
+    return td.activity(spark, d, codes=_trend_codes(spark, d))
 
 
 def _vola(spark, d):
@@ -206,11 +208,11 @@ def _q_activity_monthly(spark, d):
 
 
 def _q_codelist_semi(spark, d):
-    return codelists.in_codelist(td.activity(spark, d), "vmp_code", _codelist(spark, d))
+    return td.activity(spark, d, codes=_codelist(spark, d))
 
 
 def _q_codelist_anti(spark, d):
-    return codelists.not_in_codelist(td.activity(spark, d), "vmp_code", _codelist(spark, d))
+    return td.activity(spark, d, without=_codelist(spark, d))
 
 
 def _q_name_wildcard_any(spark, d):
@@ -218,6 +220,11 @@ def _q_name_wildcard_any(spark, d):
                                          NAME_PATTERNS)
 
 
+def _q_name_wildcard_many(spark, d):
+    return codelists.filter_contains_any(td.products(spark, d).select("vmp_code", "vmp_name"), "vmp_name",
+                                         MANY_PATTERNS)
+
+
 def _q_ingredient_exact(spark, d):
     return _lookup(spark, d, EXACT_NAMES, wildcards=False)
 
@@ -392,6 +399,14 @@ def _q_top20_trusts(spark, d):
     return _to_ddd(top, SHARE_COLS)
 
 
+def _q_share_table_all_categories(spark, d):
+    """Categories found in the data; one moiety's name is missing."""
+    named = F.when(F.col("vtmnm") != UNNAMED_MOIETY, F.col("vtmnm"))
+    t = reshape.share_table(_top20_areas_unrounded(spark, d).withColumn("vtmnm", named), "stp_name", "vtmnm",
+                            volume="volume_units")
+    return _to_ddd(t, ("total",))
+
+
 def _q_share_table(spark, d):
     t = reshape.share_table(_top20_areas_unrounded(spark, d), "stp_name", "vtmnm", MOIETIES,
                             volume="volume_units")
@@ -587,6 +602,9 @@ CATALOG: dict[str, Query] = {
     "name_wildcard_any": Query(_q_name_wildcard_any,
                                f"{V}\nSELECT vmp_code, vmp_name FROM prod WHERE "
                                + " OR ".join(f"vmp_name LIKE '%{p}%'" for p in NAME_PATTERNS), "F3"),
+    "name_wildcard_many": Query(_q_name_wildcard_many,
+                                f"{V}\nSELECT vmp_code, vmp_name FROM prod WHERE "
+                                + " OR ".join(f"vmp_name LIKE '%{p}%'" for p in MANY_PATTERNS), "F3"),
     "ingredient_exact": Query(_q_ingredient_exact, f"{V}\n{_ingredient_sql(EXACT_NAMES, False)}", "G1 J2 J3"),
     "ingredient_wildcard": Query(_q_ingredient_wildcard, f"{V}\n{_ingredient_sql(WILDCARD_NAMES, True)}",
                                  "G1 F3 J2 J3"),
@@ -706,6 +724,13 @@ CATALOG: dict[str, Query] = {
                                      f"END), 0) AS prop_use_{m}" for m in MOIETIES)
                          + ", total / 1e6 AS total FROM top GROUP BY stp_name, total",
                          "Q10 G2 R1 R5 P5 X7"),
+    "share_table_all_categories": Query(_q_share_table_all_categories,
+                                        f"{V}{TOP20_AREAS_SQL_CTE}\nSELECT stp_name, "
+                                        + ", ".join("COALESCE(MAX(CASE WHEN vtmnm = "
+                                                    f"'{m}' THEN COALESCE(round_even(prop_use, 3), 0) END), 0) AS "
+                                                    f"prop_use_{'NA' if m == UNNAMED_MOIETY else m}" for m in MOIETIES)
+                                        + ", total / 1e6 AS total FROM top GROUP BY stp_name, total",
+                                        "Q10 G2 R1"),
     "moiety_share_per_trust": Query(_q_moiety_share_per_trust,
                                     f"{V}\nSELECT ods_code, COALESCE(SUM(volume_units), 0) / 1e6 AS volume_ddd, "
                                     f"COALESCE(SUM(CASE WHEN vtmnm = '{ONE_MOIETY}' THEN volume_units ELSE 0 END), 0)"

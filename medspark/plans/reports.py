@@ -127,13 +127,14 @@ def in_period(df: DataFrame, month: str, start: str, end: str) -> DataFrame:
 
 
 def top_groups(shares: DataFrame, group: str | Sequence[str], n: int = 20, total: str = "total",
-               rank: str = "rank", key_digits: int = 8) -> DataFrame:
+               rank: str = "rank", key_digits: int | None = None) -> DataFrame:
     """Q9/Q11 / W4 + F9 + O4: keep every row of the groups whose total is among
-    the ``n`` largest (dense rank, ties kept).  Totals are ranked on their
-    value rounded to ``key_digits`` so float noise cannot split a tie."""
+    the ``n`` largest (dense rank, ties kept).  Totals are ranked as they are;
+    ``key_digits`` rounds them first, for sums of doubles with float noise."""
     group = _cols(group)
     shares = stable(shares)  # one execution of the upstream plan feeds both branches
-    groups = shares.groupBy(*group).agg(F.round(F.max(total), key_digits).alias("_rank_key"))
+    key = F.max(total) if key_digits is None else F.round(F.max(total), key_digits)
+    groups = shares.groupBy(*group).agg(key.alias("_rank_key"))
     kept = top_n_groups(groups, "_rank_key", n, rank, materialise=False).drop("_rank_key")
     return join_left(shares, kept, group, null_safe=True, how="inner")
 

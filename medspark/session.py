@@ -3,13 +3,12 @@
 Library code never invents storage locations on a cluster: lineage cuts and
 materialised results go below the folder the cluster names in
 ``spark.checkpoint.dir``.  Only a local-mode session (tests, bench) may fall
-back to a fresh temporary folder when nothing is configured.
+back to a folder below its warehouse when nothing is configured.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -49,7 +48,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, configuring it only when unset.
 
     Order: the SparkContext's checkpoint dir, then ``spark.checkpoint.dir``;
-    with neither set, a local-mode session gets a fresh temporary folder and
+    with neither set, a local-mode session gets a folder below its warehouse and
     any other master raises, because a machine-local folder is not shared.
     """
     sc = spark.sparkContext
@@ -62,6 +61,6 @@ def checkpoint_root(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; point it at shared storage")
-        conf_dir = tempfile.mkdtemp(prefix="medspark-ckpt-")
+        conf_dir = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/medspark-shared"
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()

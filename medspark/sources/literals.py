@@ -1,28 +1,23 @@
 """Inline literal tables (override maps, dose tables, typed-in code lists).
 
-Built as ``inline(array(struct(...)))`` over a one-row range, so the plan is
-pure SQL with true size statistics (a ``createDataFrame`` from a Python list
-is an RDD-backed relation of unknown size).  Long lists (above
-``MAX_INLINE_ROWS``) are shipped with ``createDataFrame`` instead.
+The Python values become Arrow arrays of the declared types, which Spark takes as
+a local relation with a known size; one path for every number of rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-MAX_INLINE_ROWS = 1000
-
 
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: StructType | str) -> DataFrame:
-    """A small table from literal rows with the given schema (DDL or StructType)."""
+    """A table of literal rows with the given schema (DDL or StructType)."""
     st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    rows = list(rows)
-    if not rows or len(rows) > MAX_INLINE_ROWS:
-        return spark.createDataFrame(rows, st)
-    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, st.fields, strict=True)])
-               for row in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    arrow = to_arrow_schema(st)
+    columns = list(zip(*rows, strict=True)) or [()] * len(arrow)
+    table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+    return spark.createDataFrame(table, st)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from medspark.functions.dose import strength_per_single, volume_ddd, volume_singles
 from medspark.functions.scalars import month_start
 from medspark.functions.semantics import to_units
+from medspark.operators.codelists import in_codelist, not_in_codelist
 
 # Volumes are also carried as fixed-point micro-DDD (BIGINT) so that every sum
 # of them is exact and independent of partitioning and summation order.
@@ -67,9 +68,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # --- activity ----------------------------------------------------------------
 
-def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1: SUM of signed quantities GROUP BY month, organisation, product."""
+def activity(spark: SparkSession, sf_dir: str, codes: DataFrame | None = None,
+             without: DataFrame | None = None) -> DataFrame:
+    """A1: SUM of signed quantities GROUP BY month, organisation, product.
+    ``codes`` / ``without`` (vmp_code) filter the raw rows, before the sum."""
     li = table(spark, sf_dir, "lineitem")
+    if codes is not None:
+        li = in_codelist(li, "l_partkey", codes, "vmp_code")
+    if without is not None:
+        li = not_in_codelist(li, "l_partkey", without, "vmp_code")
     signed = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
     return (li.groupBy(month_start("l_shipdate").alias("year_month"),
                        F.col("l_suppkey").alias("ods_code"), F.col("l_partkey").alias("vmp_code"))
@@ -86,7 +93,9 @@ FROM lineitem GROUP BY 1, 2, 3"""
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dictionary: moiety = type, udfs = size, strength numerator = price;
-    denominator missing for keys divisible by 3, DDD missing for keys divisible by 5."""
+    denominator missing for keys divisible by 3; DDD missing for the whole moiety PROMO
+    and for a few products (keys divisible by 50) of SMALL, so that strict sums are
+    missing for some groups and have a value for others."""
     p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     return p.select(
@@ -94,13 +103,15 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_type").alias("vtmnm"), F.col("p_size").cast("double").alias("udfs"),
         F.col("p_retailprice").alias("nmr"),
         F.when(k % 3 != 0, (k % 7 + 1).cast("double")).alias("dnm"),
-        F.when(k % 5 != 0, (k % 11 + 1).cast("double")).alias("ddd"))
+        F.when((F.col("p_type") == "PROMO") | (F.col("p_type") == "SMALL") & (k % 50 == 0), F.lit(None))
+        .otherwise((k % 11 + 1).cast("double")).alias("ddd"))
 
 
 PRODUCTS_SQL = """SELECT p_partkey AS vmp_code, p_name AS vmp_name, p_brand AS bnf_code, p_type AS vtmnm,
        CAST(p_size AS DOUBLE) AS udfs, p_retailprice AS nmr,
        CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(p_partkey % 7 + 1 AS DOUBLE) END AS dnm,
-       CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_partkey % 11 + 1 AS DOUBLE) END AS ddd
+       CASE WHEN p_type = 'PROMO' OR p_type = 'SMALL' AND p_partkey % 50 = 0 THEN NULL
+            ELSE CAST(p_partkey % 11 + 1 AS DOUBLE) END AS ddd
 FROM part"""
 
 

@@ -7,8 +7,8 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from medspark.llm import (bpe, decontamination, language_model, license_scan, near_dups, quality_rules, repeats, secret_scan, sharding,
-                          storage, token_files)
+from medspark.llm import (bpe, decontamination, language_model, license_scan, near_dups, oracles, quality_rules,
+                          repeats, secret_scan, sharding, storage, token_files)
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -73,4 +73,4 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_secrets, op2_near_duplicates, op3_decontamination, op4_shards, op5_quality, op6_token_files, op7_licenses, op8_language_model,
     op9_bpe, op10_repeats)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracles.ORACLE_SQL

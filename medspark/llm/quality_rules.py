@@ -125,7 +125,8 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
     judged alone; repeated rows and NULL ids each keep their row."""
     measured = written(df.select(F.col(id_col), F.col(host_col).cast("string").alias("_host"),
                                  measures(F.col(text_col)).alias("_m")), "measures")
-    verdicts = host_verdicts(host_rates(measured, "_host", "_m"), host_limit)
+    # written, so that its size decides how it is joined, and a hot host can be split
+    verdicts = written(host_verdicts(host_rates(measured, "_host", "_m"), host_limit), "hosts")
     m = F.col("_m")
     return (measured.join(verdicts, F.col("_host") == F.col("host"), "left")
             .select(id_col, *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines",

@@ -28,6 +28,14 @@ def parse_digits_date(c: Column | str, fmt: str = "yyyyMMdd") -> Column:
     return F.try_to_date(_c(c).cast("string"), fmt)
 
 
+def in_months(date: str, start: str, end: str) -> Column:
+    """F4 on the raw date or timestamp column: the closed range of months as
+    ``date >= start AND date < the month after end``, which reaches the scan."""
+    day = F.col(date)
+    return (day >= F.to_timestamp_ntz(F.lit(start))) & (
+        day < F.add_months(F.to_date(F.lit(end)), 1).cast("timestamp_ntz"))
+
+
 def month_start(c: Column | str) -> Column:
     """Floor a date or timestamp to the first day of its month."""
     return F.trunc(_c(c).cast("date"), "month")

@@ -113,8 +113,8 @@ def _codelist_activity(spark, d):
     return td.activity(spark, d, codes=_trend_codes(spark, d))
 
 
-def _vola(spark, d):
-    return reports.with_areas(td.volume(spark, d), td.orgs(spark, d), td.areas(spark, d),
+def _vola(spark, d, period=None):
+    return reports.with_areas(td.volume(spark, d, period), td.orgs(spark, d), td.areas(spark, d),
                               area_overrides=TD_AREA_OVERRIDES)
 
 
@@ -138,7 +138,7 @@ def _combined(spark, d):
 
 
 def _top20_areas_unrounded(spark, d):
-    v = reports.in_period(_vola(spark, d), "year_month", *PERIOD).withColumn(
+    v = _vola(spark, d, PERIOD).withColumn(
         "stp_name", explicit_missing("stp_name"))
     shares = reports.category_shares(v, "stp_name", "vtmnm", value="volume_units", na_rm=True)
     return reports.top_groups(shares, "stp_name", 20)
@@ -391,7 +391,7 @@ def _q_top20_areas(spark, d):
 
 
 def _q_top20_trusts(spark, d):
-    v = reports.in_period(td.volume(spark, d), "year_month", *PERIOD).join(
+    v = td.volume(spark, d, PERIOD).join(
         td.orgs(spark, d).select("ods_code", "ods_name"), "ods_code", "left")
     shares = reports.category_shares(v, ["ods_name", "ods_code"], "vtmnm", value="volume_units", na_rm=True)
     top = reports.top_groups(shares, ["ods_name", "ods_code"], 20)
@@ -414,7 +414,7 @@ def _q_share_table(spark, d):
 
 
 def _q_moiety_share_per_trust(spark, d):
-    v = reports.in_period(td.volume(spark, d), "year_month", *PERIOD)
+    v = td.volume(spark, d, PERIOD)
     out = reports.moiety_share(v, "ods_code", "vtmnm", ONE_MOIETY, value="volume_units", na_rm=True)
     return _to_ddd(out)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medspark.functions.dose import strength_per_single, volume_ddd, volume_singles
-from medspark.functions.scalars import month_start
+from medspark.functions.scalars import in_months, month_start
 from medspark.functions.semantics import to_units
 from medspark.operators.codelists import in_codelist, not_in_codelist
 
@@ -69,10 +69,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- activity ----------------------------------------------------------------
 
 def activity(spark: SparkSession, sf_dir: str, codes: DataFrame | None = None,
-             without: DataFrame | None = None) -> DataFrame:
+             without: DataFrame | None = None, period: tuple[str, str] | None = None) -> DataFrame:
     """A1: SUM of signed quantities GROUP BY month, organisation, product.
-    ``codes`` / ``without`` (vmp_code) filter the raw rows, before the sum."""
+    ``codes`` / ``without`` (vmp_code) and ``period`` (closed range of months)
+    filter the raw rows, before the sum."""
     li = table(spark, sf_dir, "lineitem")
+    if period is not None:
+        li = li.where(in_months("l_shipdate", *period))
     if codes is not None:
         li = in_codelist(li, "l_partkey", codes, "vmp_code")
     if without is not None:
@@ -191,9 +194,9 @@ GROUP BY 1, 2, 3"""
 
 # --- dose volume ---------------------------------------------------------------
 
-def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+def volume(spark: SparkSession, sf_dir: str, period: tuple[str, str] | None = None) -> DataFrame:
     """Activity joined to the dictionary and converted to daily doses (X11)."""
-    act = activity(spark, sf_dir)
+    act = activity(spark, sf_dir, period=period)
     prod = products(spark, sf_dir).select("vmp_code", "vtmnm", "udfs", "nmr", "dnm", "ddd")
     j = act.join(prod, "vmp_code", "left")
     ddd = volume_ddd("total_quantity", "udfs", "nmr", "dnm", "ddd")

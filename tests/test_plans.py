@@ -128,3 +128,12 @@ def test_hot_organisation_join_is_split_by_aqe(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_period_reaches_the_scan(spark):
+    """The input of the period reports is filtered at the scan of the raw rows."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    plan = _plan(td.volume(spark, SF, catalog.PERIOD))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(l_shipdate,1998-08-01", plan)
+    assert re.search(r"PushedFilters: \[[^\]]*LessThan\(l_shipdate,1999-08-01", plan)

@@ -137,10 +137,10 @@ def _combined(spark, d):
                                    td.ccg_map(spark, d))
 
 
-def _top20_areas_unrounded(spark, d):
+def _top20_areas_unrounded(spark, d, na_rm=True):
     v = _vola(spark, d, PERIOD).withColumn(
         "stp_name", explicit_missing("stp_name"))
-    shares = reports.category_shares(v, "stp_name", "vtmnm", value="volume_units", na_rm=True)
+    shares = reports.category_shares(v, "stp_name", "vtmnm", value="volume_units", na_rm=na_rm, share_na_rm=True)
     return reports.top_groups(shares, "stp_name", 20)
 
 
@@ -156,11 +156,12 @@ def _to_ddd(df, cols=("volume_units",)):
 
 # --- SQL fragments shared by several oracle queries --------------------------------
 
-def _shares_sql(group: str, src: str, where: str = "") -> str:
-    """category shares (na_rm) of volume per group and moiety."""
+def _shares_sql(group: str, src: str, where: str = "", strict: bool = False) -> str:
+    """category shares (na_rm; ``strict``: of strict sums) of volume per group and moiety."""
+    inner = _strict_sql("volume_units") if strict else "COALESCE(SUM(volume_units), 0)"
     w = f"PARTITION BY {group}"
     run = f"PARTITION BY {group} ORDER BY vtmnm ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    return (f", s AS (SELECT {group}, vtmnm, COALESCE(SUM(volume_units), 0) AS volume_units FROM {src} {where} "
+    return (f", s AS (SELECT {group}, vtmnm, {inner} AS volume_units FROM {src} {where} "
             f"GROUP BY {group}, vtmnm),\n"
             f"w AS (SELECT *, volume_units / NULLIF(COALESCE(SUM(volume_units) OVER ({w}), 0), 0) AS prop_use,\n"
             f"  CASE WHEN COUNT(*) OVER ({run}) = COUNT(volume_units) OVER ({run}) "
@@ -171,12 +172,16 @@ def _shares_sql(group: str, src: str, where: str = "") -> str:
 SHARES_OUT_SQL = "volume_units / 1e6 AS volume_ddd, prop_use, pos / 1e6 AS pos, total / 1e6 AS total"
 
 
-TOP20_AREAS_SQL_CTE = (VOLA_SQL + ",\nva AS (SELECT * EXCLUDE (stp_name), COALESCE(stp_name, '(Missing)') AS stp_name "
+def _top20_areas_sql(strict: bool = False) -> str:
+    return (VOLA_SQL + ",\nva AS (SELECT * EXCLUDE (stp_name), COALESCE(stp_name, '(Missing)') AS stp_name "
                        f"FROM vola WHERE year_month BETWEEN DATE '{PERIOD[0]}' AND DATE '{PERIOD[1]}')"
-                       + _shares_sql("stp_name", "va")
+                       + _shares_sql("stp_name", "va", strict=strict)
                        + ",\nr AS (SELECT *, DENSE_RANK() OVER (ORDER BY total DESC) AS rank FROM w),\n"
                        "top AS (SELECT * FROM r WHERE rank <= 20)")
 
+
+TOP20_AREAS_SQL_CTE = _top20_areas_sql()
+
 COMBINED_SQL_CTE = (
     f", h AS (SELECT a.year_month AS month, o.stp_code AS stp, 'hospital' AS source, p.vtmnm AS product_name, "
     f"{_strict_sql('a.total_quantity')} AS quantity FROM act a LEFT JOIN prod p ON a.vmp_code = p.vmp_code "
@@ -390,6 +395,17 @@ def _q_top20_areas(spark, d):
     return _to_ddd(_top20_areas_unrounded(spark, d), SHARE_COLS)
 
 
+def _q_top20_areas_mixed(spark, d):
+    """Strict inner sums; shares and totals skip missing volumes."""
+    return _to_ddd(_top20_areas_unrounded(spark, d, na_rm=False), SHARE_COLS)
+
+
+def _q_share_table_mixed(spark, d):
+    t = reshape.share_table(_top20_areas_unrounded(spark, d, na_rm=False), "stp_name", "vtmnm", MOIETIES,
+                            volume="volume_units")
+    return _to_ddd(t, ("total",))
+
+
 def _q_top20_trusts(spark, d):
     v = td.volume(spark, d, PERIOD).join(
         td.orgs(spark, d).select("ods_code", "ods_name"), "ods_code", "left")
@@ -711,6 +727,14 @@ CATALOG: dict[str, Query] = {
     "top20_areas": Query(_q_top20_areas,
                          f"{V}{TOP20_AREAS_SQL_CTE}\nSELECT stp_name, vtmnm, {SHARES_OUT_SQL}, rank FROM top",
                          "Q9 F4 A5 W1-W4 F9 O4"),
+    "top20_areas_mixed": Query(_q_top20_areas_mixed,
+                               f"{V}{_top20_areas_sql(strict=True)}\nSELECT stp_name, vtmnm, {SHARES_OUT_SQL}, rank "
+                               "FROM top", "Q9 A5"),
+    "share_table_mixed": Query(_q_share_table_mixed,
+                               f"{V}{_top20_areas_sql(strict=True)}\nSELECT stp_name, "
+                               + ", ".join(f"COALESCE(MAX(CASE WHEN vtmnm = '{m}' THEN COALESCE(round_even(prop_use, 3), "
+                                           f"0) END), 0) AS prop_use_{m}" for m in MOIETIES)
+                               + ", total / 1e6 AS total FROM top GROUP BY stp_name, total", "Q10 G2"),
     "top20_trusts": Query(_q_top20_trusts,
                           f"{V}, vt AS (SELECT vol.*, orgs.ods_name FROM vol LEFT JOIN orgs ON vol.ods_code = "
                           f"orgs.ods_code WHERE year_month BETWEEN DATE '{PERIOD[0]}' AND DATE '{PERIOD[1]}')"

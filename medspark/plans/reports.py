@@ -106,18 +106,20 @@ def regional_trend(df: DataFrame, region: str = "comm_region_name", month: str =
 
 def category_shares(df: DataFrame, group: str | Sequence[str], category: str, value: str = "volume_ddd",
                     na_rm: bool = False, share: str = "prop_use", pos: str = "pos",
-                    total: str = "total") -> DataFrame:
+                    total: str = "total", share_na_rm: bool | None = None) -> DataFrame:
     """Q8 / A4-A6 + W1-W3: per group and category the volume, its share of the
     group, the stacked midpoint (categories in name order) and the group total.
 
-    Shares and totals skip missing volumes in the denominator when ``na_rm``
-    (as the area-level report does); the midpoint is a strict running sum (N3).
+    ``na_rm`` is the rule of the inner sums, ``share_na_rm`` (the same unless
+    given) that of shares and totals: the area report sums strictly inside and
+    skips missing volumes outside.  The midpoint is a strict running sum (N3).
     """
     group = _cols(group)
+    outer = na_rm if share_na_rm is None else share_na_rm
     sums = df.groupBy(*group, category).agg(agg_sum(value, na_rm).alias(value))
     w = Window.partitionBy(*group)
-    out = (sums.withColumn(share, safe_div(F.col(value), window_sum(value, w, na_rm)))
-           .withColumn(total, window_sum(value, w, na_rm)))
+    out = (sums.withColumn(share, safe_div(F.col(value), window_sum(value, w, outer)))
+           .withColumn(total, window_sum(value, w, outer)))
     return stacked_midpoint(out, value, group, category, pos).select(*group, category, value, share, pos, total)
 
 

@@ -9,7 +9,8 @@ an anchor at the same offset.  Anchors found once rule out all windows around
 them; where anchors recur the match is extended: the windows that hold them are
 compared whole, by 96-bit hashes, and the earliest of each kind is kept.
 
-Documents whose words all equal an earlier document's are settled by one key.
+Documents whose words all equal an earlier document's are settled by one key, which
+a block sends once for all its copies.
 Both exchanges are block requests (``medspark.llm.blocks``).
 """
 
@@ -54,29 +55,44 @@ class Block:
             np.concatenate(keys) if keys else np.empty(0, np.uint64), return_inverse=True, return_counts=True)
         self.twice = times > 1
 
-    def copy_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """128-bit keys of the long documents' word sequences."""
+    def sequences(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """128-bit keys of the long documents' distinct word sequences (two columns),
+        the row of the earliest document of each, and each long document's sequence."""
         digests = [xxhash.xxh3_128_intdigest(b" ".join(self.texts[i].split())) for i in self.long]
-        return (np.array([d >> 64 for d in digests], np.uint64),
-                np.array([d & (2**64 - 1) for d in digests], np.uint64), np.array(self.long, np.int64))
+        high = np.array([d >> 64 for d in digests], np.uint64)
+        low = np.array([d & (2**64 - 1) for d in digests], np.uint64)
+        rows = np.array(self.long, np.int64)
+        by = np.lexsort((self.tie[rows], self.order[rows], low, high))
+        new = np.ones(len(by), bool)
+        new[1:] = (high[by][1:] != high[by][:-1]) | (low[by][1:] != low[by][:-1])
+        group = np.empty(len(by), np.int64)
+        group[by] = np.cumsum(new) - 1
+        return high[by[new]], low[by[new]], rows[by[new]], group
+
+    def copies(self, replies: dict, buckets: int) -> set[int]:
+        """The rows whose word sequence an earlier document has, here or elsewhere."""
+        high, _, earliest, group = self.sequences()
+        elsewhere = np.zeros(len(high), bool)
+        for bucket, at in B.dealt(high, buckets):
+            elsewhere[at] = replies[COPIES, bucket]["yes"]
+        rows, head = np.array(self.long, np.int64), earliest[group]
+        here = (self.order[rows] != self.order[head]) | (self.tie[rows] != self.tie[head])
+        return set(rows[here | elsewhere[group]].tolist())
 
     def ask_anchors(self, buckets: int):
         for bucket, at in B.dealt(self.anchors, buckets):
             yield bucket, ANCHORS, {"key": self.anchors[at]}
-        high, low, rows = self.copy_keys()
+        high, low, earliest, _ = self.sequences()
         for bucket, at in B.dealt(high, buckets):
-            yield bucket, COPIES, {"key": high[at], "low": low[at], "order": self.order[rows[at]],
-                                   "tie": self.tie[rows[at]]}
+            yield bucket, COPIES, {"key": high[at], "low": low[at], "order": self.order[earliest[at]],
+                                   "tie": self.tie[earliest[at]]}
 
     def candidates(self, replies: dict, buckets: int) -> "Candidates":
         """The windows that hold a recurring anchor, of documents that are no copies."""
         recurring = self.twice.copy()
         for bucket, at in B.dealt(self.anchors, buckets):
             recurring[at] |= replies[ANCHORS, bucket]["yes"]
-        high, _, rows = self.copy_keys()
-        copies = set()
-        for bucket, at in B.dealt(high, buckets):
-            copies.update(rows[at][replies[COPIES, bucket]["yes"]].tolist())
+        copies = self.copies(replies, buckets)
         docs, starts, keys, checks, first = [], [], [], [], 0
         for i, at in zip(self.long, self.places, strict=True):
             found = recurring[self.anchor_of[first:first + len(at)]]

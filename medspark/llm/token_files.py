@@ -17,40 +17,81 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from medspark.llm.texts import Recent, bytes_of
+from medspark.llm.texts import slices
 
 END_ID = 2
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
-CACHE_ENTRIES = 150_000  # chunks that one Python worker keeps; others are encoded again
-#: Where a blank does not simply open the next word: such texts are encoded whole.
-_WHOLE = re.compile("  |\n | \n|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+CACHE_ENTRIES = 300_000  # chunks that one Python worker keeps, twice at most; others are encoded again
+#: Blanks other than the plain one and the line feed
+_BLANKS = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _stray_blank(text: str) -> bool:
+    """Does some blank not simply open the next word?  Such texts are encoded whole."""
+    return text.endswith(" ") or "  " in text or "\n " in text or " \n" in text or _BLANKS.search(text) is not None
 
 
 class IdEncoder:
-    """Ids of a byte-level BPE vocabulary whose words begin with their blank:
-    the ids of a text are those of its blank-led chunks one after another."""
+    """Ids of a byte-level BPE vocabulary whose words begin with their blank: the
+    ids of a text are those of its blank-led chunks one after another.  The chunks
+    of some texts that are not known go to the library as one text; only the ids
+    that begin with a blank begin a chunk."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         self._encode = tokenizer.encode_batch_fast
-        self._known = Recent(lambda chunk: self._ids(" " + chunk), CACHE_ENTRIES)
-
-    def _ids(self, text: str) -> bytes:
-        return np.asarray(self._encode([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if _WHOLE.search(text):
-            return self._ids(text)
-        first, *rest = text.split(" ")
-        return b"".join([self._ids(first), *map(self._known.__getitem__, rest)])
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        blank = tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]  # as labels write it
+        self._opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._opens[[i for token, i in vocabulary.items() if token.startswith(blank)]] = True
+        self._known, self._older = {"": b""}, {}  # chunks used lately; twice CACHE_ENTRIES and a slice's at most
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self._encode([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Makes the ids of ``chunks`` known."""
+        if len(self._known) > CACHE_ENTRIES:
+            self._known, self._older = {"": b""}, self._known
+        new = set(chunks).difference(self._known)
+        again = new.intersection(self._older)
+        self._known.update((c, self._older[c]) for c in again)
+        if new := list(new - again):
+            ids = self._ids(" " + " ".join(new))
+            cuts, raw = (4 * np.flatnonzero(self._opens[ids])).tolist(), ids.tobytes()
+            self._known.update(zip(new, [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)],
+                                   strict=True))
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each closed by ``end_id``, and how many each has.  Every
+        text is a list of numbered parts: its first chunk (or all of it, if a blank
+        strays), its other chunks, the end."""
+        rows = texts.to_pylist()
+        stray = [_stray_blank(t) for t in rows]
+        if any(stray):
+            texts = pa.compute.if_else(pa.array(stray), "", texts)
+        chunks = pa.compute.split_pattern(texts, " ")
+        offsets, chunks = chunks.offsets.to_numpy(), chunks.flatten().dictionary_encode()
+        known = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn(known)
+        parts = [*map(self._known.__getitem__, known),
+                 *(self._ids(t if whole else t.split(" ", 1)[0]).tobytes() for t, whole in zip(rows, stray, strict=True)),
+                 np.asarray([end_id], "<u4").tobytes()]
+        number = chunks.indices.to_numpy().astype(np.int64)
+        number[offsets[:-1]] = len(known) + np.arange(len(rows))
+        number = np.insert(number, offsets[1:], len(parts) - 1)
+        taken = pa.array(parts, pa.large_binary()).take(pa.array(number))
+        _, ends, ids = taken.buffers()
+        ends = np.frombuffer(ends, np.int64)[offsets + np.arange(len(offsets))] // 4
+        return np.frombuffer(ids, "<u4", ends[-1]), np.diff(ends)
 
 
 _ENCODERS: dict[str, IdEncoder] = {}
@@ -74,19 +115,16 @@ def write_token_files(df: DataFrame, tokenizer: str, path: str, id_col: str = "d
     names = [id_col, "part", "offset", "n_tokens", "tokens"]
 
     def run(batches):
-        encode, before = id_encoder(tokenizer).encode, 0
-        end, part = np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
-        for batch in batches:
-            ids = [encode(t.decode()) + end for t in bytes_of(batch.column(1))]
-            sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+        encode, before, part = id_encoder(tokenizer).encode, 0, TaskContext.get().partitionId()
+        for rows in (x for batch in batches for x in slices(batch, 1)):
+            ids, sizes = encode(pa.compute.fill_null(rows.column(1), b"").cast(pa.string()), end_id)
             ends = np.cumsum(sizes)
             tokens = pa.ListArray.from_arrays(
-                pa.array(np.concatenate(([0], ends)), pa.int32()),
-                pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+                pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.full(len(ids), part), pa.int32()),
+                [rows.column(0), pa.array(np.full(len(sizes), part), pa.int32()),
                  pa.array(before + ends - sizes), pa.array(sizes), tokens], names)
-            before += int(sizes.sum())
+            before += int(ends[-1])
 
     text = F.col(text_col).cast("string")
     rows = df.select(F.col(id_col), text.cast("binary").alias("_text"), F.xxhash64(text).alias("_tie"))

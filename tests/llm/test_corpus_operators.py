@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -89,6 +90,14 @@ def test_repeats_of_null_and_repeated_ids(spark):
     assert got == {(None, 25, 0): 1, (1, 26, 25): 1, (2, 25, 25): 2}
 
 
+def test_repeats_of_many_copies_in_and_across_blocks(spark, monkeypatch):
+    texts = [" ".join(f"c{k}x{i}" for i in range(30)) for k in range(3)]
+    rows = [(d * 11 % 97, texts[0] if d % 3 else texts[d % 5 % 3]) for d in range(97)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr("medspark.llm.blocks.BLOCK_BYTES", 1500)
+    assert by_id(repeats.remove_repeats(df)) == brute.repeats(rows)
+
+
 def test_cover_has_all_differences():
     assert {(a - b) % repeats.PERIOD for a in repeats.COVER for b in repeats.COVER} == set(range(repeats.PERIOD))
 
@@ -147,6 +156,21 @@ def test_token_files(spark, docs):
         assert len(one["tokens"]) == want[max(want)][1]
 
 
+def test_id_encoder_equals_the_library(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_ENTRIES", 50)
+    rng, library = random.Random(6), Tokenizer.from_file(BYTE)
+    parts = ["a", "don't", "'s", "''re", "12", "é", "×", "µ", "\n", "\n\n", " ", "  ", "\t", "<|endoftext|>", "--", "漢",
+             "’", "A1b", "\u0300", "½", "\x00", "'S", "Ġ", "\u00a0"]
+    texts = ["".join(rng.choice(parts) if rng.random() < .6 else " " for _ in range(rng.randint(0, 9)))
+             for _ in range(5000)]
+    encoder, got = token_files.IdEncoder(BYTE), []
+    for first in range(0, len(texts), 83):
+        ids, sizes = encoder.encode(pa.array(texts[first:first + 83]), 2)
+        got += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    want = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert got == want
+
+
 def test_token_file_layout(spark, real):
     import pyarrow.parquet as pq
     from glob import glob

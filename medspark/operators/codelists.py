@@ -99,3 +99,8 @@ def availability_counts(df: DataFrame, by: str | Sequence[str], value: str,
 def nonnull_counts(df: DataFrame, cols: Sequence[str], prefix: str = "n_") -> DataFrame:
     """One row with the number of non-missing values of each column."""
     return df.agg(*[F.count(F.col(c)).alias(f"{prefix}{c}") for c in cols])
+
+
+def common_values(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
+    """U4: the distinct values that both tables have; a missing value is one of them."""
+    return a.select(col).intersect(b.select(col))

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medspark.functions.scalars import (month_label, parse_digits_date, percent_1dp,
+from medspark.functions.scalars import (extract_after, month_label, parse_digits_date, percent_1dp,
                                         replace_first, thousands, title_case)
 from medspark.functions.dose import volume_mg
 from medspark.functions.semantics import explicit_missing, sum_na_rm, sum_strict, to_units
@@ -464,20 +464,21 @@ def _q_trend_array_all(spark, d):
 
 
 def _q_gap_fill(spark, d):
-    monthly = _codelist_activity(spark, d).groupBy("ods_code", "vmp_code", "year_month").agg(
-        F.sum("total_quantity").alias("total_quantity"))
-    return calendar.fill_calendar(monthly, ["ods_code", "vmp_code"], "year_month", "total_quantity", 0.0)
+    """Organisation and moiety; ``trend_array_all`` fills organisation and product."""
+    act = td.activity(spark, d).join(td.products(spark, d).select("vmp_code", "vtmnm"), "vmp_code", "left")
+    monthly = act.groupBy("ods_code", "vtmnm", "year_month").agg(F.sum("total_quantity").alias("total_quantity"))
+    return calendar.fill_calendar(monthly, ["ods_code", "vtmnm"], "year_month", "total_quantity", 0.0)
 
 
 def _q_locf(spark, d):
-    monthly = _codelist_activity(spark, d).groupBy("ods_code", "year_month").agg(
+    monthly = td.activity(spark, d).groupBy("ods_code", "year_month").agg(
         F.sum("total_quantity").alias("total_quantity"))
     filled = calendar.fill_calendar(monthly, ["ods_code"], "year_month", "total_quantity", None)
     return windows.locf(filled, "total_quantity", "ods_code", "year_month", "total_quantity_locf")
 
 
 def _q_subtotals(spark, d):
-    a = (_codelist_activity(spark, d).join(td.orgs(spark, d).select("ods_code", "ods_name"), "ods_code", "left")
+    a = (td.activity(spark, d).join(td.orgs(spark, d).select("ods_code", "ods_name"), "ods_code", "left")
          .join(td.products(spark, d).select("vmp_code", "vmp_name"), "vmp_code", "left"))
     return a.rollup("ods_name", "vmp_name").agg(F.sum("total_quantity").alias("total_quantity"),
                                                 F.grouping_id().alias("grp"))
@@ -561,6 +562,66 @@ def _q_name_cleanup(spark, d):
     return columns.rename(reg, {"organisation_code": "ods_code", "name": "ods_name"})
 
 
+def _q_register_tidy(spark, d):
+    """The register file as it is published: no header, all columns by position."""
+    s = td.table(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    filled = {
+        "organisation_code": F.concat(F.lit("T"), k.cast("string")),
+        "name": F.upper(F.concat(F.col("s_name"), F.lit(" and vale nhs and care trust"))),
+        "national_grouping": F.concat(F.lit("Y"), (k % 7).cast("string")),
+        "high_level_health_geography": F.when(k % 10 != 0, F.concat(F.lit("Q"), F.col("s_nationkey").cast("string"))),
+        "open_date": F.date_format(F.date_add(F.to_date(F.lit("1995-01-01")), (k % 3000).cast("int")), "yyyyMMdd"),
+        "close_date": F.when(k % 4 == 0, F.lit("20200331")),
+        "amended_record_indicator": F.lit("0"),
+    }
+    path, names = _scratch(spark, "register"), organisations.register_names()
+    readers.write_csv(s.select(*[filled.get(n, F.lit(None)).cast("string").alias(n) for n in names]), path,
+                      null_value="", header=False)
+    raw = readers.read_csv_positional(spark, path, names)
+    return organisations.tidy_register(raw, {"T1": "QX1", "T7": "QX7"}).select(
+        "ods_code", "ods_name", "region_code", "stp_code", "open_date", "close_date", "amended_record_indicator")
+
+
+def _q_csv_base_blanks(spark, d):
+    """Blank and NA text of a file without quotes, as base R reads it."""
+    k = F.col("vmp_code")
+    name = F.when(k % 3 == 0, F.lit("")).when(k % 3 == 1, F.lit("NA")).otherwise(F.col("vmp_name"))
+    dose = F.when(k % 5 == 0, F.lit("")).when(k % 5 == 1, F.lit("NA")).otherwise(F.col("ddd").cast("string"))
+    lines = td.products(spark, d).select(
+        F.concat_ws(",", k.cast("string"), name, F.coalesce(dose, F.lit("NA"))).alias("value"))
+    path = _scratch(spark, "lines")
+    lines.write.text(path)
+    return readers.read_csv(spark, path, "vmp_code bigint, vmp_name string, ddd double", header=False,
+                            blank_is_missing=False)
+
+
+def _q_sql_over_views(spark, d):
+    td.register_views(spark, d)
+    return spark.sql("SELECT act.year_month, orgs.stp_code, SUM(act.total_quantity) AS total_quantity "
+                     "FROM act LEFT JOIN orgs ON act.ods_code = orgs.ods_code GROUP BY 1, 2")
+
+
+def _q_product_totals_filtered(spark, d):
+    avail = quality.availability_table(_ddd_file(spark, d), "vmp_code", "ddd", "ddd_avail")
+    return quality.totals_with_flags(td.activity(spark, d), "vmp_code", "total_quantity", avail, "ddd_avail",
+                                     filters={"ddd_avail": ["FALSE", "(Missing)"], "positive_count": ["Positive"]},
+                                     out="total_count")
+
+
+def _q_common_areas(spark, d):
+    return codelists.common_values(td.orgs(spark, d), td.ccg_map(spark, d), "stp_code")
+
+
+def _q_share_labels(spark, d):
+    table = columns.drop_columns(_q_share_table(spark, d), "total")
+    wide = columns.select_prefix(table, "prop_use_", keep=["stp_name"])
+    shares = [c for c in wide.columns if c != "stp_name"]
+    long = reshape.unpivot_longer(wide, ["stp_name"], shares, "measure", "prop_use")
+    named = long.withColumn("medication", extract_after("measure", "prop_use_"))
+    return columns.relocate(columns.drop_columns(named, "measure"), "medication")
+
+
 def _q_category_order(spark, d):
     totals = (_vola(spark, d).groupBy(explicit_missing("stp_name").alias("stp_name"))
               .agg(sum_na_rm("volume_units").alias("total")))
@@ -603,7 +664,8 @@ def _q_xml_round_trip(spark, d):
 
 
 def _q_materialised_lookup(spark, d):
-    params = {"sf_dir": d, "names": EXACT_NAMES, "wildcards": False}
+    part = f"{d.rstrip('/')}/part.parquet"  # the lookup reads this table alone
+    params = {"sf_dir": d, "names": EXACT_NAMES, "wildcards": False, "source": cache.source_version(spark, part)}
     return cache.materialised(spark, "ingredient_lookup", params, lambda: _lookup(spark, d, EXACT_NAMES, False))
 
 
@@ -799,16 +861,16 @@ CATALOG: dict[str, Query] = {
                              "orgs ON t.ods_code = orgs.ods_code LEFT JOIN prod ON t.vmp_code = prod.vmp_code",
                              "Q3 R6 A18 X19 X20 (all keys)"),
     "gap_fill": Query(_q_gap_fill,
-                      f"{V}{CODES_SQL},\nm AS (SELECT ods_code, vmp_code, year_month, SUM(total_quantity) AS q "
-                      "FROM cact GROUP BY 1, 2, 3),\ncal AS (SELECT CAST(unnest(generate_series((SELECT MIN("
+                      f"{V}, m AS (SELECT ods_code, vtmnm, year_month, SUM(total_quantity) AS q "
+                      "FROM act LEFT JOIN prod ON act.vmp_code = prod.vmp_code GROUP BY 1, 2, 3),\ncal AS (SELECT CAST(unnest(generate_series((SELECT MIN("
                       "year_month) FROM m), (SELECT MAX(year_month) FROM m), INTERVAL 1 MONTH)) AS DATE) AS "
-                      "year_month),\nk AS (SELECT DISTINCT ods_code, vmp_code FROM m)\n"
-                      "SELECT k.ods_code, k.vmp_code, cal.year_month, COALESCE(m.q, 0) AS total_quantity FROM k "
-                      "CROSS JOIN cal LEFT JOIN m ON m.ods_code = k.ods_code AND m.vmp_code = k.vmp_code AND "
+                      "year_month),\nk AS (SELECT DISTINCT ods_code, vtmnm FROM m)\n"
+                      "SELECT k.ods_code, k.vtmnm, cal.year_month, COALESCE(m.q, 0) AS total_quantity FROM k "
+                      "CROSS JOIN cal LEFT JOIN m ON m.ods_code = k.ods_code AND m.vtmnm = k.vtmnm AND "
                       "m.year_month = cal.year_month", "R6 J10 W6"),
     "locf": Query(_q_locf,
-                  f"{V}{CODES_SQL},\nm AS (SELECT ods_code, year_month, SUM(total_quantity) AS q "
-                  "FROM cact GROUP BY 1, 2),\ncal AS (SELECT CAST(unnest(generate_series((SELECT MIN("
+                  f"{V}, m AS (SELECT ods_code, year_month, SUM(total_quantity) AS q "
+                  "FROM act GROUP BY 1, 2),\ncal AS (SELECT CAST(unnest(generate_series((SELECT MIN("
                   "year_month) FROM m), (SELECT MAX(year_month) FROM m), INTERVAL 1 MONTH)) AS DATE) AS "
                   "year_month),\nk AS (SELECT DISTINCT ods_code FROM m),\nfilled AS (SELECT k.ods_code, "
                   "cal.year_month, m.q AS total_quantity FROM k CROSS JOIN cal LEFT JOIN m ON m.ods_code = "
@@ -816,9 +878,9 @@ CATALOG: dict[str, Query] = {
                   "OVER (PARTITION BY ods_code ORDER BY year_month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) "
                   "AS total_quantity_locf FROM filled", "W7"),
     "subtotals": Query(_q_subtotals,
-                       f"{V}{CODES_SQL}\nSELECT orgs.ods_name, prod.vmp_name, SUM(cact.total_quantity) AS "
-                       "total_quantity, GROUPING(orgs.ods_name, prod.vmp_name) AS grp FROM cact LEFT JOIN orgs ON "
-                       "cact.ods_code = orgs.ods_code LEFT JOIN prod ON cact.vmp_code = prod.vmp_code "
+                       f"{V}\nSELECT orgs.ods_name, prod.vmp_name, SUM(act.total_quantity) AS "
+                       "total_quantity, GROUPING(orgs.ods_name, prod.vmp_name) AS grp FROM act LEFT JOIN orgs ON "
+                       "act.ods_code = orgs.ods_code LEFT JOIN prod ON act.vmp_code = prod.vmp_code "
                        "GROUP BY ROLLUP (orgs.ods_name, prod.vmp_name)", "A20"),
     "combined_sources": Query(_q_combined_sources, f"{V}{COMBINED_SQL_CTE}\nSELECT * FROM combined",
                               "Q13 A22 U2 P8 F5 W5"),
@@ -928,6 +990,38 @@ CATALOG: dict[str, Query] = {
                             "END AS DDD_UOMCD FROM prod", "S6 X16 S7"),
     "materialised_lookup": Query(_q_materialised_lookup, f"{V}\n{_ingredient_sql(EXACT_NAMES, False)}",
                                  "S8 S9"),
+    "register_tidy": Query(_q_register_tidy,
+                           f"{V}, raw AS (SELECT 'T' || s_suppkey AS ods_code, upper(s_name || ' and vale nhs and care "
+                           "trust') AS nm, 'Y' || (s_suppkey % 7) AS region_code, CASE WHEN s_suppkey = 1 THEN 'QX1' "
+                           "WHEN s_suppkey = 7 THEN 'QX7' WHEN s_suppkey % 10 <> 0 THEN 'Q' || s_nationkey END AS "
+                           "stp_code, CAST(DATE '1995-01-01' + CAST(s_suppkey % 3000 AS INTEGER) AS DATE) AS open_date,"
+                           " CASE WHEN s_suppkey % 4 = 0 THEN DATE '2020-03-31' END AS close_date FROM supplier),\n"
+                           "t AS (SELECT *, array_to_string(list_transform(string_split(lower(nm), ' '), "
+                           "lambda w: upper(w[1]) || w[2:]), ' ') AS tc FROM raw)\n"
+                           "SELECT ods_code, regexp_replace(regexp_replace(tc, 'Nhs', 'NHS'), 'And', 'and') AS "
+                           "ods_name, region_code, stp_code, open_date, close_date, 0 AS amended_record_indicator "
+                           "FROM t", "S4 Q20 X1 X2 X3 X12 P3 P7"),
+    "csv_base_blanks": Query(_q_csv_base_blanks,
+                             f"{V}\nSELECT vmp_code, CASE WHEN vmp_code % 3 = 0 THEN '' WHEN vmp_code % 3 = 2 THEN "
+                             "vmp_name END AS vmp_name, CASE WHEN vmp_code % 5 > 1 THEN ddd END AS ddd FROM prod",
+                             "S5 N12"),
+    "sql_over_views": Query(_q_sql_over_views,
+                            f"{V}\nSELECT act.year_month, orgs.stp_code, SUM(act.total_quantity) AS total_quantity "
+                            "FROM act LEFT JOIN orgs ON act.ods_code = orgs.ods_code GROUP BY 1, 2", "S1 S2"),
+    "product_totals_filtered": Query(_q_product_totals_filtered,
+                                     f"{V}, t AS (SELECT vmp_code, COALESCE(SUM(total_quantity), 0) AS total_count FROM "
+                                     "act GROUP BY 1),\nf AS (SELECT vmp_code, CASE WHEN ddd IS NOT NULL THEN 'TRUE' "
+                                     "ELSE 'FALSE' END AS ddd_avail FROM prod WHERE dnm IS NOT NULL)\nSELECT * FROM ("
+                                     "SELECT t.vmp_code, t.total_count, COALESCE(f.ddd_avail, '(Missing)') AS ddd_avail,"
+                                     " 'Positive' AS positive_count FROM t LEFT JOIN f ON t.vmp_code = f.vmp_code "
+                                     "WHERE t.total_count >= 0) WHERE ddd_avail <> 'TRUE'", "F10 Q19"),
+    "common_areas": Query(_q_common_areas,
+                          f"{V}\nSELECT stp_code FROM orgs INTERSECT SELECT stp_code FROM ccg_map", "U4"),
+    "share_labels": Query(_q_share_labels,
+                          f"{V}{TOP20_AREAS_SQL_CTE}\n" + "\nUNION ALL\n".join(
+                              f"SELECT '{m}' AS medication, stp_name, COALESCE(MAX(CASE WHEN vtmnm = '{m}' THEN "
+                              "COALESCE(round_even(prop_use, 3), 0) END), 0) AS prop_use FROM top "
+                              "GROUP BY stp_name, total" for m in MOIETIES), "X9 P4 P5 P6"),
 }
 
 

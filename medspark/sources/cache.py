@@ -15,6 +15,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from medspark.session import checkpoint_root
 
@@ -30,6 +31,15 @@ def cache_key(name: str, params: Mapping) -> str:
     return f"{name}-{digest[:20]}"
 
 
+def source_version(spark: SparkSession, *paths: str) -> str:
+    """A digest of the files below ``paths`` (names, sizes, times), for ``params``:
+    a source that was written anew gets a new copy.  The files are listed, not read."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+             .select(F.xxhash64("path", "length", F.col("modificationTime").cast("double")).alias("h")))
+    row = files.agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("h")).first()
+    return f"{row['n']}-{row['h']}"
+
+
 def materialised(spark: SparkSession, name: str, params: Mapping, build: Callable[[], DataFrame],
                  refresh: bool = False) -> DataFrame:
     """Read-through parquet copy of ``build()`` keyed by name + params."""

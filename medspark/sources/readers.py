@@ -37,11 +37,33 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, header: b
     """CSV with header and an explicit schema.
 
     N12: ``NA`` and (by default) empty text both mean missing, like
-    ``readr::read_csv``; ``blank_is_missing=False`` keeps "" as base R does.
+    ``readr::read_csv``; ``blank_is_missing=False`` keeps the blanks of text columns,
+    quoted or not, as "", as base R does (blank numbers are missing there too).
     """
-    df = (spark.read.schema(schema).option("header", header).option("nullValue", null_value)
-          .option("mode", mode).option("quote", '"').option("escape", '"').csv(path))
-    return _blank_strings_to_null(df) if blank_is_missing else df
+    if not blank_is_missing:
+        return _read_csv_keeping_blanks(spark, path, schema, header, null_value, mode)
+    return _blank_strings_to_null(_csv(spark, path, schema, header, null_value, mode))
+
+
+def _csv(spark: SparkSession, path: str, schema: StructType | str, header: bool, null_value: str,
+         mode: str) -> DataFrame:
+    return (spark.read.schema(schema).option("header", header).option("nullValue", null_value)
+            .option("mode", mode).option("quote", '"').option("escape", '"').csv(path))
+
+
+def _read_csv_keeping_blanks(spark: SparkSession, path: str, schema: StructType | str, header: bool,
+                             null_value: str, mode: str) -> DataFrame:
+    """Spark reads an unquoted blank as its null mark.  So all columns are read as
+    text with a mark that no file has, and NULL is a blank again."""
+    fields = (schema if isinstance(schema, StructType) else StructType.fromDDL(schema)).fields
+    texts = StructType([StructField(f.name, StringType(), True) for f in fields])
+    df = _csv(spark, path, texts, header, "\x00", mode)
+
+    def value(f: StructField):
+        text = F.nullif(F.coalesce(F.col(f.name), F.lit("")), F.lit(null_value))
+        return text if isinstance(f.dataType, StringType) else F.nullif(text, F.lit("")).cast(f.dataType)
+
+    return df.select(*[value(f).alias(f.name) for f in fields])
 
 
 def read_csv_positional(spark: SparkSession, path: str, names: Sequence[str], keep: int | None = None,

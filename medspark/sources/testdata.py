@@ -51,19 +51,12 @@ SCHEMAS = {
                  "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
                  "l_linestatus string, l_shipdate timestamp_ntz"),
 }
-_TABLES: dict[tuple[int, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables, read with its declared schema.  The
-    DataFrame (a lazy scan) is reused within the session, so a view built
-    from the same table several times does not list its files again."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark._jsparkSession), path)
-    if key not in _TABLES:
-        reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
-        _TABLES[key] = reader.parquet(path)
-    return _TABLES[key]
+    """One of the driver's tables, read with its declared schema."""
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 # --- activity ----------------------------------------------------------------

@@ -537,3 +537,19 @@ def test_dose_xml_reader_row_tag_sentinel_and_missing_elements(spark, tmpdir_pat
     assert (first["BNF"], first["ATC"], float(first["DDD"]), first["DDD_UOMCD"]) == ("0301011R0", "R03DX05", 16.0, "258684004")
     assert got["100000000000000002"]["BNF"] is None and got["100000000000000002"]["DDD"] is None
     assert got["100000000000000003"]["ATC"] is None
+
+
+def test_source_version_follows_the_files(spark, tmpdir_path):
+    from medspark.sources.cache import source_version
+    p = f"{tmpdir_path}/versioned"
+    spark.range(5).write.parquet(p)
+    first = source_version(spark, p)
+    assert first == source_version(spark, p)
+    spark.range(6).write.mode("append").parquet(p)
+    assert source_version(spark, p) != first
+
+
+def test_common_values(spark):
+    a = spark.createDataFrame([("x",), ("x",), (None,), ("y",)], "c string")
+    b = spark.createDataFrame([("x",), (None,), ("z",)], "c string")
+    assert {r[0] for r in codelists.common_values(a, b, "c").collect()} == {"x", None}

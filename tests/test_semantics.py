@@ -86,6 +86,10 @@ def test_n12_blank_and_na_text_are_missing(spark, tmpdir_path):
     assert rows(df) == [("1", None), ("2", None), ("3", "x")]
     kept = read_csv(spark, p, "id string, nm string", blank_is_missing=False)
     assert dict(rows(kept))["2"] == ""
+    with open(p, "w") as f:
+        f.write("id,nm,n\n1,NA,1.5\n2,,NA\n3,x,\n")
+    kept = read_csv(spark, p, "id string, nm string, n double", blank_is_missing=False)
+    assert rows(kept) == [("1", None, 1.5), ("2", "", None), ("3", "x", None)]
 
 
 def test_n13_distinct_count_counts_na_once(spark):

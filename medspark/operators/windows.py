@@ -135,7 +135,9 @@ def stable(df: DataFrame) -> DataFrame:
     path = f"{root.rstrip('/')}/medspark-stable/{uuid.uuid4().hex}"
     try:
         df.write.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "UNSUPPORTED_DATA_TYPE_FOR_DATASOURCE":
+            raise
         checkpoint_root(spark)
         return df.checkpoint(eager=True)
     return spark.read.parquet(path)

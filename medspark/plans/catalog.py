@@ -31,7 +31,7 @@ from medspark.functions.scalars import (extract_after, month_label, parse_digits
                                         replace_first, thousands, title_case)
 from medspark.functions.dose import volume_mg
 from medspark.functions.semantics import explicit_missing, sum_na_rm, sum_strict, to_units
-from medspark.operators import calendar, codelists, columns, joins, organisations, quality, reshape, windows
+from medspark.operators import calendar, codelists, columns, dictionary, joins, organisations, quality, reshape, windows
 from medspark.operators.dictionary import Lookup, star_join
 from medspark.plans import reports
 from medspark.sources import cache, readers
@@ -283,6 +283,26 @@ def _q_dictionary_star(spark, d):
     return _star(spark, d)
 
 
+def _q_product_dictionary(spark, d):
+    """All ten joins; a product has a row for each of its ingredients."""
+    part, k = td.table(spark, d, "part"), F.col("p_partkey")
+    unit = td.table(spark, d, "nation").select(F.col("n_nationkey").alias("cd"), F.col("n_name").alias("descr"))
+    named = td.table(spark, d, "region").select(F.col("r_regionkey").alias("cd"), F.col("r_name").alias("descr"))
+    vmp = part.select(k.alias("id"), F.col("p_name").alias("nm"), F.col("p_type").alias("vtm"), (k % 3).alias("df_ind"),
+                      F.col("p_size").cast("double").alias("udfs"), (k % 25).alias("udfs_uom"),
+                      (k % 26).alias("unit_dose_uom"), F.col("p_brand").alias("bnf_code"))
+    dform = part.where(k % 4 != 0).select(k.alias("vmp"), (k % 5).alias("form"))
+    size = F.length("ing")
+    vpi = td.ingredient_links(spark, d).select(
+        "vmp", size.cast("double").alias("strnt_nmrtr_val"),
+        F.when(size % 2 == 1, size * 0.5).alias("strnt_dnmtr_val"),
+        (size % 25).alias("strnt_nmrtr_uom"), F.when(size % 2 == 1, size % 7).alias("strnt_dnmtr_uom"))
+    vtm = part.select(F.col("p_type").alias("id"), F.lower("p_type").alias("nm")).distinct()
+    bnf = part.where("p_brand <> 'Brand#1'").select(
+        F.col("p_brand").alias("presentation_code"), F.concat(F.lit("P "), "p_brand").alias("presentation")).distinct()
+    return dictionary.product_dictionary(vmp, dform, named, named, unit, vpi, vtm, bnf)
+
+
 def _q_dictionary_distinct(spark, d):
     return _star(spark, d).select("stp_code", "stp_name", "comm_region_name").dropna(subset=["stp_code"]).distinct()
 
@@ -701,6 +721,21 @@ CATALOG: dict[str, Query] = {
                             f"{V}\nSELECT " + ", ".join(f"COUNT({c}) AS n_{c}" for c in NONNULL_COLS) + " FROM prod",
                             "A11"),
     "dictionary_star": Query(_q_dictionary_star, f"{V}{STAR_SQL}\nSELECT * FROM star", "J1 P1 P2"),
+    "product_dictionary": Query(_q_product_dictionary,
+                                f"{V}\nSELECT CAST(p_partkey AS VARCHAR) AS vmp_snomed_code, p_name AS vmp_product_name, "
+                                "p_type AS vtmid, p_partkey % 3 AS df_ind_cd, CAST(p_size AS DOUBLE) AS udfs, p_brand "
+                                "AS bnf_code, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 5 END AS form_cd, "
+                                "c.r_name AS form_descr, d.r_name AS df_descr, e.n_name AS udfs_descr, f.n_name AS "
+                                "unit_dose_descr, CAST(length(ing) AS DOUBLE) AS strnt_nmrtr_val, CASE WHEN "
+                                "length(ing) % 2 = 1 THEN length(ing) * CAST(0.5 AS DOUBLE) END AS strnt_dnmtr_val, "
+                                "h.n_name AS strnt_nmrtr_uom, i.n_name AS strnt_dnmtr_descr, lower(p_type) AS vtmnm, "
+                                "CASE WHEN p_brand <> 'Brand#1' THEN 'P ' || p_brand END AS bnf_presentation "
+                                "FROM part LEFT JOIN region c ON p_partkey % 4 <> 0 AND c.r_regionkey = p_partkey % 5 "
+                                "LEFT JOIN region d ON d.r_regionkey = p_partkey % 3 LEFT JOIN nation e ON "
+                                "e.n_nationkey = p_partkey % 25 LEFT JOIN nation f ON f.n_nationkey = p_partkey % 26 "
+                                "LEFT JOIN links ON links.vmp = p_partkey LEFT JOIN nation h ON h.n_nationkey = "
+                                "length(ing) % 25 LEFT JOIN nation i ON length(ing) % 2 = 1 AND i.n_nationkey = "
+                                "length(ing) % 7", "J1 P2"),
     "dictionary_distinct": Query(_q_dictionary_distinct,
                                  f"{V}{STAR_SQL}\nSELECT DISTINCT stp_code, stp_name, comm_region_name FROM star "
                                  "WHERE stp_code IS NOT NULL", "A12 F5"),

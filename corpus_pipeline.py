@@ -16,6 +16,8 @@ from medspark.llm import bpe, decontamination, near_dups, quality_rules, queries
 #: entropies and merges are computed in code.  Tests hold the stages against
 #: brute force.
 ORACLE_SQL = None
+#: Percent of the union of two documents' shingles that near-duplicates share.
+NEAR_PERCENT = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group."""
     queries.importable(spark)
-    return near_dups.keep_one(docs)
+    return near_dups.keep_one(docs, percent=NEAR_PERCENT)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,10 +31,10 @@ from medspark.llm.storage import written
 from medspark.llm.texts import bytes_of, hashed_texts, joined, map_texts
 
 SHINGLE = 5
-PERCENT = 85
+PERCENT = 85  # of the union that linked sets share, unless a caller asks for another share
 BUCKETS, MANTISSA = 256, 10
 BAND = 6  # registers
-BANDS = BUCKETS // BAND  # a pair at 0.85 shares none with chance (1 - 0.85^6)^42: 2e-9
+BANDS = BUCKETS // BAND  # a pair at 0.85 shares none with chance (1 - 0.85^6)^42: 2e-9, at 0.8 3e-6
 DEVIATIONS = 5  # of an estimate, below the threshold, that still count as within reach
 TILE = 1024  # members of a bucket compared with as many
 _REST = 64 - 8
@@ -85,15 +85,15 @@ def estimates(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.
     return (equal - chance) / (1 - chance)
 
 
-def within_reach(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+def within_reach(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Can these pairs be linked?  By sizes, and by the estimate: the registers in
     use sample the union without replacement."""
-    least = PERCENT / 100
+    least = percent / 100
     used = np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
     unseen = np.clip(1 - used * (1 + least) / (n + m), 0.02, 1)
     deviation = np.sqrt(least * (1 - least) * unseen / used)
     return (estimates(a, b, n, m) >= least - DEVIATIONS * deviation - 1 / used) & (
-        100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+        100 * np.minimum(n, m) >= percent * np.maximum(n, m))
 
 
 def word_sets(text: bytes, size: int = SHINGLE) -> set[tuple[bytes, ...]]:
@@ -147,12 +147,12 @@ def band_keys(sets: DataFrame) -> DataFrame:
     return sets.select("id", "registers").mapInArrow(run, "key bigint, id bigint")
 
 
-def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) whose estimate leaves the threshold within reach."""
     def run(batches):
         for batch in batches:
             n, m = (batch.column(c).to_numpy().astype(np.float64) for c in ("na", "nb"))
-            near = within_reach(*(_registers(batch.column(c)) for c in ("ra", "rb")), n, m)
+            near = within_reach(*(_registers(batch.column(c)) for c in ("ra", "rb")), n, m, percent)
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
     def side(x):
@@ -161,7 +161,7 @@ def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint")
 
 
-def likely_in_tiles(members: DataFrame) -> DataFrame:
+def likely_in_tiles(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of members (key, id, component, n_shingles, registers, tiles) of
     one key and different components that are within reach; each pair from the
     first band that it shares."""
@@ -183,8 +183,8 @@ def likely_in_tiles(members: DataFrame) -> DataFrame:
             other[:i + 1] = False
             if low != high:
                 other &= tile != tile[i]
-            at = np.flatnonzero(other & (100 * np.minimum(sizes, sizes[i]) >= PERCENT * np.maximum(sizes, sizes[i])))
-            at = at[within_reach(own[i][None], own[at], np.full(len(at), sizes[i]), sizes[at])]
+            at = np.flatnonzero(other & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])))
+            at = at[within_reach(own[i][None], own[at], np.full(len(at), sizes[i]), sizes[at], percent)]
             if len(at):
                 bands = bands_of(own) if bands is None else bands
                 at = at[bands[i][np.argmax(bands[at] == bands[i], axis=1)] == key]
@@ -214,7 +214,7 @@ def likely_in_tiles(members: DataFrame) -> DataFrame:
     return rows.repartition(*sides).sortWithinPartitions(*sides).mapInArrow(run, "a bigint, b bigint")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough."""
     def run(batches):
         last, known = None, set()
@@ -226,7 +226,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     last, known = b, word_sets(tb)
                 own = word_sets(ta)
                 both = len(own & known)
-                keep.append(100 * both >= PERCENT * (len(own) + len(known) - both))
+                keep.append(100 * both >= percent * (len(own) + len(known) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def side(x):
@@ -260,10 +260,10 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "label")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
-    A NULL text has no words; documents without words are linked with nothing.
+    Documents are linked that share at least ``percent`` of their union.  A NULL text has no words; documents without words are linked with nothing.
     Rows of one id count as one document if their words are alike and as linked
     documents otherwise.  A NULL id is never linked: component_id is NULL, kept
     is true.  Extra columns are not read."""
@@ -281,8 +281,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     led = written(members.select("key", "id").join(leaders, "key"), "led")
 
     texts = texts_of(led, df, id_col, text_col)
-    first = likely(led.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), sets)
-    links = written(confirmed(written(first, "pairs"), texts), "links")
+    first = likely(led.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), sets,
+                   percent)
+    links = written(confirmed(written(first, "pairs"), texts, percent), "links")
     found = components(links)
 
     placed = led.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -290,9 +291,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                        F.count(F.lit(1)).alias("size"))
              .where("c0 < c1").select("key", F.ceil(F.col("size") / TILE).alias("tiles")))
     sketched = sets.select("id", "n_shingles", "registers")
-    rest = written(likely_in_tiles(placed.select("key", "id", "component").join(mixed, "key").join(sketched, "id")),
-                   "pairs")
-    more = written(confirmed(rest, texts), "links")
+    rest = written(likely_in_tiles(placed.select("key", "id", "component").join(mixed, "key").join(sketched, "id"),
+                                   percent), "pairs")
+    more = written(confirmed(rest, texts, percent), "links")
     if not more.isEmpty():
         found = components(links.union(more))
 
@@ -305,10 +306,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``df``, all columns, without documents whose component has a
     smaller id.  Rows alike in id and text are one document and stay together."""
-    gone = written(near_duplicates(df, id_col, text_col).where(~F.col("kept")).select(
+    gone = written(near_duplicates(df, id_col, text_col, percent).where(~F.col("kept")).select(
         F.col(id_col).alias("_gone")), "gone")
     kept = df.join(gone, F.col(id_col).cast("bigint") == F.col("_gone"), "left_anti")
     return kept.select(*df.columns)

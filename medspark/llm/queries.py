@@ -33,7 +33,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.near_duplicates(documents(spark, sf_dir))
+    return near_dups.near_duplicates(documents(spark, sf_dir), percent=85)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

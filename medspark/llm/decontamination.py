@@ -4,8 +4,10 @@ The CGK embedding walks over a word sequence of length ``n``: in each of ``3 n``
 steps it emits the word it stands on and moves on if a random bit, drawn for the
 step and the word, says so.  Sequences at a small edit distance walk together most
 of the time, so few positions differ: edit distance becomes Hamming distance.
-Items are embedded ``REPEATS`` times with fresh bits; from each embedding
-``SAMPLED`` positions form an LSH key.  Windows of a text, as long as an item, are
+Items are embedded several times with fresh bits; from each embedding a few
+positions form an LSH key.  The longer an item, the fewer positions stay equal, so
+the number of repeats and of positions follow from its length: simulated walks of
+items with as many edits as count meet at least once with chance ``RECALL``.  Windows of a text, as long as an item, are
 embedded with the same bits (one walk serves all lengths: a window's end only turns
 what follows into padding) and looked up.  Whatever meets an item is verified by
 the exact edit distance.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import random
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -32,8 +35,10 @@ from medspark.llm.texts import bytes_of, slices
 
 MIN_WORDS = 5  # a shorter item is no evidence of a leak
 EDITS = 0.2  # of an item's words
-REPEATS, SAMPLED = 48, 4
-WALKED = 512  # windows at a time
+RECALL = 0.999  # of windows with as many edits as count
+SAMPLED, MOST_REPEATS = 4, 96  # fewer positions where so many would need more repeats
+TRIALS, WALKS = 100, 32  # simulated pairs, and walks of each
+WALKED = 1 << 16  # steps of windows at a time: 512 windows of 64 words
 MAX_PIECE = 4  # a shorter piece than need be rules out less, but nothing wrongly
 BLOCK_BYTES = 4 << 20  # of item texts that are held at once; more go in blocks
 RESULT = "doc_id bigint, item_id bigint, first_word bigint, last_word bigint, edits bigint"
@@ -51,20 +56,75 @@ def step_bits(symbols: np.ndarray, step: int, seeds: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(32))) & np.uint64(1)).astype(np.int64)
 
 
-def edits_at(item: list[bytes], text: list[bytes], start: int, most: int) -> tuple[int, int] | None:
-    """(edits, end) of the best span of ``text`` from ``start``, if at most ``most``."""
-    line = list(range(len(item) + 1))
-    best = (line[-1], start)
-    for end in range(start, min(len(text), start + len(item) + most)):
-        word, diagonal = text[end], line[0]
-        line[0] = end + 1 - start
-        for i, expected in enumerate(item, 1):
-            above = line[i]
-            line[i] = diagonal if word == expected else 1 + min(diagonal, above, line[i - 1])
-            diagonal = above
-        if line[-1] < best[0]:
-            best = (line[-1], end + 1)
-        if min(line) > most:
+def equal_shares(n: int) -> np.ndarray:
+    """Shares of equal walk positions (trial x walk) of items of ``n`` distinct words
+    and windows from the true start with ``int(EDITS * n)`` edits: words put in, left
+    out or replaced at random places."""
+    rng = np.random.Generator(np.random.PCG64(n))
+    ours = rng.integers(0, 1 << 63, (TRIALS, n), dtype=np.uint64)
+    theirs = np.empty_like(ours)
+    for item, window in zip(ours, theirs, strict=True):
+        kind = np.full(n, 3)
+        kind[rng.choice(n, int(EDITS * n), replace=False)] = rng.integers(0, 3, int(EDITS * n))
+        odd = rng.integers(0, 1 << 63, (n, 2), dtype=np.uint64)
+        span = [x for k, word, new in zip(kind, item, odd[:, 0], strict=True)
+                for x in ((new, word), (), (new,), (word,))[k]]
+        window[:] = [*span, *odd[:, 1]][:n]
+    ours, theirs = (np.pad(x, ((0, 0), (0, 1)), constant_values=_PAD) for x in (ours, theirs))
+    seeds, row = rng.integers(0, 1 << 63, WALKS, dtype=np.uint64), np.arange(TRIALS)[:, None]
+    a = b = np.zeros((TRIALS, WALKS), np.int64)
+    equal = np.zeros((TRIALS, WALKS))
+    for step in range(2 * n):
+        x, y = ours[row, a], theirs[row, b]
+        equal += x == y
+        a, b = (np.minimum(at + step_bits(z, step, seeds), n) for at, z in ((a, x), (b, y)))
+    return equal / (2 * n)
+
+
+@lru_cache(maxsize=None)
+def plan(n: int) -> tuple[int, int]:
+    """(repeats, positions sampled) for items of ``n`` words: as many positions as
+    ``MOST_REPEATS`` allow at ``RECALL``; with one position, as many repeats as it takes."""
+    grain = 1 << max(n.bit_length() - 4, 0)  # lengths above 16 share a plan: that of the longest
+    if n % grain:
+        return plan(n + grain - n % grain)
+    shares = equal_shares(n)
+    for sampled in range(min(SAMPLED, 2 * n), 0, -1):
+        met, repeats = (shares ** sampled).mean(axis=1), 8
+        while ((1 - met) ** repeats).mean() > 1 - RECALL and (repeats < MOST_REPEATS or sampled == 1):
+            repeats += 4
+        if ((1 - met) ** repeats).mean() <= 1 - RECALL:
+            break
+    return repeats, sampled
+
+
+def places_of(item: list[bytes]) -> dict[bytes, int]:
+    """Each word's places in an item, as bits."""
+    found: dict[bytes, int] = {}
+    for i, word in enumerate(item):
+        found[word] = found.get(word, 0) | 1 << i
+    return found
+
+
+def edits_at(item: list[bytes], text: list[bytes], start: int, most: int,
+             places: dict[bytes, int] | None = None) -> tuple[int, int] | None:
+    """(edits, end) of the best span of ``text`` from ``start``, if at most ``most``.
+    A column of the table of distances is held as bits: where it rises, where it falls."""
+    places = places_of(item) if places is None else places
+    whole, last = (1 << len(item)) - 1, 1 << len(item) >> 1
+    rises, falls, edits = whole, 0, len(item)
+    best, stop = (edits, start), min(len(text), start + len(item) + most)
+    for end in range(start, stop):
+        at = places.get(text[end], 0)
+        level = (((at & rises) + rises) ^ rises) | at
+        at |= falls
+        up, down = falls | whole & ~(level | rises), rises & level
+        edits += bool(up & last) - bool(down & last)
+        up, down = up << 1 | 1, down << 1
+        rises, falls = (down | ~(at | up)) & whole, up & at & whole
+        if edits < best[0]:
+            best = (edits, end + 1)
+        if edits - (stop - end - 1) > most:
             break
     return best if best[0] <= most else None
 
@@ -80,10 +140,12 @@ class Match:
 class Index:
     """Pieces and LSH keys of some items."""
 
-    def __init__(self, items: list[tuple[int, bytes]], repeats: int = REPEATS, seed: int = 1):
+    def __init__(self, items: list[tuple[int, bytes]], seed: int = 1):
         rng = random.Random(seed)
         self.items = [(number, w) for number, text in items if len(w := words(text)) >= MIN_WORDS]
-        self.seeds = np.array([rng.getrandbits(64) for _ in range(repeats)], np.uint64)
+        self.plans = {n: plan(n) for n in sorted({len(w) for _, w in self.items})}
+        most = max((repeats for repeats, _ in self.plans.values()), default=0)
+        self.seeds = np.array([rng.getrandbits(64) for _ in range(most)], np.uint64)
         self.sampled: dict[int, np.ndarray] = {}  # by window length: positions for each repeat
         self.tables: dict[int, dict[tuple[int, int], list[int]]] = {}
         self.vocabulary: dict[bytes, int] = {}
@@ -97,12 +159,11 @@ class Index:
             for at in range(0, count * size, size):
                 table.setdefault(int(runs[at]), set()).add((at, len(w)))
         self.sorted = {size: np.array(sorted(t), np.uint64) for size, t in self.pieces.items()}
-        for n in sorted({len(w) for _, w in self.items}):
-            self.sampled[n] = np.array([sorted(rng.sample(range(2 * n), min(SAMPLED, 2 * n)))
-                                        for _ in range(repeats)])
+        for n, (repeats, sampled) in self.plans.items():
+            self.sampled[n] = np.array([sorted(rng.sample(range(2 * n), sampled)) for _ in range(repeats)])
             self.tables[n] = {}
         for place, (_, w) in enumerate(self.items):
-            walk = self._walk(word_ids(w), np.zeros(1, np.int64), 2 * len(w))
+            walk = self._walk(word_ids(w), np.zeros(1, np.int64), 2 * len(w), self.plans[len(w)][0])
             for key in enumerate(self._keys(word_ids(w), walk, np.zeros(1, np.int64), len(w))[0].tolist()):
                 self.tables[len(w)].setdefault(key, []).append(place)
 
@@ -115,21 +176,21 @@ class Index:
             out ^= out >> np.uint64(29)
         return out
 
-    def _walk(self, symbols: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarray:
+    def _walk(self, symbols: np.ndarray, starts: np.ndarray, steps: int, repeats: int | None = None) -> np.ndarray:
         """Places in ``symbols`` at each step, for every start and repeat."""
-        padded = np.append(symbols, _PAD)
-        at = np.repeat(starts[:, None], len(self.seeds), axis=1)
+        padded, seeds = np.append(symbols, _PAD), self.seeds[:repeats]
+        at = np.repeat(starts[:, None], len(seeds), axis=1)
         out = np.empty((steps, *at.shape), np.int64)
         for step in range(steps):
             out[step] = at
-            at = np.minimum(at + step_bits(padded[at], step, self.seeds), len(symbols))
+            at = np.minimum(at + step_bits(padded[at], step, seeds), len(symbols))
         return out
 
     def _keys(self, symbols: np.ndarray, walk: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
         """LSH keys (start x repeat) of the windows of ``n`` words."""
         padded, sampled = np.append(symbols, _PAD), self.sampled[n]
-        key = np.zeros((len(starts), len(self.seeds)), np.uint64)
-        repeat = np.arange(len(self.seeds))
+        key = np.zeros((len(starts), len(sampled)), np.uint64)
+        repeat = np.arange(len(sampled))
         for column in range(sampled.shape[1]):
             place = walk[sampled[:, column], :, repeat].T
             symbol = np.where(place < starts[:, None] + n, padded[place], _PAD)
@@ -161,9 +222,10 @@ class Index:
         symbols = word_ids(text) if windows else None
         for n, starts in windows.items():
             table = self.tables[n]
-            for first in range(0, len(starts), WALKED):
-                part = np.array(starts[first:first + WALKED])
-                keys = self._keys(symbols, self._walk(symbols, part, 2 * n), part, n)
+            many = max(WALKED // (2 * n), 1)
+            for first in range(0, len(starts), many):
+                part = np.array(starts[first:first + many])
+                keys = self._keys(symbols, self._walk(symbols, part, 2 * n, self.plans[n][0]), part, n)
                 for start, row in zip(part.tolist(), keys.tolist(), strict=True):
                     for key in enumerate(row):
                         for place in table.get(key, ()):
@@ -176,9 +238,9 @@ class Index:
         out = []
         for place, starts in sorted(self.candidates(text).items()):
             number, item = self.items[place]
-            most, best = int(EDITS * len(item)), None
+            most, best, in_item = int(EDITS * len(item)), None, places_of(item)
             for start in sorted(starts):
-                found = edits_at(item, text, start, most if best is None else best.edits - 1)
+                found = edits_at(item, text, start, most if best is None else best.edits - 1, in_item)
                 if found:
                     best = Match(number, start, found[1] - 1, found[0])
                     if not found[0]:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from medspark.llm.license_scan import words
 from medspark.llm.texts import bytes_of, slices
 
-MIN_WORDS = 5  # a shorter item is no evidence of a leak
+MIN_WORDS = 5  # a shorter item has no edits and is found by its words alone
 EDITS = 0.2  # of an item's words
 RECALL = 0.999  # of windows with as many edits as count
 SAMPLED, MOST_REPEATS = 4, 96  # fewer positions where so many would need more repeats
@@ -142,7 +142,13 @@ class Index:
 
     def __init__(self, items: list[tuple[int, bytes]], seed: int = 1):
         rng = random.Random(seed)
-        self.items = [(number, w) for number, text in items if len(w := words(text)) >= MIN_WORDS]
+        split = [(number, w) for number, text in items if (w := words(text))]
+        self.items = [(number, w) for number, w in split if len(w) >= MIN_WORDS]
+        #: items under ``MIN_WORDS`` words: numbers by number of words and words
+        self.short: dict[int, dict[tuple[bytes, ...], list[int]]] = {}
+        for number, w in split:
+            if len(w) < MIN_WORDS:
+                self.short.setdefault(len(w), {}).setdefault(tuple(w), []).append(number)
         self.plans = {n: plan(n) for n in sorted({len(w) for _, w in self.items})}
         most = max((repeats for repeats, _ in self.plans.values()), default=0)
         self.seeds = np.array([rng.getrandbits(64) for _ in range(most)], np.uint64)
@@ -232,12 +238,28 @@ class Index:
                             found.setdefault(place, set()).add(start)
         return found
 
-    def matches(self, text: list[bytes]) -> list[Match]:
-        """Each item that a span of the text equals within its edits: the best
-        span, the earliest of equally good ones."""
+    def short_matches(self, text: list[bytes], least: int = 1) -> list[Match]:
+        """Each item of ``least`` up to ``MIN_WORDS`` words that the text holds: its
+        first span."""
         out = []
+        for n, items in self.short.items():
+            if n < least:
+                continue
+            seen = set()
+            for start, span in enumerate(zip(*(text[i:] for i in range(n)), strict=False)):
+                if span in items and span not in seen:
+                    seen.add(span)
+                    out += [Match(number, start, start + n - 1, 0) for number in items[span]]
+        return out
+
+    def matches(self, text: list[bytes], least: int = 1) -> list[Match]:
+        """Each item of at least ``least`` words that a span of the text equals within
+        its edits: the best span, the earliest of equally good ones."""
+        out = self.short_matches(text, least)
         for place, starts in sorted(self.candidates(text).items()):
             number, item = self.items[place]
+            if len(item) < least:
+                continue
             most, best, in_item = int(EDITS * len(item)), None, places_of(item)
             for start in sorted(starts):
                 found = edits_at(item, text, start, most if best is None else best.edits - 1, in_item)
@@ -268,8 +290,8 @@ def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     ``EDITS`` of the item's words (runs of letters and digits, lower-cased): ids,
     first and last word of the best span, edits.
 
-    NULL texts and items, empty ones and items under ``MIN_WORDS`` words match
-    nothing; repeated documents and items give a row each; clean documents none.
+    Items under ``MIN_WORDS`` words allow no edits and match exactly.  NULL texts and
+    items and those without words match nothing; repeated documents and items give a row each; clean documents none.
     NULL ids pass through.  All items are tried, block by block."""
     docs = df.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string").cast("binary"))
     found = None
@@ -291,15 +313,16 @@ def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 
 
 def keep_clean(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
-               item_text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, whose texts match no item."""
+               item_text_col: str = "text", least_words: int = 1) -> DataFrame:
+    """The rows of ``df``, all columns, whose texts match no item of at least
+    ``least_words`` words."""
     names, place = df.columns, df.columns.index(text_col)
     for index in indexes(items, item_col, item_text_col):
         held = df.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, held=held):
             for batch in (part for whole in batches for part in slices(whole, place)):
-                clean = [x is None or not held.value.matches(words(x.encode()))
+                clean = [x is None or not held.value.matches(words(x.encode()), least_words)
                          for x in batch.column(place).to_pylist()]
                 yield pa.RecordBatch.from_arrays(batch.columns, names).filter(pa.array(clean, pa.bool_()))
 

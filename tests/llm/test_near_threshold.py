@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from medspark.llm import near_dups
+from medspark.llm import near_dups, queries
 from tests.llm import brute
 
 
@@ -47,3 +47,17 @@ def test_stage_drops_copies_from_80_percent(spark):
     stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
     assert {r["doc_id"] for r in stage(spark, df, "").collect()} == at_80
     assert {r["doc_id"] for r in near_dups.keep_one(df, percent=85).collect()} == at_85
+
+
+def test_stages_at_80_percent(spark):
+    """The first three stages on the tables, the second at the pipeline's threshold."""
+    sf, steps = "/root/testdata/sf0.001", dict(corpus_pipeline.STAGES)
+    good = steps["quality"](spark, queries.documents(spark, sf), sf)
+    texts = {r["doc_id"]: r["text"] for r in good.collect()}
+    one = steps["near_duplicates"](spark, good, sf)
+    ids = {r["doc_id"] for r in one.collect()}
+    assert ids == kept_at(sorted(texts.items()), 80) < kept_at(sorted(texts.items()), 85)
+    bench = [r["text"] for r in queries.benchmark(spark, sf).collect()]
+    clean = {r["doc_id"] for r in steps["clean_of_benchmark"](spark, one, sf).collect()}
+    assert clean == {d for d in ids if not any(b in texts[d] for b in bench)}
+    assert corpus_pipeline.run(spark, sf).count() == len(clean)

@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from medspark.llm import (bpe, decontamination, language_model, license_scan, near_dups, oracles, quality_rules,
-                          repeats, secret_scan, sharding, storage, token_files)
+                          rank_bpe, repeats, secret_scan, sharding, storage, token_files)
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def importable(spark: SparkSession) -> None:
@@ -70,7 +71,11 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir))
 
 
+def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_bpe.encode_decode(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secrets, op2_near_duplicates, op3_decontamination, op4_shards, op5_quality, op6_token_files, op7_licenses, op8_language_model,
-    op9_bpe, op10_repeats)}
+    op9_bpe, op10_repeats, op11_rank_bpe)}
 ORACLE_SQL = oracles.ORACLE_SQL

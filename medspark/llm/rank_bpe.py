@@ -31,8 +31,9 @@ from medspark.llm.texts import Recent, map_texts
 
 LONG = 1 << 14  # characters; longer pieces are cut further and not kept
 ENTRIES = 200_000  # pieces that one Python worker keeps, twice at most
-# The characters with the property White_Space.
-_WHITE = r"\t-\r\x20\x85\xa0  -     　"
+# The code points with the property White_Space.
+_WHITE = re.escape("".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+                                     0x205F, 0x3000])))
 _PIECE = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 _RUN = re.compile(f"[{_WHITE}]*")
 _INNER = re.compile(r"(?<=[A-Za-z])(?=[!-@\[-`{-~])|(?<=[0-9])(?=[!-/:-~])"

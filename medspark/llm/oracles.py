@@ -70,4 +70,22 @@ judged AS (SELECT m.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS ba
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_failed,
   NOT base_failed AND NOT host_failed AS kept FROM judged"""
 
-ORACLE_SQL = {"op2_near_duplicates": NEAR_DUPLICATES, "op5_quality": QUALITY, "op10_repeats": REPEATS}
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SEARCH = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents),
+size AS (SELECT doc_id, len(ts) AS n FROM d WHERE len(ts) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM size),
+held AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS t FROM d) GROUP BY 1, 2),
+weight AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM held, total GROUP BY 1),
+asked AS (SELECT item_id, t, count(*) AS repeats
+  FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY 1, 2),
+found AS (SELECT item_id, held.doc_id, CAST(sum(repeats * w * ((1000000000 * tf)
+    // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM asked JOIN weight USING (t) JOIN held USING (t) JOIN size ON size.doc_id = held.doc_id, total GROUP BY 1, 2),
+best AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+  doc_id, score FROM found WHERE score > 0)
+SELECT * FROM best WHERE rank <= 10"""
+
+ORACLE_SQL = {"op2_near_duplicates": NEAR_DUPLICATES, "op5_quality": QUALITY, "op10_repeats": REPEATS,
+              "op12_lexical_search": SEARCH}

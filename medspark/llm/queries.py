@@ -7,8 +7,8 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from medspark.llm import (bpe, decontamination, importance, language_model, license_scan, near_dups, oracles, quality_rules,
-                          rank_bpe, repeats, secret_scan, sharding, storage, token_files)
+from medspark.llm import (bpe, decontamination, importance, language_model, lexical_search, license_scan, near_dups,
+                          oracles, quality_rules, rank_bpe, repeats, secret_scan, sharding, storage, token_files)
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -75,11 +75,16 @@ def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_bpe.encode_decode(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(documents(spark, sf_dir), benchmark(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_secrets, op2_near_duplicates, op3_decontamination, op4_shards, op5_quality, op6_token_files, op7_licenses, op8_language_model,
-    op9_bpe, op10_repeats, op11_rank_bpe, op13_importance)}
+    op9_bpe, op10_repeats, op11_rank_bpe, op12_lexical_search,
+    op13_importance)}
 ORACLE_SQL = oracles.ORACLE_SQL

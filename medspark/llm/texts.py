@@ -48,15 +48,16 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of ``texts`` in order, and how many each text has."""
+def word_hashes(texts: list[bytes], lower: bool, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of ``texts`` in order, and how many each text has.
+    ``gaps`` says of each byte whether it parts words; the line feed does."""
     raw = b"\n".join(texts)
     if not raw:
         return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
     data = np.frombuffer(raw, np.uint8)
     if lower:
         data = _LOWER[data]
-    gap = _SPACE[data]
+    gap = gaps[data]
     edge = np.diff(np.concatenate(([True], gap, [True])).view(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     values = _BYTE[data]

@@ -125,23 +125,26 @@ class WordEncoder:
         self._normal, self._split = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
         #: how the pre-splitter writes a letter's bytes
         self._letters = {c: self._split(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
+        names = sorted(self.special, key=len, reverse=True)
+        self._cut = re.compile("|".join(map(re.escape, names)) or r"(?!)")
         self._words = Recent(lambda word: tuple(self.automaton.encode(word)), WORD_ENTRIES)
         self._known = Recent(self._entry, CHUNK_ENTRIES)
 
     def _pieces(self, chunk: str):
-        at = min(((p, s) for s in self.special if (p := chunk.find(s)) >= 0), default=None)
-        if at is None:
-            yield chunk, None
-        else:
-            yield chunk[:at[0]], self.special[at[1]]
-            yield from self._pieces(chunk[at[0] + len(at[1]):])
-
-    def ids_of(self, chunk: str) -> tuple[int, ...]:
-        ids = ()
+        """Parts of a chunk between special strings, each with the id that follows it."""
+        at = 0
+        for m in self._cut.finditer(chunk):
+            yield chunk[at:m.start()], self.special[m.group()]
+            at = m.end()
+        yield chunk[at:], None
+
+    def ids_of(self, chunk: str) -> list[int]:
+        ids = []
         for piece, special in self._pieces(chunk):
             for word, _ in self._split(self._normal(piece)) if piece else ():
                 ids += self._words[word]
-            ids += () if special is None else (special,)
+            if special is not None:
+                ids.append(special)
         return ids
 
     def _entry(self, chunk: bytes) -> tuple[int, bytes, bytes]:

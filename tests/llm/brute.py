@@ -39,7 +39,7 @@ def shingles(text):
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
 
 
-def near_duplicates(docs):
+def near_duplicates(docs, percent=85):
     sets = {d: shingles(t) for d, t in docs}
     up = {d: d for d in sets}
 
@@ -52,7 +52,7 @@ def near_duplicates(docs):
     for i, a in enumerate(ids):
         for b in ids[i + 1:]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((root(a), root(b)))
                 up[y] = x
     return {d: (len(s), root(d), root(d) == d) for d, s in sets.items()}

@@ -36,7 +36,8 @@ def odd(spark):
     """(id, text) rows with extra columns whose names clash with internal ones."""
     rows = [(i * 3, t, f"s{i % 3}" if i % 5 else None, i) for i, t in enumerate(odd_texts())]
     return spark.createDataFrame(rows, "doc_id bigint, text string, source string, id int").selectExpr(
-        "*", "'x' AS block", "1 AS body", "2 AS a", "3 AS part", "4 AS _key")
+        "*", "'x' AS block", "1 AS body", "2 AS a", "3 AS part", "4 AS _key", "5 AS _bad", "6 AS _gone", "7 AS _m", "'h' AS _host",
+        "8 AS gone", "'g' AS host", "9 AS kept", "10 AS `a.b`", "11 AS c0", "12 AS n_chars")
 
 
 @pytest.fixture(scope="session")

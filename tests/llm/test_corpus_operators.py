@@ -142,6 +142,20 @@ def test_shards_of_a_hot_text_are_even(spark):
     assert max(sizes.values()) <= 1.02 * min(sizes.values())
 
 
+@pytest.mark.parametrize("ids", [[None], [7], [None, 7]])
+def test_shards_of_rows_alike_in_id_and_text(spark, ids):
+    """A third of all rows have one text and NULL or equal ids."""
+    rows = [(ids[i % len(ids)], "same text " * 20) for i in range(6000)]
+    rows += [(i, f"text {i:05d} " * 17) for i in range(12000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    sizes, slots = Counter(), defaultdict(list)
+    for r in sharding.assign_shards(df, 8).collect():
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(sizes) == 8 and max(sizes.values()) <= 1.02 * min(sizes.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_token_files(spark, docs):
     tokenizer, path = Tokenizer.from_file(BYTE), storage.new_path(spark, "test-tokens")
     token_files.write_token_files(docs, BYTE, path)

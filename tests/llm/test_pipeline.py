@@ -21,7 +21,8 @@ def test_stages(spark):
     one = steps["near_duplicates"](spark, good, SF)
     assert one.columns == columns
     rows = {r["doc_id"]: r["text"] for r in one.collect()}
-    want = brute.near_duplicates([(d, kept[d]["text"]) for d in {r["doc_id"] for r in good.collect()}])
+    want = brute.near_duplicates([(d, kept[d]["text"]) for d in {r["doc_id"] for r in good.collect()}],
+                                 corpus_pipeline.NEAR_PERCENT)
     assert set(rows) == {d for d, (_, _, stays) in want.items() if stays}
 
     clean = steps["clean_of_benchmark"](spark, one, SF)
@@ -40,3 +41,25 @@ def test_stages(spark):
     tokens = steps["token_ids"](spark, safe, SF)
     assert {r["doc_id"] for r in tokens.collect()} == ids
     assert corpus_pipeline.run(spark, SF).count() == len(ids)
+
+
+def test_stages_keep_odd_rows_and_extra_columns(spark, odd):
+    """Every stage on hard texts and on columns named like internal ones."""
+    docs, steps = odd, dict(corpus_pipeline.STAGES)
+    texts = {r["doc_id"]: r["text"] for r in odd.collect()}
+    for name in ("quality", "near_duplicates", "clean_of_benchmark", "without_secrets"):
+        out = steps[name](spark, odd, SF)
+        assert out.columns == odd.columns
+        rows = out.collect()
+        assert rows and all(r["a.b"] == 10 and r["_gone"] == 6 and r["_bad"] == 5 for r in rows)
+        if name != "without_secrets":
+            assert all(texts[r["doc_id"]] == r["text"] for r in rows)
+        docs = steps[name](spark, docs, SF)
+    assert steps["token_ids"](spark, docs, SF).count() == docs.count() > 0
+
+
+def test_empty_documents(spark):
+    docs = queries.documents(spark, SF).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0

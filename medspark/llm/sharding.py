@@ -4,9 +4,10 @@ Records are ordered by a key: the hash of the text, then of the id, so equal
 texts are neighbours.  A sample in which a record's chance grows with its size
 gives splitters at equal steps of bytes; they cut the order into many ranges.
 Exact sizes are counted for each range, and a range above twice the wanted size
-(a much repeated text) is subdivided by the second part of the key.  Neighbouring
-ranges then form shards, cut where the running total of bytes passes the next
-equal share.
+(a much repeated text) is subdivided by the second part of the key, a part that is
+still above it (many rows alike in text and id) by a number of the row itself.
+Neighbouring ranges then form shards, cut where the running total of bytes passes
+the next equal share.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medspark.llm.storage import written
@@ -26,9 +27,10 @@ RANGE_BYTES = 128 << 20  # of texts: a range's rows, ids and sizes only, are num
 MAX_RANGES = 1 << 16  # bounds what the driver holds: splitters, and a size and count for each range
 SAMPLES_PER_RANGE = 16
 _UNIT = float(1 << 53)
+_FRACTIONS = ("_tie", "_row")  # of equal keys, then of equal ids
 
 
-def _fraction(*parts) -> F.Column:
+def _fraction(*parts) -> Column:
     """A number in [0, 1) that depends on ``parts`` alone."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(_UNIT)
 
@@ -43,15 +45,30 @@ def splitters(keys: np.ndarray, weights: np.ndarray, n_ranges: int) -> np.ndarra
     return np.unique(keys[order][np.searchsorted(running, steps, "left").clip(0, len(keys) - 1)])
 
 
-def _subranges(cuts: np.ndarray, first: np.ndarray, pieces: np.ndarray):
-    """UDF: number of a record's range, subdivided ranges taking several."""
-    @F.pandas_udf("int")
-    def number(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for key, fraction in columns:
-            at = np.searchsorted(cuts, key.to_numpy(), "right")
-            piece = np.minimum((fraction.to_numpy() * pieces[at]).astype(np.int64), pieces[at] - 1)
-            yield pd.Series(first[at] + piece, dtype="int32")
-    return number
+class Ranges:
+    """Numbered ranges of records: ``cuts`` of the key, then levels of pieces, each
+    dividing the ranges of the level above by a fraction that records have."""
+
+    def __init__(self, cuts: np.ndarray):
+        self.cuts, self.levels, self.n = cuts, [], len(cuts) + 1
+
+    def divide(self, pieces: np.ndarray) -> None:
+        self.levels.append((np.cumsum(pieces) - pieces, pieces))
+        self.n = int(pieces.sum())
+
+    def number(self) -> Column:
+        cuts, levels = self.cuts, list(self.levels)
+
+        @F.pandas_udf("int")
+        def number(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            for key, *fractions in columns:
+                at = np.searchsorted(cuts, key.to_numpy(), "right")
+                for (first, pieces), fraction in zip(levels, fractions, strict=False):
+                    piece = np.minimum((fraction.to_numpy() * pieces[at]).astype(np.int64), pieces[at] - 1)
+                    at = first[at] + piece
+                yield pd.Series(at, dtype="int32")
+
+        return number("_key", *_FRACTIONS)
 
 
 def _looked_up(values: np.ndarray, kind: str):
@@ -62,11 +79,11 @@ def _looked_up(values: np.ndarray, kind: str):
     return look
 
 
-def _sizes(rows: DataFrame, number, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _sizes(rows: DataFrame, ranges: Ranges) -> tuple[np.ndarray, np.ndarray]:
     """Exact bytes and rows of each range (at most a few for each of MAX_RANGES)."""
-    found = (rows.groupBy(number(F.col("_key"), F.col("_tie")).alias("part"))
+    found = (rows.groupBy(ranges.number().alias("part"))
              .agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect())
-    size, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    size, count = np.zeros(ranges.n, np.int64), np.zeros(ranges.n, np.int64)
     for row in found:
         size[row["part"]], count[row["part"]] = row["size"], row["n"]
     return size, count
@@ -78,8 +95,8 @@ def assign_shards(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_c
     (gapless from 0 in each shard) and grown_shard (NULL: not the ``key`` law).
 
     Size is the text's UTF-8 bytes plus 1; a NULL text counts and hashes as an
-    empty one.  NULL and repeated ids are ordinary: rows alike in id and text
-    take neighbouring slots.  An empty table gives no rows.
+    empty one.  NULL and repeated ids are ordinary, even if most rows are alike in
+    id and text.  An empty table gives no rows.
     """
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.xxhash64(raw)
@@ -87,6 +104,7 @@ def assign_shards(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_c
         F.col(id_col), (F.octet_length(raw) + 1).cast("bigint").alias("size"),
         F.crc32(raw.cast("binary")).alias("text_crc32"), key.alias("_key"),
         _fraction(F.lit("tie"), F.col(id_col)).alias("_tie"),
+        _fraction(F.lit("row"), F.monotonically_increasing_id()).alias("_row"),
         _fraction(F.lit("sample"), F.col(id_col), key).alias("_draw")), "shard-keys")
     total = rows.agg(F.sum("size")).first()[0] or 0
     n_ranges = min(MAX_RANGES, max(shards * ranges_per_shard, math.ceil(total / RANGE_BYTES)))
@@ -96,20 +114,21 @@ def assign_shards(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_c
         "_key", F.greatest(weight, F.lit(1.0)).alias("w")).collect()], dtype=[("k", "i8"), ("w", "f8")])
     cuts = splitters(drawn["k"], drawn["w"], n_ranges)
 
-    single = np.ones(len(cuts) + 1, np.int64)
-    size, _ = _sizes(rows, _subranges(cuts, np.arange(len(single)), single), len(single))
-    target = max(total / n_ranges, 1)
-    pieces = np.where(size > 2 * target, np.ceil(size / target), 1).astype(np.int64)
-    first = np.cumsum(pieces) - pieces
-    number, n_parts = _subranges(cuts, first, pieces), int(pieces.sum())
-    size, count = _sizes(rows, number, n_parts)
+    ranges, target = Ranges(cuts), max(total / n_ranges, 1)
+    for _ in _FRACTIONS:
+        size, count = _sizes(rows, ranges)
+        if not (size > 2 * target).any():
+            break
+        ranges.divide(np.where(size > 2 * target, np.ceil(size / target), 1).astype(np.int64))
+    else:
+        size, count = _sizes(rows, ranges)
     middle = np.cumsum(size) - size / 2
     shard = np.minimum((middle * shards / max(total, 1)).astype(np.int64), shards - 1)
     before = np.cumsum(count) - count
     slot = before - before[np.searchsorted(shard, shard, "left")]
 
     in_part = Window.partitionBy("part").orderBy("_key", "_tie", F.col(id_col).asc_nulls_first(), "text_crc32")
-    numbered = (rows.withColumn("part", number(F.col("_key"), F.col("_tie")))
+    numbered = (rows.withColumn("part", ranges.number())
                 .withColumn("at", F.row_number().over(in_part) - 1))
     return numbered.select(
         id_col, "size", "text_crc32", F.lit("bytes").alias("law"),

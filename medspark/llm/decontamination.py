@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medspark.llm.license_scan import words
-from medspark.llm.texts import bytes_of, slices
+from medspark.llm.texts import bytes_of, map_rows
 
 MIN_WORDS = 5  # a shorter item has no edits and is found by its words alone
 EDITS = 0.2  # of an item's words
@@ -316,15 +316,13 @@ def keep_clean(df: DataFrame, items: DataFrame, text_col: str = "text", item_col
                item_text_col: str = "text", least_words: int = 1) -> DataFrame:
     """The rows of ``df``, all columns, whose texts match no item of at least
     ``least_words`` words."""
-    names, place = df.columns, df.columns.index(text_col)
     for index in indexes(items, item_col, item_text_col):
         held = df.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches, held=held):
-            for batch in (part for whole in batches for part in slices(whole, place)):
-                clean = [x is None or not held.value.matches(words(x.encode()), least_words)
-                         for x in batch.column(place).to_pylist()]
-                yield pa.RecordBatch.from_arrays(batch.columns, names).filter(pa.array(clean, pa.bool_()))
+        def clean(batch, place, held=held):
+            keep = [x is None or not held.value.matches(words(x.encode()), least_words)
+                    for x in batch.column(place).to_pylist()]
+            return batch.filter(pa.array(keep, pa.bool_()))
 
-        df = df.mapInArrow(run, df.schema)
+        df = map_rows(df, clean, text_col)
     return df

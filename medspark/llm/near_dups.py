@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medspark.llm.storage import written
-from medspark.llm.texts import bytes_of, hashed_texts, joined, map_texts
+from medspark.llm.texts import bytes_of, fresh, hashed_texts, joined, map_texts
 
 SHINGLE = 5
 PERCENT = 85  # of the union that linked sets share, unless a caller asks for another share
@@ -309,7 +309,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``df``, all columns, without documents whose component has a
     smaller id.  Rows alike in id and text are one document and stay together."""
+    name = fresh(df, "gone")
     gone = written(near_duplicates(df, id_col, text_col, percent).where(~F.col("kept")).select(
-        F.col(id_col).alias("_gone")), "gone")
-    kept = df.join(gone, F.col(id_col).cast("bigint") == F.col("_gone"), "left_anti")
-    return kept.select(*df.columns)
+        F.col(id_col).alias(name)), "gone")
+    return df.join(gone, F.col(id_col).cast("bigint") == F.col(name), "left_anti")

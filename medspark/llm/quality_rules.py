@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medspark.llm.storage import written
+from medspark.llm.texts import fresh
 
 SPACES = r"[\x20\x09-\x0D]"
 BLANKS = " \t\n\x0b\f\r"
@@ -141,8 +142,8 @@ def keep_good(df: DataFrame, text_col: str = "text", host_col: str = "source",
     """The rows of ``df`` that pass, all columns.  The texts are measured twice
     (for the hosts, then for the rows) so that no text is shuffled: the table of
     hosts is written first and its size decides how it is joined."""
-    host = F.col(host_col).cast("string")
+    host, name = F.col(host_col).cast("string"), fresh(df, "host")
     measured = df.select(host.alias("_host"), measures(F.col(text_col)).alias("_m"))
     bad = written(host_verdicts(host_rates(measured, "_host", "_m"), host_limit).where("host_failed"), "hosts")
     good = df.where(~base_failed(measures(F.col(text_col))))
-    return good.join(bad.select(F.col("host").alias("_bad")), host == F.col("_bad"), "left_anti").select(*df.columns)
+    return good.join(bad.select(F.col("host").alias(name)), host == F.col(name), "left_anti")

@@ -4,8 +4,10 @@ A candidate is a maximal run of token characters.  Within it every stretch of
 one character class (hex digits, or the base-64 alphabet) is scanned by a window
 of fixed width; the window's Shannon entropy is kept by adding and removing one
 character's term ``c log2 c`` at a time.  Windows at or above the class's limit
-merge into spans.  Candidates that an allow-list pattern matches are suppressed;
-spans of the fixed patterns are never suppressed.
+merge into spans.  Candidates that an allow-list pattern matches as a whole are
+suppressed, and so are those of a candidate's parts, between the signs that join
+words, that hold an allowed word; the other parts are scanned.  Spans of the fixed
+patterns are never suppressed.
 """
 
 from __future__ import annotations
@@ -13,12 +15,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from medspark.llm.texts import map_texts, slices
+from medspark.llm.texts import map_rows, map_texts
 
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -41,9 +44,11 @@ CLASSES = (CharClass("entropy_hex", re.compile(rb"[0-9a-fA-F]{20,}"), 20, 2.8),
            CharClass("entropy_base64", re.compile(rb"[A-Za-z0-9+/_-]{24,}={0,2}"), 24, 3.9))
 #: Candidates that look random but are not secrets.
 ALLOWED = (rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
-           rb"(?i).*(0123456789|abcdefghij|example|placeholder|xxxxxxxx).*",
            rb"[A-Za-z]+([-_/=+][A-Za-z]+)*[-_/=+]*",  # joined words
            rb"[0-9_/=+-]+")  # numbers, dates, rulers
+#: Words, in either case, of parts that are not secrets.
+ALLOWED_WORDS = (b"0123456789", b"abcdefghij", b"example", b"placeholder", b"xxxxxxxx")
+_JOINT = re.compile(rb"[-_/=+]")
 _TERM = [0.0, *(c * math.log2(c) for c in range(1, 4097))]
 
 
@@ -67,7 +72,31 @@ def entropy_windows(text: bytes, width: int, limit: float) -> list[tuple[int, in
     return [tuple(s) for s in spans]
 
 
-def find_secrets(text: bytes, allowed: re.Pattern) -> list[tuple[int, int, str, int]]:
+@dataclass(frozen=True)
+class AllowList:
+    """Patterns of whole candidates, and words of parts of them."""
+
+    whole: re.Pattern
+    words: re.Pattern
+
+    @classmethod
+    def of(cls, patterns: tuple[bytes, ...] = ALLOWED, words: tuple[bytes, ...] = ALLOWED_WORDS) -> AllowList:
+        return cls(re.compile(b"|".join(b"(?:%s)" % p for p in patterns) or rb"(?!)"),
+                   re.compile(b"|".join(map(re.escape, words)) or rb"(?!)", re.IGNORECASE))
+
+    def rest(self, value: bytes) -> Iterator[tuple[int, int]]:
+        """Ranges of ``value`` without the parts that hold an allowed word."""
+        at = 0
+        for m in self.words.finditer(value):
+            if m.start() >= at:
+                first = max(at, 1 + max(value.rfind(joint, at, m.start()) for joint in (b"-", b"_", b"/", b"=", b"+")))
+                yield at, first
+                after = _JOINT.search(value, m.end())
+                at = after.start() if after else len(value)
+        yield at, len(value)
+
+
+def find_secrets(text: bytes, allowed: AllowList) -> list[tuple[int, int, str, int]]:
     """(start, end, kind, start of the value) of all spans, byte offsets."""
     found = []
     if KEYWORD.search(text):
@@ -78,14 +107,16 @@ def find_secrets(text: bytes, allowed: re.Pattern) -> list[tuple[int, int, str,
     found += [(m.start(), m.end(), "hex", m.start()) for m in HEX.finditer(text)]
     for candidate in CANDIDATE.finditer(text):
         value = candidate.group()
-        if allowed.fullmatch(value):
+        if allowed.whole.fullmatch(value):
             continue
-        for cls in CLASSES:
-            for m in cls.stretch.finditer(value):
-                at = candidate.start() + m.start()
-                found += [(at + a, at + b, cls.kind, at + a)
-                          for a, b in entropy_windows(m.group(), cls.width, cls.limit)
-                          if mixed(m.group()[a:b])]
+        for first, last in allowed.rest(value):
+            part = value[first:last]
+            for cls in CLASSES:
+                for m in cls.stretch.finditer(part):
+                    at = candidate.start() + first + m.start()
+                    found += [(at + a, at + b, cls.kind, at + a)
+                              for a, b in entropy_windows(m.group(), cls.width, cls.limit)
+                              if mixed(m.group()[a:b])]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -95,29 +126,29 @@ def mixed(value: bytes) -> bool:
 
 
 def in_code_points(text: bytes, spans: list[tuple]) -> list[tuple[int, int, str]]:
+    """Spans by code points, counted in one pass over the text."""
     if text.isascii():
         return [s[:3] for s in spans]
-    return [(len(text[:a].decode()), len(text[:b].decode()), kind) for a, b, kind, *_ in spans]
+    place, at, before = {}, 0, 0
+    for edge in sorted({x for s in spans for x in s[:2]}):
+        before += len(text[at:edge].decode())
+        place[edge], at = before, edge
+    return [(place[a], place[b], kind) for a, b, kind, *_ in spans]
 
 
 def _shown(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-def _allow(patterns: tuple[bytes, ...]) -> re.Pattern:
-    return re.compile(b"|".join(b"(?:%s)" % p.replace(b"(?i)", b"") if not p.startswith(b"(?i)")
-                                else b"(?i:%s)" % p[4:] for p in patterns) or rb"(?!)")
-
-
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 allow: tuple[bytes, ...] = ALLOWED) -> DataFrame:
+                 allow: tuple[bytes, ...] = ALLOWED, words: tuple[bytes, ...] = ALLOWED_WORDS) -> DataFrame:
     """One row per input row: counts of each fixed kind, the digest of their
     spans and all spans as ``kind:start:end`` (code points, end exclusive).
 
     NULL and empty texts have no spans (counts 0, digest of the empty string,
     ``spans`` ''); repeated rows each get their row; ids may be NULL.
     """
-    pattern = _allow(allow)
+    pattern = AllowList.of(allow, words)
 
     def make():
         def columns(texts):
@@ -137,7 +168,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      id_col, text_col)
 
 
-def redacted(text: bytes, allowed: re.Pattern, mark: bytes) -> bytes:
+def redacted(text: bytes, allowed: AllowList, mark: bytes) -> bytes:
     """``text`` with the value of every secret replaced by ``mark``."""
     spans = find_secrets(text, allowed)
     if not spans:
@@ -151,18 +182,14 @@ def redacted(text: bytes, allowed: re.Pattern, mark: bytes) -> bytes:
 
 
 def redact_secrets(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]",
-                   allow: tuple[bytes, ...] = ALLOWED) -> DataFrame:
+                   allow: tuple[bytes, ...] = ALLOWED, words: tuple[bytes, ...] = ALLOWED_WORDS) -> DataFrame:
     """All rows and columns of ``df``, secrets in ``text_col`` replaced by
     ``mark``.  Of an assignment only the value goes.  NULL stays NULL."""
-    pattern, names = _allow(allow), df.columns
-    place = names.index(text_col)
-
-    def run(batches):
-        for batch in (part for whole in batches for part in slices(whole, place)):
-            texts = [None if x is None else redacted(x.encode(), pattern, mark.encode()).decode()
-                     for x in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, batch.column(place).type) if i == place else c for i, c in enumerate(batch.columns)],
-                names)
-
-    return df.mapInArrow(run, df.schema)
+    pattern = AllowList.of(allow, words)
+
+    def changed(batch: pa.RecordBatch, place: int) -> pa.RecordBatch:
+        texts = [None if x is None else redacted(x.encode(), pattern, mark.encode()).decode()
+                 for x in batch.column(place).to_pylist()]
+        return batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.column(place).type))
+
+    return map_rows(df, changed, text_col)

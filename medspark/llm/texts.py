@@ -170,3 +170,25 @@ def map_texts(df: DataFrame, make: Callable, schema: str, id_col: str = "doc_id"
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col), F.col(text_col).cast("string").cast("binary"))
     return rows.mapInArrow(run, f"{id_col} {kind}, {schema}")
+
+
+def map_rows(df: DataFrame, change: Callable, text_col: str) -> DataFrame:
+    """``df`` with every batch passed through ``change(batch, place of the text)``,
+    which keeps its columns.  They go by place, so their names don't matter."""
+    names, place = df.columns, df.columns.index(text_col)
+    numbered = df.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, place):
+                yield change(part, place)
+
+    return numbered.mapInArrow(run, numbered.schema).toDF(*names)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

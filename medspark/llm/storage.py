@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder below the warehouse
-    only where that is unset (tests, local runs)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return (root or spark.conf.get("spark.sql.warehouse.dir") + "/llm-shared").rstrip("/")
+    """``spark.checkpoint.dir`` of the session, or the folder that the context was
+    given; a folder below the warehouse only on a local master where both are unset.
+    Elsewhere that is an error: a machine's own folder isn't shared."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set; point it at shared storage")
+        root = spark.conf.get("spark.sql.warehouse.dir") + "/llm-shared"
+    return root.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -38,7 +38,8 @@ MIN_WORDS = 20
 PERCENT = 10
 SEED = "2024"
 MAX_RUNS, MAX_RANGES = 1024, 4096
-RANGE_ROWS = 1024  # wanted in each range, until there are MAX_RANGES
+RANGE_ROWS = 256  # wanted in each range, until there are MAX_RANGES
+LEAST_STEP = 16  # rows of a run to a sample
 MAX_SAMPLES = 1 << 20  # rows of 40 bytes that the driver sorts, and one for each run
 #: A-Z lowered; what can not stand in a word is a blank
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -160,10 +161,9 @@ def _key_columns() -> list[Column]:
 def splitters(runs: DataFrame, n: int, n_ranges: int) -> np.ndarray:
     """Keys at regular steps among the samples that all runs give at regular steps.
 
-    A range between two splitters holds at most 5/4 of the mean and a step's rows
-    while the samples, four for each run and range, are below ``MAX_SAMPLES``."""
+    A range between two splitters holds at most the mean and a step's rows of each run."""
     n_runs = runs.agg(F.max("run")).first()[0] + 1
-    step = max(1, -(-n // min(MAX_SAMPLES, 4 * n_runs * n_ranges)))
+    step = max(LEAST_STEP, -(-n // min(MAX_SAMPLES, 4 * n_runs * n_ranges)))
     taken = runs.where(F.col("eligible") & (F.col("at") % step == step - 1)).select(*_key_columns()).toPandas()
     keys = np.sort(sort_keys(*(taken[c] for c in taken.columns)))
     return keys[np.arange(1, n_ranges) * len(keys) // n_ranges] if len(keys) else keys

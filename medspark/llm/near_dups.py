@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medspark.llm.storage import written
+from medspark.llm.storage import scratch, written
 from medspark.llm.texts import bytes_of, fresh, hashed_texts, joined, map_texts
 
 SHINGLE = 5
@@ -236,28 +236,49 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
             .mapInArrow(run, "a bigint, b bigint"))
 
 
-def texts_of(ids: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) of the named documents, written."""
-    docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return written(docs.join(ids.select("id").distinct(), "id", "left_semi"), "candidates")
-
-
 def components(links: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable, for ids that have links.
+    """(id, component), written: the smallest id reachable, for ids that have links.
 
     Every round each id takes the smallest label among itself and its
     neighbours, then the label of that label; rounds are written tables."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        near = (both.join(labels, both["b"] == labels["id"]).groupBy(F.col("a").alias("id"))
-                .agg(F.min("label").alias("near")))
-        step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        new = written(step.join(up, "label").select("id", "old", F.least("label", "up").alias("label")), "labels")
-        if new.where(F.col("old") != F.col("label")).isEmpty():
-            return new.select("id", F.col("label").alias("component"))
-        labels = new.select("id", "label")
+    with scratch(links.sparkSession) as keep:
+        both = keep(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+        labels = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+        while True:
+            near = (both.join(labels, both["b"] == labels["id"]).groupBy(F.col("a").alias("id"))
+                    .agg(F.min("label").alias("near")))
+            step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+            up = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
+            new = keep(step.join(up, "label").select("id", "old", F.least("label", "up").alias("label")), "labels")
+            if new.where(F.col("old") != F.col("label")).isEmpty():
+                return written(new.select("id", F.col("label").alias("component")), "components")
+            labels = new.select("id", "label")
+
+
+def components_of(sets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of the sets that have links."""
+    with scratch(sets.sparkSession) as keep:
+        keys = band_keys(sets)
+        shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        members = keep(keys.join(shared, "key"), "members")
+        central = members.groupBy("id").agg(F.sum("size").alias("met"))
+        leaders = (members.join(central, "id").groupBy("key")
+                   .agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("leader")))
+        led = keep(members.select("key", "id").join(leaders, "key"), "led")
+
+        texts = keep(texts.join(led.select("id").distinct(), "id", "left_semi"), "candidates")
+        pairs = led.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+        links = keep(confirmed(keep(likely(pairs, sets, percent), "pairs"), texts, percent), "links")
+        found = components(links)
+
+        placed = led.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = (placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"),
+                                           F.count(F.lit(1)).alias("size"))
+                 .where("c0 < c1").select("key", F.ceil(F.col("size") / TILE).alias("tiles")))
+        sketched = sets.select("id", "n_shingles", "registers")
+        rest = likely_in_tiles(placed.select("key", "id", "component").join(mixed, "key").join(sketched, "id"), percent)
+        more = keep(confirmed(keep(rest, "pairs"), texts, percent), "links")
+        return found if more.isEmpty() else components(links.union(more))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -272,30 +293,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = written(rows.where(F.col("words").isNotNull() & F.col("id").isNotNull()).groupBy("words").agg(
         F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")),
         "sets")
-    keys = band_keys(sets)
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(keys.join(shared, "key"), "members")
-    central = members.groupBy("id").agg(F.sum("size").alias("met"))
-    leaders = (members.join(central, "id").groupBy("key")
-               .agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("leader")))
-    led = written(members.select("key", "id").join(leaders, "key"), "led")
-
-    texts = texts_of(led, df, id_col, text_col)
-    first = likely(led.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), sets,
-                   percent)
-    links = written(confirmed(written(first, "pairs"), texts, percent), "links")
-    found = components(links)
-
-    placed = led.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = (placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"),
-                                       F.count(F.lit(1)).alias("size"))
-             .where("c0 < c1").select("key", F.ceil(F.col("size") / TILE).alias("tiles")))
-    sketched = sets.select("id", "n_shingles", "registers")
-    rest = written(likely_in_tiles(placed.select("key", "id", "component").join(mixed, "key").join(sketched, "id"),
-                                   percent), "pairs")
-    more = written(confirmed(rest, texts, percent), "links")
-    if not more.isEmpty():
-        found = components(links.union(more))
+    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    found = components_of(sets, texts, percent)
 
     named = sets.select("words", F.col("id").alias("name")).join(
         found.withColumnRenamed("id", "name"), "name", "left")

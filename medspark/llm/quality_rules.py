@@ -23,6 +23,7 @@ SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
+RULES = ("few_words", "repeats", "symbols", "dup_lines", "word_length")
 HOST_LIMIT = 0.5  # of a rule's shrunk failure rate
 
 
@@ -83,15 +84,20 @@ def rules(m: Column) -> dict[str, Column]:
     }
 
 
+def _packed(failures: dict[str, Column]) -> Column:
+    """A bit for each failure, in the order of ``RULES``."""
+    return reduce(lambda a, b: a.bitwiseOR(b),
+                  [F.when(failures[k], F.lit(1 << i)).otherwise(F.lit(0)) for i, k in enumerate(RULES)])
+
+
 def base_failed(m: Column) -> Column:
     return rules(m)["few_words"] | rules(m)["repeats"]
 
 
-def host_rates(measured: DataFrame, host: str, m: str) -> DataFrame:
+def host_rates(measured: DataFrame, host: str, failures: dict[str, Column]) -> DataFrame:
     """One row per host that has a name: documents, and each rule's shrunk rate."""
-    named = {k: v for k, v in rules(F.col(m)).items()}
-    hosts = (measured.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host"))
-             .agg(F.count(F.lit(1)).alias("n"), *[F.sum(v.cast("int")).alias(f"k_{k}") for k, v in named.items()]))
+    hosts = (measured.where(F.col(host).isNotNull()).groupBy(F.col(host).cast("string").alias("host"))
+             .agg(F.count(F.lit(1)).alias("n"), *[F.sum(v.cast("int")).alias(f"k_{k}") for k, v in failures.items()]))
 
     def moments(k):
         rate = F.col(f"k_{k}") / F.col("n")
@@ -99,7 +105,7 @@ def host_rates(measured: DataFrame, host: str, m: str) -> DataFrame:
         noise = mean * (1 - mean) * F.avg(1 / F.col("n"))  # of counting alone
         return F.struct(mean.alias("mean"), (F.var_pop(rate) - noise).alias("spread")).alias(f"p_{k}")
 
-    prior = hosts.agg(*[moments(k) for k in named])
+    prior = hosts.agg(*[moments(k) for k in failures])
 
     def shrunk(k):
         p = F.col(f"p_{k}")
@@ -109,7 +115,7 @@ def host_rates(measured: DataFrame, host: str, m: str) -> DataFrame:
         return ((F.col(f"k_{k}") + p["mean"] * strength) / (F.col("n") + strength)).alias(f"rate_{k}")
 
     # the prior is one row
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "n", *[shrunk(k) for k in named])
+    return hosts.crossJoin(F.broadcast(prior)).select("host", "n", *[shrunk(k) for k in failures])
 
 
 def host_verdicts(rates: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
@@ -127,8 +133,8 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
     measured = written(df.select(F.col(id_col), F.col(host_col).cast("string").alias("_host"),
                                  measures(F.col(text_col)).alias("_m")), "measures")
     # written, so that its size decides how it is joined, and a hot host can be split
-    verdicts = written(host_verdicts(host_rates(measured, "_host", "_m"), host_limit), "hosts")
     m = F.col("_m")
+    verdicts = written(host_verdicts(host_rates(measured, "_host", rules(m)), host_limit), "hosts")
     return (measured.join(verdicts, F.col("_host") == F.col("host"), "left")
             .select(id_col, *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines",
                                                       "n_repeat_words")],
@@ -139,11 +145,13 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
 
 def keep_good(df: DataFrame, text_col: str = "text", host_col: str = "source",
               host_limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of ``df`` that pass, all columns.  The texts are measured twice
-    (for the hosts, then for the rows) so that no text is shuffled: the table of
-    hosts is written first and its size decides how it is joined."""
-    host, name = F.col(host_col).cast("string"), fresh(df, "host")
-    measured = df.select(host.alias("_host"), measures(F.col(text_col)).alias("_m"))
-    bad = written(host_verdicts(host_rates(measured, "_host", "_m"), host_limit).where("host_failed"), "hosts")
-    good = df.where(~base_failed(measures(F.col(text_col))))
-    return good.join(bad.select(F.col("host").alias(name)), host == F.col(name), "left_anti")
+    """The rows of ``df`` that pass, all columns.  Texts are measured once: rows are
+    written with their failures as bits, hosts are counted from these, and the table
+    of failing hosts is written so that its size decides how it is joined."""
+    bits, name = fresh(df, "failures"), fresh(df, "host")
+    names = {k: F.col(bits).bitwiseAND(F.lit(1 << i)) != 0 for i, k in enumerate(RULES)}
+    rows = written(df.withColumn(bits, _bound(measures(F.col(text_col)), lambda m: _packed(rules(m)))), "measured")
+    bad = written(host_verdicts(host_rates(rows, host_col, names), host_limit).where("host_failed"), "hosts")
+    good = rows.where(~names["few_words"] & ~names["repeats"])
+    return good.join(bad.select(F.col("host").alias(name)), F.col(host_col).cast("string") == F.col(name),
+                     "left_anti").drop(bits)

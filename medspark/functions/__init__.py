@@ -10,7 +10,7 @@ from medspark.functions.scalars import (array_total, availability_flag, code_lab
                                         title_case, zero_unless)
 from medspark.functions.semantics import (MISSING_LABEL, agg_sum, blank_to_null,
                                           count_distinct_na, cumsum_strict,
-                                          dense_rank_na_last, explicit_missing, first_by,
+                                          dense_rank_na_last, exact_sum, explicit_missing, first_by,
                                           nan_to_null, null_safe_condition,
                                           round_half_even, running, safe_div, sum_na_rm,
                                           sum_sql, sum_strict, to_units, window_sum)

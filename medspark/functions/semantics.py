@@ -53,6 +53,25 @@ def to_units(c: Column | str, scale: float = 1e6) -> Column:
     return F.floor(_c(c) * F.lit(scale) + F.lit(0.5)).cast("bigint")
 
 
+_LOW = (1 << 32) - 1
+
+
+def exact_sum(c: Column | str, na_rm: bool) -> Column:
+    """Sum of BIGINT values as DECIMAL(38,0), right beyond 64 bits.
+
+    Each value is split into a high and a low part of 32 bits; the two BIGINT sums
+    stay compiled and can not overflow below 2^31 rows a group, whose total they
+    give exactly.  Sums of DECIMAL(38,0) values need no parts: use ``agg_sum``.
+    """
+    c = _c(c)
+    high, low = F.sum(F.shiftright(c, 32)), F.sum(c.bitwiseAND(F.lit(_LOW)))
+    total = high.cast("decimal(19,0)") * F.lit(_LOW + 1).cast("decimal(10,0)") + low.cast("decimal(19,0)")
+    total = total.cast("decimal(38,0)")
+    if na_rm:
+        return F.coalesce(total, F.lit(0).cast("decimal(38,0)"))
+    return F.when(F.count(F.lit(1)) == F.count(c), total)
+
+
 def count_distinct_na(c: Column | str) -> Column:
     """Distinct count where NULL counts as one more value."""
     c = _c(c)

@@ -1,7 +1,7 @@
 """Relational operators; each takes and returns DataFrames."""
 
-from medspark.operators import (calendar, codelists, columns, dictionary, joins, organisations,
+from medspark.operators import (activity, calendar, codelists, columns, dictionary, joins, organisations,
                                 quality, reshape, windows)
 
-__all__ = ["calendar", "codelists", "columns", "dictionary", "joins", "organisations", "quality",
+__all__ = ["activity", "calendar", "codelists", "columns", "dictionary", "joins", "organisations", "quality",
            "reshape", "windows"]

@@ -57,15 +57,19 @@ def group_total(df: DataFrame, value: str, by: str | Sequence[str], out: str = "
     return df.withColumn(out, window_sum(value, Window.partitionBy(*_cols(by)), na_rm))
 
 
+def _ratio(value: str, total: Column) -> Column:
+    return safe_div(F.col(value).cast("double"), total.cast("double"))
+
+
 def share_of_group(df: DataFrame, value: str, by: str | Sequence[str], out: str = "prop",
                    na_rm: bool = True, method: str = "window") -> DataFrame:
     """``value / sum(value)`` within the group; zero total gives NULL.
     ``method`` as for ``group_total``."""
     if method == "aggregate":
         joined = _totals_joined(df, value, _cols(by), "_grp_total", na_rm)
-        return joined.withColumn(out, safe_div(F.col(value), F.col("_grp_total"))).drop("_grp_total")
+        return joined.withColumn(out, _ratio(value, F.col("_grp_total"))).drop("_grp_total")
     tot = window_sum(value, Window.partitionBy(*_cols(by)), na_rm)
-    return df.withColumn(out, safe_div(F.col(value), tot))
+    return df.withColumn(out, _ratio(value, tot))
 
 
 def stacked_midpoint(df: DataFrame, value: str, by: str | Sequence[str],
@@ -73,7 +77,7 @@ def stacked_midpoint(df: DataFrame, value: str, by: str | Sequence[str],
     """``cumsum(v) - v/2`` in category order (a missing category last, as
     in R's grouped output); NA from the first NA on (N3)."""
     w = running(Window.partitionBy(*_cols(by)).orderBy(*[F.col(c).asc_nulls_last() for c in _cols(order)]))
-    return df.withColumn(out, window_sum(value, w, na_rm=False) - F.col(value) / 2)
+    return df.withColumn(out, window_sum(value, w, na_rm=False).cast("double") - F.col(value).cast("double") / 2)
 
 
 def fill_group_attribute(df: DataFrame, cols: Sequence[str], by: str | Sequence[str],

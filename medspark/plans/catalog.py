@@ -6,10 +6,12 @@ Spark builder and the DuckDB SQL are written next to each other with the same
 output column names.
 
 Numbers: row-level values are unrounded (both engines compute them with the
-same IEEE operations).  Daily-dose volumes are summed as fixed-point BIGINT
-micro-DDD (``volume_units``), so every total, share, running position and
-rank key is exact and independent of summation order, partitioning or
-retries; outputs divide by 1e6.  Only results of inexact steps (means,
+same IEEE operations).  Daily-dose volumes are summed in fixed point, exactly
+(``functions.dose``), and each sum by group and moiety is cut to whole micro-DDD
+(``volume_units``), so every total, share, running position and rank key is
+independent of summation order, partitioning or retries; outputs divide by 1e6.
+The oracles add up the volumes of single activity rows; the Spark plans convert
+sums of quantities, or raw rows, whichever the planner's sizes favour.  Only results of inexact steps (means,
 interpolated percentiles) are rounded, to 6 or 8 digits.
 
 Where the source analyses use R's strict sum (N1) and that would leave nearly
@@ -29,9 +31,8 @@ from pyspark.sql import functions as F
 
 from medspark.functions.scalars import (extract_after, month_label, parse_digits_date, percent_1dp,
                                         replace_first, thousands, title_case)
-from medspark.functions.dose import volume_mg
-from medspark.functions.semantics import explicit_missing, sum_na_rm, sum_strict, to_units
-from medspark.operators import calendar, codelists, columns, dictionary, joins, organisations, quality, reshape, windows
+from medspark.functions.semantics import explicit_missing, sum_na_rm
+from medspark.operators import activity, calendar, codelists, columns, dictionary, joins, organisations, quality, reshape, windows
 from medspark.operators.dictionary import Lookup, star_join
 from medspark.plans import reports
 from medspark.sources import cache, readers
@@ -50,6 +51,7 @@ UNNAMED_MOIETY = "MEDIUM"
 MANY_PATTERNS = [a + b for a in "abcdefghij" for b in "aeiouylr"]
 MOIETIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 ONE_MOIETY = "PROMO"
+SHARE_MOIETY = "SMALL"
 # Area and name corrections for the mapped register (the domain's own tables
 # are organisations.AREA_OVERRIDES / NAME_OVERRIDES).
 TD_AREA_OVERRIDES = {3: 7, 13: 7, 23: 7, 40: 2, 50: 2, 77: 11}
@@ -81,6 +83,15 @@ def _strict_sql(x: str) -> str:
     return f"CASE WHEN COUNT(*) = COUNT({x}) THEN SUM({x}) END"
 
 
+MICRO_PER_DDD = 1e6
+
+
+def _micro_sql(strict: bool) -> str:
+    """Sum of the group's exact volumes in whole micro-DDD."""
+    total = _strict_sql("volume_units") if strict else "COALESCE(SUM(volume_units), 0)"
+    return f"CAST(({total}) // 1000000 AS BIGINT)"
+
+
 @dataclass
 class Query:
     build: Callable[[SparkSession, str], DataFrame]
@@ -113,9 +124,16 @@ def _codelist_activity(spark, d):
     return td.activity(spark, d, codes=_trend_codes(spark, d))
 
 
-def _vola(spark, d, period=None):
-    return reports.with_areas(td.volume(spark, d, period), td.orgs(spark, d), td.areas(spark, d),
-                              area_overrides=TD_AREA_OVERRIDES)
+def _dose(spark, d, by, orgs=None, period=None, na_rm=True):
+    return reports.dose_volume(td.issues(spark, d, period=period), td.factors(spark, d), by, orgs=orgs, na_rm=na_rm)
+
+
+def _org_areas(spark, d):
+    return reports.org_areas(td.orgs(spark, d), td.areas(spark, d), area_overrides=TD_AREA_OVERRIDES)
+
+
+def _named(column: str) -> dict:
+    return {column: explicit_missing(column)}
 
 
 def _product_totals(spark, d):
@@ -138,8 +156,7 @@ def _combined(spark, d):
 
 
 def _top20_areas_unrounded(spark, d, na_rm=True):
-    v = _vola(spark, d, PERIOD).withColumn(
-        "stp_name", explicit_missing("stp_name"))
+    v = _dose(spark, d, _named("stp_name"), _org_areas(spark, d), PERIOD, na_rm)
     shares = reports.category_shares(v, "stp_name", "vtmnm", value="volume_units", na_rm=na_rm, share_na_rm=True)
     return reports.top_groups(shares, "stp_name", 20)
 
@@ -150,23 +167,32 @@ def _round(df, digits: dict[str, int]):
 
 def _to_ddd(df, cols=("volume_units",)):
     """Fixed-point micro-DDD columns back to DDD; ``volume_units`` becomes ``volume_ddd``."""
-    out = df.withColumns({c: F.col(c) / F.lit(td.UNITS_PER_DDD) for c in cols})
+    out = df.withColumns({c: F.col(c).cast("double") / F.lit(MICRO_PER_DDD) for c in cols})
     return out.withColumnRenamed("volume_units", "volume_ddd")
 
 
 # --- SQL fragments shared by several oracle queries --------------------------------
 
-def _shares_sql(group: str, src: str, where: str = "", strict: bool = False) -> str:
-    """category shares (na_rm; ``strict``: of strict sums) of volume per group and moiety."""
-    inner = _strict_sql("volume_units") if strict else "COALESCE(SUM(volume_units), 0)"
+def _shares_sql(group: str, src: str, where: str = "", strict: bool = False, strict_outside: bool = False) -> str:
+    """category shares (na_rm; ``strict``: of strict sums; ``strict_outside``: strict
+    totals) of volume per group and moiety."""
+    inner = _micro_sql(strict)
     w = f"PARTITION BY {group}"
     run = f"PARTITION BY {group} ORDER BY vtmnm ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    total = f"COALESCE(SUM(volume_units) OVER ({w}), 0)"
+    if strict_outside:
+        total = f"CASE WHEN COUNT(*) OVER ({w}) = COUNT(volume_units) OVER ({w}) THEN SUM(volume_units) OVER ({w}) END"
     return (f", s AS (SELECT {group}, vtmnm, {inner} AS volume_units FROM {src} {where} "
             f"GROUP BY {group}, vtmnm),\n"
-            f"w AS (SELECT *, volume_units / NULLIF(COALESCE(SUM(volume_units) OVER ({w}), 0), 0) AS prop_use,\n"
+            f"w AS (SELECT *, volume_units / NULLIF({total}, 0) AS prop_use,\n"
             f"  CASE WHEN COUNT(*) OVER ({run}) = COUNT(volume_units) OVER ({run}) "
             f"THEN SUM(volume_units) OVER ({run}) END - volume_units / 2 AS pos,\n"
-            f"  COALESCE(SUM(volume_units) OVER ({w}), 0) AS total FROM s)")
+            f"  {total} AS total FROM s)")
+
+
+def _trust_moieties_sql(strict: bool) -> str:
+    return (f", m AS (SELECT ods_code, vtmnm, {_micro_sql(strict)} AS u FROM vol WHERE year_month BETWEEN "
+            f"DATE '{PERIOD[0]}' AND DATE '{PERIOD[1]}' GROUP BY 1, 2)")
 
 
 SHARES_OUT_SQL = "volume_units / 1e6 AS volume_ddd, prop_use, pos / 1e6 AS pos, total / 1e6 AS total"
@@ -212,6 +238,13 @@ def _q_activity_monthly(spark, d):
     return td.activity(spark, d)
 
 
+def _q_activity_by_name(spark, d):
+    """A1 with all four keys: the product's name is a column of the raw rows."""
+    names = td.products(spark, d).select(F.col("vmp_code").alias("l_partkey"), "vmp_name")
+    raw = td.table(spark, d, "lineitem").join(names, "l_partkey", "left")
+    return activity.monthly_activity(raw, "l_shipdate", "l_suppkey", "l_partkey", "l_quantity", "vmp_name")
+
+
 def _q_codelist_semi(spark, d):
     return td.activity(spark, d, codes=_codelist(spark, d))
 
@@ -386,31 +419,40 @@ def _q_dictionary_view(spark, d):
 
 
 def _q_dose_volume_by_product(spark, d):
-    v = td.volume(spark, d)
-    return _to_ddd(v.groupBy("vmp_code", "vtmnm").agg(sum_strict("volume_units").alias("volume_units")))
+    return _to_ddd(_dose(spark, d, ["vmp_code"], na_rm=False))
 
 
 def _q_national_trend(spark, d):
-    return _to_ddd(reports.national_trend(td.volume(spark, d), value="volume_units", na_rm=False))
+    return _to_ddd(reports.national_trend(_dose(spark, d, ["year_month"], na_rm=False), value="volume_units"))
 
 
 def _q_national_trend_na_rm(spark, d):
-    return _to_ddd(reports.national_trend(td.volume(spark, d), value="volume_units", na_rm=True))
+    return _to_ddd(reports.national_trend(_dose(spark, d, ["year_month"]), value="volume_units", na_rm=True))
 
 
 def _q_regional_trend(spark, d):
-    return _to_ddd(reports.regional_trend(_vola(spark, d), value="volume_units", na_rm=False))
+    v = _dose(spark, d, ["comm_region_name", "year_month"], _org_areas(spark, d), na_rm=False)
+    return _to_ddd(reports.regional_trend(v, value="volume_units", na_rm=False))
 
 
 SHARE_COLS = ("volume_units", "pos", "total")
 
 
-def _q_regional_totals(spark, d):
-    v = _vola(spark, d).withColumn("comm_region_name", explicit_missing("comm_region_name"))
-    shares = reports.category_shares(v, "comm_region_name", "vtmnm", value="volume_units", na_rm=True)
+def _regional_totals(spark, d, na_rm):
+    v = _dose(spark, d, _named("comm_region_name"), _org_areas(spark, d), na_rm=na_rm)
+    shares = reports.category_shares(v, "comm_region_name", "vtmnm", value="volume_units", na_rm=na_rm)
     return _to_ddd(shares, SHARE_COLS)
 
 
+def _q_regional_totals(spark, d):
+    return _regional_totals(spark, d, na_rm=True)
+
+
+def _q_regional_totals_strict(spark, d):
+    """Strict sums inside and outside: a missing volume leaves its region's total missing."""
+    return _regional_totals(spark, d, na_rm=False)
+
+
 def _q_top20_areas(spark, d):
     return _to_ddd(_top20_areas_unrounded(spark, d), SHARE_COLS)
 
@@ -426,15 +468,27 @@ def _q_share_table_mixed(spark, d):
     return _to_ddd(t, ("total",))
 
 
-def _q_top20_trusts(spark, d):
-    v = td.volume(spark, d, PERIOD).join(
-        td.orgs(spark, d).select("ods_code", "ods_name"), "ods_code", "left")
-    shares = reports.category_shares(v, ["ods_name", "ods_code"], "vtmnm", value="volume_units", na_rm=True)
+def _top20_trusts(spark, d, na_rm, without=None):
+    names = td.orgs(spark, d).select("ods_code", "ods_name")
+    v = _dose(spark, d, ["ods_name", "ods_code"], names, PERIOD, na_rm)
+    if without is not None:
+        v = v.where(F.col("vtmnm") != without)
+    shares = reports.category_shares(v, ["ods_name", "ods_code"], "vtmnm", value="volume_units", na_rm=na_rm)
     top = reports.top_groups(shares, ["ods_name", "ods_code"], 20)
     top = organisations.apply_override(top, "ods_code", "ods_name", TD_NAME_OVERRIDES)
     return _to_ddd(top, SHARE_COLS)
 
 
+def _q_top20_trusts(spark, d):
+    return _top20_trusts(spark, d, na_rm=True)
+
+
+def _q_top20_trusts_strict(spark, d):
+    """Trusts with a missing volume have no total and no rank (N7); of the moieties
+    that have daily doses."""
+    return _top20_trusts(spark, d, na_rm=False, without=ONE_MOIETY)
+
+
 def _q_share_table_all_categories(spark, d):
     """Categories found in the data; one moiety's name is missing."""
     named = F.when(F.col("vtmnm") != UNNAMED_MOIETY, F.col("vtmnm"))
@@ -450,18 +504,21 @@ def _q_share_table(spark, d):
 
 
 def _q_moiety_share_per_trust(spark, d):
-    v = td.volume(spark, d, PERIOD)
-    out = reports.moiety_share(v, "ods_code", "vtmnm", ONE_MOIETY, value="volume_units", na_rm=True)
-    return _to_ddd(out)
+    v = _dose(spark, d, ["ods_code"], period=PERIOD)
+    return _to_ddd(reports.moiety_share(v, "ods_code", "vtmnm", ONE_MOIETY, value="volume_units", na_rm=True))
+
+
+def _q_moiety_share_strict(spark, d):
+    """Of the moieties whose DDD is known: strict sums have values and gaps."""
+    v = _dose(spark, d, ["ods_code"], period=PERIOD, na_rm=False).where(F.col("vtmnm") != ONE_MOIETY)
+    return _to_ddd(reports.moiety_share(v, "ods_code", "vtmnm", SHARE_MOIETY, value="volume_units", na_rm=False))
 
 
 def _q_moiety_ddd_trend(spark, d):
     lookup = joins.literal_lookup(spark, TD_MOIETY_DDD, "vtmnm string, mg_per_ddd double")
-    prod = td.products(spark, d).select("vmp_code", "vtmnm", "udfs", "nmr", "dnm")
-    ddd = F.try_divide(volume_mg("total_quantity", "udfs", "nmr", "dnm"), F.col("mg_per_ddd"))
-    rows = (td.activity(spark, d).join(prod, "vmp_code", "left").join(lookup, "vtmnm", "left")
-            .withColumn("volume_units", to_units(ddd, td.UNITS_PER_DDD)))
-    return _to_ddd(rows.groupBy("year_month", "vtmnm").agg(sum_strict("volume_units").alias("volume_units")))
+    factors = reports.product_factors(td.products(spark, d).drop("ddd"), lookup, ["vmp_code"], "vtmnm",
+                                      numerator="nmr", denominator="dnm", ddd_col="mg_per_ddd")
+    return _to_ddd(reports.dose_volume(td.issues(spark, d), factors, ["year_month"], na_rm=False))
 
 
 def _trend_text(df):
@@ -556,7 +613,7 @@ def _q_minmax_scaled(spark, d):
 
 
 def _q_label_columns(spark, d):
-    nat = reports.national_trend(td.volume(spark, d), value="volume_units", na_rm=True)
+    nat = reports.national_trend(_dose(spark, d, ["year_month"]), value="volume_units", na_rm=True)
     nat = _to_ddd(windows.share_of_group(nat, "volume_units", "year_month", "prop", na_rm=True))
     label = F.concat(F.lit("Month: "), month_label("year_month"), F.lit(" "), F.year("year_month").cast("string"),
                      F.lit("; Volume: "), thousands("volume_ddd"), F.lit(" ("), percent_1dp("prop"),
@@ -643,7 +700,7 @@ def _q_share_labels(spark, d):
 
 
 def _q_category_order(spark, d):
-    totals = (_vola(spark, d).groupBy(explicit_missing("stp_name").alias("stp_name"))
+    totals = (_dose(spark, d, _named("stp_name"), _org_areas(spark, d)).groupBy("stp_name")
               .agg(sum_na_rm("volume_units").alias("total")))
     ranked = windows.global_row_number(totals, columns.r_order("total", "stp_name", descending=[True, False]),
                                        "sort_order")
@@ -651,7 +708,7 @@ def _q_category_order(spark, d):
 
 
 def _q_trust_rank(spark, d):
-    totals = td.volume(spark, d).groupBy("ods_code").agg(sum_na_rm("volume_units").alias("total"))
+    totals = _dose(spark, d, ["ods_code"]).groupBy("ods_code").agg(sum_na_rm("volume_units").alias("total"))
     return _to_ddd(windows.global_dense_rank(totals, "total", "rank", descending=True), ("total",))
 
 
@@ -691,6 +748,11 @@ def _q_materialised_lookup(spark, d):
 
 CATALOG: dict[str, Query] = {
     "activity_monthly": Query(_q_activity_monthly, f"{V}\nSELECT * FROM act", "A1"),
+    "activity_by_name": Query(_q_activity_by_name,
+                              f"{V}\nSELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS year_month, l_suppkey AS "
+                              "ods_code, l_partkey AS vmp_snomed_code, p_name AS vmp_product_name, SUM(l_quantity) AS "
+                              "total_quantity FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3, 4",
+                              "A1"),
     "codelist_semi": Query(_q_codelist_semi,
                            f"{V}\nSELECT * FROM act WHERE vmp_code IN (SELECT p_partkey FROM part "
                            f"WHERE p_brand IN ({_sql_list(CODELIST_BRANDS)}))", "F1 F2 J9"),
@@ -803,17 +865,17 @@ CATALOG: dict[str, Query] = {
                              f"(SELECT p_partkey FROM part WHERE p_brand IN ({_sql_list(CODELIST_BRANDS)}))",
                              "Q4 F1 A12 P1"),
     "dose_volume_by_product": Query(_q_dose_volume_by_product,
-                                    f"{V}\nSELECT vmp_code, vtmnm, {_strict_sql('volume_units')} / 1e6 AS volume_ddd "
+                                    f"{V}\nSELECT vmp_code, vtmnm, {_micro_sql(True)} / 1e6 AS volume_ddd "
                                     "FROM vol GROUP BY 1, 2", "Q5 A2 N1 (per product)"),
     "national_trend": Query(_q_national_trend,
-                            f"{V}\nSELECT year_month, vtmnm, {_strict_sql('volume_units')} / 1e6 AS volume_ddd "
+                            f"{V}\nSELECT year_month, vtmnm, {_micro_sql(True)} / 1e6 AS volume_ddd "
                             "FROM vol GROUP BY 1, 2", "Q6 A2 N1"),
     "national_trend_na_rm": Query(_q_national_trend_na_rm,
-                                  f"{V}\nSELECT year_month, vtmnm, COALESCE(SUM(volume_units), 0) / 1e6 AS "
+                                  f"{V}\nSELECT year_month, vtmnm, {_micro_sql(False)} / 1e6 AS "
                                   "volume_ddd FROM vol GROUP BY 1, 2", "A16 N2"),
     "regional_trend": Query(_q_regional_trend,
                             f"{V}{VOLA_SQL}\nSELECT COALESCE(comm_region_name, '(Missing)') AS comm_region_name, "
-                            f"year_month, vtmnm, {_strict_sql('volume_units')} / 1e6 AS volume_ddd FROM vola "
+                            f"year_month, vtmnm, {_micro_sql(True)} / 1e6 AS volume_ddd FROM vola "
                             "GROUP BY 1, 2, 3", "Q7 A3 X12 X15"),
     "regional_totals": Query(_q_regional_totals,
                              f"{V}{VOLA_SQL},\nvr AS (SELECT * EXCLUDE (comm_region_name), "
@@ -821,6 +883,11 @@ CATALOG: dict[str, Query] = {
                              + _shares_sql("comm_region_name", "vr")
                              + f"\nSELECT comm_region_name, vtmnm, {SHARES_OUT_SQL} FROM w",
                              "Q8 A4 W1 W2 W3 O6"),
+    "regional_totals_strict": Query(_q_regional_totals_strict,
+                                    f"{V}{VOLA_SQL},\nvr AS (SELECT * EXCLUDE (comm_region_name), "
+                                    "COALESCE(comm_region_name, '(Missing)') AS comm_region_name FROM vola)"
+                                    + _shares_sql("comm_region_name", "vr", strict=True, strict_outside=True)
+                                    + f"\nSELECT comm_region_name, vtmnm, {SHARES_OUT_SQL} FROM w", "Q8 A4 N1"),
     "top20_areas": Query(_q_top20_areas,
                          f"{V}{TOP20_AREAS_SQL_CTE}\nSELECT stp_name, vtmnm, {SHARES_OUT_SQL}, rank FROM top",
                          "Q9 F4 A5 W1-W4 F9 O4"),
@@ -839,6 +906,13 @@ CATALOG: dict[str, Query] = {
                           + ",\nr AS (SELECT *, DENSE_RANK() OVER (ORDER BY total DESC) AS rank FROM w)\n"
                           f"SELECT ods_code, {NAME_CASE_SQL} AS ods_name, vtmnm, {SHARES_OUT_SQL}, rank "
                           "FROM r WHERE rank <= 20", "Q11 A6 W1-W4 F9 X14"),
+    "top20_trusts_strict": Query(_q_top20_trusts_strict,
+                                 f"{V}, vt AS (SELECT vol.*, orgs.ods_name FROM vol LEFT JOIN orgs ON vol.ods_code = "
+                                 f"orgs.ods_code WHERE year_month BETWEEN DATE '{PERIOD[0]}' AND DATE '{PERIOD[1]}')"
+                                 + _shares_sql("ods_name, ods_code", "vt", f"WHERE vtmnm <> '{ONE_MOIETY}'", True, True)
+                                 + ",\nr AS (SELECT *, DENSE_RANK() OVER (ORDER BY total DESC) AS rank FROM w WHERE "
+                                 f"total IS NOT NULL)\nSELECT ods_code, {NAME_CASE_SQL} AS ods_name, vtmnm, "
+                                 f"{SHARES_OUT_SQL}, rank FROM r WHERE rank <= 20", "Q11 A6 N1 N7"),
     "share_table": Query(_q_share_table,
                          f"{V}{TOP20_AREAS_SQL_CTE}\nSELECT stp_name, "
                          + ", ".join(f"COALESCE(MAX(CASE WHEN vtmnm = '{m}' THEN COALESCE(round_even(prop_use, 3), 0) "
@@ -853,21 +927,27 @@ CATALOG: dict[str, Query] = {
                                         + ", total / 1e6 AS total FROM top GROUP BY stp_name, total",
                                         "Q10 G2 R1"),
     "moiety_share_per_trust": Query(_q_moiety_share_per_trust,
-                                    f"{V}\nSELECT ods_code, COALESCE(SUM(volume_units), 0) / 1e6 AS volume_ddd, "
-                                    f"COALESCE(SUM(CASE WHEN vtmnm = '{ONE_MOIETY}' THEN volume_units ELSE 0 END), 0)"
-                                    " / NULLIF(COALESCE(SUM(volume_units), 0), 0) AS prop_moiety FROM vol "
-                                    f"WHERE year_month BETWEEN DATE '{PERIOD[0]}' AND DATE '{PERIOD[1]}' GROUP BY 1",
+                                    f"{V}{_trust_moieties_sql(False)}\nSELECT ods_code, CAST(SUM(u) AS BIGINT) / 1e6 AS volume_ddd, "
+                                    f"SUM(CASE WHEN vtmnm = '{ONE_MOIETY}' THEN u ELSE 0 END) / NULLIF(SUM(u), 0) AS "
+                                    "prop_moiety FROM m GROUP BY 1",
                                     "Q12 A7 X18"),
+    "moiety_share_strict": Query(_q_moiety_share_strict,
+                                 f"{V}{_trust_moieties_sql(True)}\nSELECT ods_code, CASE WHEN COUNT(*) = COUNT(u) THEN "
+                                 "CAST(SUM(u) AS BIGINT) END / 1e6 AS volume_ddd, CASE WHEN COUNT(*) = COUNT(CASE WHEN "
+                                 f"vtmnm = '{SHARE_MOIETY}' THEN u ELSE 0 END) THEN SUM(CASE WHEN vtmnm = "
+                                 f"'{SHARE_MOIETY}' THEN u ELSE 0 END) END / NULLIF(CASE WHEN COUNT(*) = COUNT(u) THEN "
+                                 f"SUM(u) END, 0) AS prop_moiety FROM m WHERE vtmnm <> '{ONE_MOIETY}' GROUP BY 1",
+                                 "Q12 A7 N1"),
     "moiety_ddd_trend": Query(_q_moiety_ddd_trend,
                               f"{V}, lk AS (SELECT * FROM (VALUES "
                               + ", ".join(f"('{m}', {v})" for m, v in TD_MOIETY_DDD)
                               + ") t(vtmnm, mg_per_ddd)),\nrows AS (SELECT act.year_month, prod.vtmnm, "
-                              "(act.total_quantity / prod.udfs) * CASE WHEN prod.dnm IS NULL THEN prod.nmr ELSE "
-                              "prod.nmr * (prod.udfs / prod.dnm) END / NULLIF(lk.mg_per_ddd, 0) AS volume_ddd "
+                              "CAST(FLOOR(act.total_quantity * 1000 + 0.5) AS HUGEINT) * CAST(FLOOR((1.0 / prod.udfs) * CASE WHEN "
+                              "prod.dnm IS NULL THEN prod.nmr ELSE prod.nmr * (prod.udfs / prod.dnm) END / "
+                              "NULLIF(lk.mg_per_ddd, 0) * 1e9 + 0.5) AS HUGEINT) AS volume_units "
                               "FROM act LEFT JOIN prod ON act.vmp_code = prod.vmp_code LEFT JOIN lk "
-                              "ON prod.vtmnm = lk.vtmnm),\nru AS (SELECT *, CAST(FLOOR(volume_ddd * 1e6 + 0.5) AS "
-                              "BIGINT) AS volume_units FROM rows)\nSELECT year_month, vtmnm, "
-                              f"{_strict_sql('volume_units')} / 1e6 AS volume_ddd FROM ru GROUP BY 1, 2",
+                              f"ON prod.vtmnm = lk.vtmnm)\nSELECT year_month, vtmnm, {_micro_sql(True)} / 1e6 AS "
+                              "volume_ddd FROM rows GROUP BY 1, 2",
                               "X13 S10 J4"),
     "trend_array": Query(_q_trend_array,
                          f"{V}{CODES_SQL},\nm AS (SELECT ods_code, vmp_code, year_month, SUM(total_quantity) AS q "
@@ -985,7 +1065,7 @@ CATALOG: dict[str, Query] = {
                            "pt)) / NULLIF((SELECT MAX(total_quantity) FROM pt) - (SELECT MIN(total_quantity) FROM pt)"
                            ", 0), 8) AS scaled FROM pt", "W8"),
     "label_columns": Query(_q_label_columns,
-                           f"{V}, nat AS (SELECT year_month, vtmnm, COALESCE(SUM(volume_units), 0) AS u FROM vol "
+                           f"{V}, nat AS (SELECT year_month, vtmnm, {_micro_sql(False)} AS u FROM vol "
                            "GROUP BY 1, 2),\np AS (SELECT year_month, vtmnm, u / 1e6 AS volume_ddd, u / NULLIF("
                            "COALESCE(SUM(u) OVER (PARTITION BY year_month), 0), 0) AS prop FROM nat),\nl AS (SELECT *, strftime(year_month, "
                            "'%b') AS month_label, CAST(year(year_month) AS INTEGER) AS year, format('{:,}', "
@@ -1005,13 +1085,13 @@ CATALOG: dict[str, Query] = {
                           "CAST(date_trunc('month', strptime(od, '%Y%m%d')) AS DATE) AS open_month FROM t",
                           "Q20 X1 X2 X3 X4 P3 P7"),
     "category_order": Query(_q_category_order,
-                            f"{V}{VOLA_SQL},\nt AS (SELECT COALESCE(stp_name, '(Missing)') AS stp_name, "
-                            "COALESCE(SUM(volume_units), 0) AS total FROM vola GROUP BY 1)\n"
+                            f"{V}{VOLA_SQL},\nm AS (SELECT COALESCE(stp_name, '(Missing)') AS stp_name, vtmnm, {_micro_sql(False)} AS u "
+                            "FROM vola GROUP BY 1, 2),\nt AS (SELECT stp_name, SUM(u) AS total FROM m GROUP BY 1)\n"
                             "SELECT stp_name, total / 1e6 AS total, ROW_NUMBER() OVER (ORDER BY total DESC, stp_name) "
                             "AS sort_order FROM t", "O2 O3 O6"),
     "trust_rank": Query(_q_trust_rank,
-                        f"{V}, t AS (SELECT ods_code, COALESCE(SUM(volume_units), 0) AS total FROM vol "
-                        "GROUP BY 1)\nSELECT ods_code, total / 1e6 AS total, DENSE_RANK() OVER (ORDER BY total DESC) "
+                        f"{V}, m AS (SELECT ods_code, vtmnm, {_micro_sql(False)} AS u FROM vol GROUP BY 1, 2),\n"
+                        "t AS (SELECT ods_code, SUM(u) AS total FROM m GROUP BY 1)\nSELECT ods_code, total / 1e6 AS total, DENSE_RANK() OVER (ORDER BY total DESC) "
                         "AS rank FROM t",
                         "W4 N7"),
     "head_preview": Query(_q_head_preview,

@@ -15,11 +15,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from medspark.functions.dose import strength_per_single, volume_singles
-from medspark.functions.semantics import (agg_sum, explicit_missing, safe_div, sum_strict,
+from medspark.functions.dose import (dose_factor, dose_units, micro_ddd, quantity_units, strength_per_single,
+                                     volume_singles)
+from medspark.functions.semantics import (agg_sum, exact_sum, explicit_missing, safe_div, sum_strict,
                                           window_sum)
 from medspark.operators.calendar import trend_array
 from medspark.operators.codelists import in_codelist
@@ -42,10 +43,7 @@ def with_areas(df: DataFrame, orgs: DataFrame, areas: DataFrame, org_key: str =
     """Q5/Q7 enrichment: organisation -> area code (with overrides, X12) ->
     area and region names (J4).  Organisations missing from the register and
     areas missing from the map keep NULL names."""
-    reg = orgs.select(org_key, area_key)
-    if area_overrides is not None:
-        reg = apply_override(reg, org_key, area_key, area_overrides)
-    return df.join(reg, org_key, "left").join(areas, area_key, "left")
+    return df.join(org_areas(orgs, areas, org_key, area_key, area_overrides), org_key, "left")
 
 
 def dose_volume_fact(activity: DataFrame, register: DataFrame, dictionary: DataFrame, ddds: DataFrame,
@@ -77,6 +75,60 @@ def dose_volume_fact(activity: DataFrame, register: DataFrame, dictionary: DataF
                                  "volume_ddd": F.try_divide(mg, F.col(ddd_col))})
 
 
+def org_areas(orgs: DataFrame, areas: DataFrame, org_key: str = "ods_code", area_key: str = "stp_code",
+              area_overrides: Mapping | DataFrame | None = None) -> DataFrame:
+    """Q7 lookup: organisation -> area code (overrides applied, X12), area and region names."""
+    reg = orgs.select(org_key, area_key)
+    if area_overrides is not None:
+        reg = apply_override(reg, org_key, area_key, area_overrides)
+    return reg.join(areas, area_key, "left")
+
+
+def product_factors(dictionary: DataFrame, ddds: DataFrame, keys: Sequence[str], ddd_by: Mapping[str, str] | str,
+                    moiety: str = "vtmnm", *, udfs: str = "udfs", numerator: str = "strnt_nmrtr_val",
+                    denominator: str = "strnt_dnmtr_val", ddd_col: str = "ddd") -> DataFrame:
+    """Q5 by product: ``keys``, moiety and ``factor``, the daily doses for one unit of
+    quantity (fixed point, missing where the dictionary or the DDD is).  A dictionary
+    with a row per ingredient gives a factor per ingredient."""
+    joined = join_left(dictionary.select(*keys, moiety, udfs, numerator, denominator), ddds, ddd_by)
+    return joined.select(*keys, moiety, dose_factor(udfs, numerator, denominator, ddd_col).alias("factor"))
+
+
+def _fits_broadcast(df: DataFrame) -> bool:
+    """Is the table, by the planner's estimate, below ``autoBroadcastJoinThreshold``?"""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
+def dose_volume(activity: DataFrame, factors: DataFrame, by: Sequence[str] | Mapping[str, Column], *,
+                keys: Sequence[str] = ("vmp_code",), quantity: str = "quantity", moiety: str = "vtmnm",
+                orgs: DataFrame | None = None, org_key: str = "ods_code", na_rm: bool = False,
+                join_first: bool | None = None) -> DataFrame:
+    """Q5 below the sums of Q6-Q12: volume per ``by`` and moiety, in whole micro-DDD
+    (``volume_units``, DECIMAL(38,0)); strict sums (N1), or skipping ones (``na_rm``).
+
+    ``activity`` holds raw or summed rows; ``orgs`` adds attributes by organisation
+    that ``by`` may name.  Volumes are exact and linear in the quantity, so both plans
+    give the same rows.  If the planner would broadcast the lookups, raw rows meet them
+    in the scan's stage and only (``by``, moiety) rows are shuffled.  Otherwise the
+    quantities are first summed by ``by``'s own columns, organisation and product, and
+    the raw rows never join.
+    """
+    by = dict(by) if isinstance(by, Mapping) else {c: F.col(c) for c in by}
+    lookups = [factors] if orgs is None else [factors, orgs]
+    rows = activity.withColumn("_units", quantity_units(quantity))
+    if not (all(map(_fits_broadcast, lookups)) if join_first is None else join_first):
+        own = [c for c in activity.columns if c != quantity and (c in by or c in keys or orgs is not None and c == org_key)]
+        total = exact_sum("_units", False) if not na_rm else F.when(F.count("_units") > 0, exact_sum("_units", True))
+        rows = rows.groupBy(*own).agg(total.alias("_units"))
+    rows = join_left(rows, factors, list(keys))
+    if orgs is not None:
+        rows = join_left(rows, orgs, org_key)
+    volume = agg_sum(dose_units("_units", "factor"), na_rm)
+    return (rows.groupBy(*[c.alias(n) for n, c in by.items()], moiety)
+            .agg(micro_ddd(volume).alias("volume_units")))
+
+
 def dictionary_view(dictionary: DataFrame, codes: DataFrame | Sequence, code: str, columns: Sequence[str]) -> DataFrame:
     """Q4 (F1 P1 A12): the distinct dictionary rows of the selected products."""
     return in_codelist(dictionary, code, codes).select(*columns).distinct()
@@ -118,8 +170,8 @@ def category_shares(df: DataFrame, group: str | Sequence[str], category: str, va
     outer = na_rm if share_na_rm is None else share_na_rm
     sums = df.groupBy(*group, category).agg(agg_sum(value, na_rm).alias(value))
     w = Window.partitionBy(*group)
-    out = (sums.withColumn(share, safe_div(F.col(value), window_sum(value, w, outer)))
-           .withColumn(total, window_sum(value, w, outer)))
+    out = sums.withColumn(total, window_sum(value, w, outer))
+    out = out.withColumn(share, safe_div(F.col(value).cast("double"), F.col(total).cast("double")))
     return stacked_midpoint(out, value, group, category, pos).select(*group, category, value, share, pos, total)
 
 
@@ -146,10 +198,10 @@ def moiety_share(df: DataFrame, entity: str | Sequence[str], moiety_col: str, mo
     """Q12 / A7 + X18: per entity the total and the share of one moiety
     (conditional sum over the sum, zero-safe)."""
     entity = _cols(entity)
-    part = F.when(F.col(moiety_col) == F.lit(moiety), F.col(value)).otherwise(F.lit(0.0))
+    part = F.when(F.col(moiety_col) == F.lit(moiety), F.col(value)).otherwise(F.lit(0).cast(df.schema[value].dataType))
     return (df.groupBy(*entity)
             .agg(agg_sum(value, na_rm).alias(value), agg_sum(part, na_rm).alias("_part"))
-            .select(*entity, value, safe_div(F.col("_part"), F.col(value)).alias(share)))
+            .select(*entity, value, safe_div(F.col("_part").cast("double"), F.col(value).cast("double")).alias(share)))
 
 
 # --- trend table -------------------------------------------------------------

@@ -20,17 +20,13 @@ tables themselves hold no NULL); the rules fill columns, they never drop rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medspark.functions.dose import strength_per_single, volume_ddd, volume_singles
-from medspark.functions.scalars import in_months, month_start
-from medspark.functions.semantics import to_units
-from medspark.operators.codelists import in_codelist, not_in_codelist
-
-# Volumes are also carried as fixed-point micro-DDD (BIGINT) so that every sum
-# of them is exact and independent of partitioning and summation order.
-UNITS_PER_DDD = 1e6
+from medspark.functions.dose import (dose_factor, dose_units, quantity_units, strength_per_single, volume_ddd,
+                                     volume_singles)
+from medspark.functions.scalars import month_start
+from medspark.operators import activity as activity_ops
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -61,22 +57,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # --- activity ----------------------------------------------------------------
 
+def issues(spark: SparkSession, sf_dir: str, codes: DataFrame | None = None,
+           without: DataFrame | None = None, period: tuple[str, str] | None = None) -> DataFrame:
+    """Issued quantities row by row, returns negative: month, organisation, product.
+    ``codes`` / ``without`` (vmp_code) and ``period`` (closed range of months)
+    filter the raw rows."""
+    rows = activity_ops.issues(table(spark, sf_dir, "lineitem"), "l_shipdate", "l_partkey", period=period,
+                               codes=codes, without=without, codelist_col="vmp_code")
+    return rows.select(month_start("l_shipdate").alias("year_month"), F.col("l_suppkey").alias("ods_code"),
+                       F.col("l_partkey").alias("vmp_code"), _signed().alias("quantity"))
+
+
+def _signed() -> Column:
+    return F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
+
+
 def activity(spark: SparkSession, sf_dir: str, codes: DataFrame | None = None,
              without: DataFrame | None = None, period: tuple[str, str] | None = None) -> DataFrame:
-    """A1: SUM of signed quantities GROUP BY month, organisation, product.
-    ``codes`` / ``without`` (vmp_code) and ``period`` (closed range of months)
-    filter the raw rows, before the sum."""
-    li = table(spark, sf_dir, "lineitem")
-    if period is not None:
-        li = li.where(in_months("l_shipdate", *period))
-    if codes is not None:
-        li = in_codelist(li, "l_partkey", codes, "vmp_code")
-    if without is not None:
-        li = not_in_codelist(li, "l_partkey", without, "vmp_code")
-    signed = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
-    return (li.groupBy(month_start("l_shipdate").alias("year_month"),
-                       F.col("l_suppkey").alias("ods_code"), F.col("l_partkey").alias("vmp_code"))
-            .agg(F.sum(signed).alias("total_quantity")))
+    """A1: SUM of signed quantities GROUP BY month, organisation, product; filters as
+    for ``issues``."""
+    return activity_ops.monthly_activity(issues(spark, sf_dir, codes, without, period), "year_month", "ods_code",
+                                         "vmp_code", "quantity", code_out="vmp_code")
 
 
 ACTIVITY_SQL = """SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS year_month, l_suppkey AS ods_code,
@@ -187,22 +188,28 @@ GROUP BY 1, 2, 3"""
 
 # --- dose volume ---------------------------------------------------------------
 
-def volume(spark: SparkSession, sf_dir: str, period: tuple[str, str] | None = None) -> DataFrame:
-    """Activity joined to the dictionary and converted to daily doses (X11)."""
-    act = activity(spark, sf_dir, period=period)
-    prod = products(spark, sf_dir).select("vmp_code", "vtmnm", "udfs", "nmr", "dnm", "ddd")
-    j = act.join(prod, "vmp_code", "left")
-    ddd = volume_ddd("total_quantity", "udfs", "nmr", "dnm", "ddd")
-    return j.select("year_month", "ods_code", "vmp_code", "total_quantity", "vtmnm", ddd.alias("volume_ddd"),
-                    to_units(ddd, UNITS_PER_DDD).alias("volume_units"))
+def factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per product: moiety and daily doses for one unit (X11)."""
+    return products(spark, sf_dir).select("vmp_code", "vtmnm", dose_factor("udfs", "nmr", "dnm", "ddd").alias("factor"))
 
 
-VOLUME_SQL = """SELECT *, CAST(FLOOR(volume_ddd * 1e6 + 0.5) AS BIGINT) AS volume_units FROM (
-SELECT act.year_month, act.ods_code, act.vmp_code, act.total_quantity, prod.vtmnm,
-       (act.total_quantity / prod.udfs)
-         * CASE WHEN prod.dnm IS NULL THEN prod.nmr ELSE prod.nmr * (prod.udfs / prod.dnm) END
-         / NULLIF(prod.ddd, 0) AS volume_ddd
-FROM act LEFT JOIN prod ON act.vmp_code = prod.vmp_code)"""
+def volume(spark: SparkSession, sf_dir: str, period: tuple[str, str] | None = None) -> DataFrame:
+    """Activity joined to the dictionary and converted to daily doses (X11), as a
+    double and in exact units."""
+    prod = products(spark, sf_dir).select("vmp_code", "vtmnm", "udfs", "nmr", "dnm", "ddd")
+    j = activity(spark, sf_dir, period=period).join(prod, "vmp_code", "left")
+    units = dose_units(quantity_units("total_quantity"), dose_factor("udfs", "nmr", "dnm", "ddd"))
+    return j.select("year_month", "ods_code", "vmp_code", "total_quantity", "vtmnm",
+                    volume_ddd("total_quantity", "udfs", "nmr", "dnm", "ddd").alias("volume_ddd"),
+                    units.alias("volume_units"))
+
+
+_STRENGTH_SQL = "CASE WHEN prod.dnm IS NULL THEN prod.nmr ELSE prod.nmr * (prod.udfs / prod.dnm) END"
+VOLUME_SQL = f"""SELECT act.year_month, act.ods_code, act.vmp_code, act.total_quantity, prod.vtmnm,
+       (act.total_quantity / prod.udfs) * {_STRENGTH_SQL} / NULLIF(prod.ddd, 0) AS volume_ddd,
+       CAST(FLOOR(act.total_quantity * 1000 + 0.5) AS HUGEINT)
+         * CAST(FLOOR((1.0 / prod.udfs) * {_STRENGTH_SQL} / NULLIF(prod.ddd, 0) * 1e9 + 0.5) AS HUGEINT) AS volume_units
+FROM act LEFT JOIN prod ON act.vmp_code = prod.vmp_code"""
 
 
 def dose_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,18 +4,20 @@ The profiles are single aggregations: partial aggregates on every input
 partition, one small final merge.  Distinct counts are exact by default;
 ``approx=True`` switches to HyperLogLog++ (bounded memory per group).
 Per-group quantiles (``percentiles_by``) are exact without holding a group
-in one task (global sort + order statistics), or approximate on request.
+in one task (histograms + order statistics), or approximate on request.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medspark.functions.scalars import availability_flag, sign_label
-from medspark.functions.semantics import count_distinct_na, explicit_missing, safe_div, sum_na_rm
+from medspark.functions.semantics import count_distinct_na, explicit_missing, nan_to_null, safe_div, sum_na_rm
+from medspark.operators.joins import join_left
+from medspark.operators.windows import stable
 
 
 def activity_profile(df: DataFrame, date_col: str, org_col: str, product_col: str, value: str,
@@ -95,11 +97,9 @@ def percentiles_by(df: DataFrame, by: str | Sequence[str], value: str, probs: Se
     missing values are ignored.  One output row per group, one column per name.
 
     ``method``:
-    * ``"distributed"`` (default) - exact, and no task ever holds a whole
-      group: the rows are globally sorted by (group, value) with a range
-      partitioning (a hash tie-breaker spreads even a run of identical values),
-      numbered with per-partition offsets, and only the two order statistics
-      around each quantile position are fetched by a join on the row number.
+    * ``"distributed"`` (default) - exact, and no task ever sorts a large group
+      (``order_statistics``): histograms of each group narrow the range of values
+      around the wanted ranks, and only the rows inside these ranges are sorted.
     * ``"buffer"`` - Spark's exact ``percentile`` aggregate: keeps a group's
       values in one aggregation buffer; fine when a group is bounded (e.g.
       one value per organisation and month).
@@ -113,23 +113,81 @@ def percentiles_by(df: DataFrame, by: str | Sequence[str], value: str, probs: Se
         return q.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     if method != "distributed":
         raise ValueError(f"unknown method {method!r}")
-    from medspark.operators.windows import global_row_number, stable
-    src = stable(df.select(*by, F.col(value).alias("_v")))  # the input feeds several branches below
-    base = src.where(F.col("_v").isNotNull())
-    tie = F.xxhash64(*by, "_v", F.monotonically_increasing_id())
-    ranked = global_row_number(base.withColumn("_tie", tie), [*by, "_v", "_tie"], "_rn").drop("_tie")
-    groups = ranked.groupBy(*by).agg(F.min("_rn").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    wanted = groups.select(*by, "_start", "_n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"))
-    wanted = wanted.withColumn("_h", (F.col("_n") - 1) * F.col("_p") + F.col("_start"))  # 1-based global rank
-    wanted = wanted.withColumns({"_lo": F.floor("_h"), "_hi": F.ceil("_h")})
-    # one join fetches both order statistics around each position
-    needed = wanted.select(*by, "_i", "_h", "_lo", "_hi", F.explode(F.array("_lo", "_hi")).alias("_rn"))
-    pairs = (needed.join(ranked.select("_rn", "_v"), "_rn")
-             .groupBy(*by, "_i", "_h", "_lo")
-             .agg(F.max(F.when(F.col("_rn") == F.col("_lo"), F.col("_v"))).alias("_vlo"),
-                  F.max(F.when(F.col("_rn") == F.col("_hi"), F.col("_v"))).alias("_vhi")))
-    got = pairs.withColumn("_q", F.col("_vlo") + (F.col("_h") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo")))
+    src = stable(df.select(*by, nan_to_null(F.col(value).cast("double")).alias("_v")))  # feeds several branches
+    sizes = src.groupBy(*by).agg(F.count("_v").alias("_n"))
+    places = sizes.where("_n > 0").select(*by, F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"), "_n")
+    places = places.withColumn("_h", (F.col("_n") - 1) * F.col("_p") + 1)  # 1-based
+    places = places.select(*by, "_i", "_h", F.explode(F.array(F.floor("_h"), F.ceil("_h"))).alias("_rank"))
+    found = _matched(places, order_statistics(src, by, "_v", places.select(*by, "_rank").distinct(), "_rank"), [*by, "_rank"])
+    low, high = (F.max(F.when(F.col("_rank") == f("_h"), F.col("_v"))) for f in (F.floor, F.ceil))
+    ends = found.groupBy(*by, "_i", "_h").agg(low.alias("_lo"), high.alias("_hi"))
+    got = ends.withColumn("_q", F.col("_lo") + (F.col("_h") - F.floor("_h")) * (F.col("_hi") - F.col("_lo")))
     out = got.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
     # groups whose values are all missing still get a row of NULLs
-    all_groups = src.select(*by).distinct()
-    return all_groups.join(out, by, "left") if by else out
+    return _matched(sizes.select(*by), out, by, "left").select(*by, *names)
+
+
+SORTED_ROWS = 100_000  # of one range that a task may sort
+CELLS = 1024  # of a histogram
+
+
+def _matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, a missing group matching itself."""
+    return join_left(left, right, list(keys), null_safe=True, how=how)
+
+
+def _power(c: str) -> Column:
+    """A number that ascends with the value's sign and power of two."""
+    v = F.abs(F.col(c))
+    power = F.when(v == 0, F.lit(0)).when(v == float("inf"), F.lit(3000)).otherwise(F.floor(F.log2(v)).cast("int") + 1200)
+    return F.when(F.col(c) < 0, -power).otherwise(power)
+
+
+def order_statistics(src: DataFrame, by: Sequence[str], value: str, ranks: DataFrame, rank: str,
+                     most: int | None = None, cells: int = CELLS) -> DataFrame:
+    """(by, rank, value): the values at some 1-based ranks of each group, exactly.
+
+    A span is a range of a group's values that holds wanted ranks; at first it is the
+    whole group.  While some span has more than ``most`` rows that differ, a histogram
+    of its values, counted with partial aggregates, replaces it by the cells in which
+    the ranks fall, whose least and greatest values are known.  The cells of a span are
+    the values' powers of two, or, within one power, ``cells`` equal steps, so a few
+    rounds suffice whatever the values' spread (at most 1 + 52 / log2(cells)).  Rows
+    inside the last spans are sorted by span.  Spans of one value need no sort, however
+    many rows they have.  ``src`` is read once a round and should be a written table;
+    missing values are left out.
+    """
+    most = SORTED_ROWS if most is None else most
+    rows = src.where(F.col(value).isNotNull()).select(*by, value)
+    span = rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_size"))
+    placed = _matched(ranks.select(*by, rank), span.withColumn("_before", F.lit(0).cast("bigint")), by)
+    ids = [*by, "_lo", "_hi", "_before"]
+
+    def inside(spans: DataFrame) -> DataFrame:
+        found = _matched(rows, spans, by)
+        return found.where(F.col(value).between(F.col("_lo"), F.col("_hi")))
+
+    while True:
+        placed = stable(placed)  # a row for each group and wanted rank
+        wide = placed.where((F.col("_size") > most) & (F.col("_lo") < F.col("_hi")))
+        if wide.isEmpty():
+            break
+        step = F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cells).cast("int")
+        cell = F.when(_power("_lo") == _power("_hi"), F.least(step, F.lit(cells - 1))).otherwise(_power(value))
+        counts = (inside(wide.select(*ids).distinct()).groupBy(*ids, cell.alias("_cell"))
+                  .agg(F.min(value).alias("_least"), F.max(value).alias("_most"), F.count(F.lit(1)).alias("_in")))
+        upto = Window.partitionBy(*ids).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # at most ``cells`` rows
+        counts = counts.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_in").over(upto), F.lit(0)))
+        narrow = (_matched(wide, counts, ids)
+                  .where((F.col(rank) > F.col("_start")) & (F.col(rank) <= F.col("_start") + F.col("_in")))
+                  .select(*by, rank, F.col("_least").alias("_lo"), F.col("_most").alias("_hi"),
+                          F.col("_in").alias("_size"), F.col("_start").alias("_before")))
+        placed = placed.where(~((F.col("_size") > most) & (F.col("_lo") < F.col("_hi")))).select(*narrow.columns).unionByName(narrow)
+
+    same = placed.where(F.col("_lo") == F.col("_hi")).select(*by, rank, F.col("_lo").alias(value))
+    several = placed.where(F.col("_lo") < F.col("_hi"))
+    order = Window.partitionBy(*ids).orderBy(value)  # at most ``most`` rows
+    sorted_rows = (inside(several.select(*ids).distinct())
+                   .withColumn(rank, F.col("_before") + F.row_number().over(order)))
+    return same.unionByName(_matched(several.select(*ids, rank), sorted_rows.select(*ids, rank, value), [*ids, rank])
+                            .select(*by, rank, value))

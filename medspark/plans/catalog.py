@@ -107,13 +107,18 @@ def _codelist(spark, d):
         F.col("p_partkey").alias("vmp_code"))
 
 
-def _lookup(spark, d, names, wildcards):
+LOOKUP_COLUMNS = {"product_id": "vmp_code", "product_name": "vmp_name", "bnf_code": "bnf_code", "link_product": "vmp",
+                  "link_ingredient": "ing", "ingredient_id": "id", "ingredient_name": "nm", "ddd_product": "vmp_code",
+                  "ddd_value": "ddd"}
+
+
+def _lookup_tables(spark, d):
     prod = td.products(spark, d)
-    return codelists.ingredient_lookup(
-        prod, td.ingredient_links(spark, d), td.ingredients(spark, d), prod, names, wildcards,
-        product_id="vmp_code", product_name="vmp_name", bnf_code="bnf_code",
-        link_product="vmp", link_ingredient="ing", ingredient_id="id", ingredient_name="nm",
-        ddd_product="vmp_code", ddd_value="ddd")
+    return prod, td.ingredient_links(spark, d), td.ingredients(spark, d), prod
+
+
+def _lookup(spark, d, names, wildcards):
+    return codelists.ingredient_lookup(*_lookup_tables(spark, d), names, wildcards, **LOOKUP_COLUMNS)
 
 
 def _trend_codes(spark, d):
@@ -150,9 +155,15 @@ def _hospital(spark, d):
     return td.activity(spark, d).join(prod, "vmp_code", "left")
 
 
+def _sources(spark, d, period=None):
+    """Both sources' rows and the lookups of ``reports.source_rows``."""
+    moiety = td.products(spark, d).select("vmp_code", F.col("vtmnm").alias("product_name"))
+    hospital = td.issues(spark, d, period=period).join(moiety, "vmp_code", "left")
+    return hospital, td.orgs(spark, d), td.community_issues(spark, d, period), td.ccg_map(spark, d)
+
+
 def _combined(spark, d):
-    return reports.combine_sources(_hospital(spark, d), td.orgs(spark, d), td.community(spark, d),
-                                   td.ccg_map(spark, d))
+    return reports.combine_sources(*_sources(spark, d), hospital_value="quantity")
 
 
 def _top20_areas_unrounded(spark, d, na_rm=True):
@@ -263,6 +274,16 @@ def _q_name_wildcard_many(spark, d):
                                          MANY_PATTERNS)
 
 
+def _q_name_wildcard_table(spark, d):
+    """Patterns held in a table: the end of a name's first word, a blank and a letter
+    that depends on the product's code."""
+    prod = td.products(spark, d).select("vmp_code", "vmp_name")
+    first = F.element_at(F.split("vmp_name", " "), 1)
+    letter = F.chr(F.lit(97) + F.col("vmp_code") % 26)
+    patterns = prod.select(F.concat(F.substring(first, -2, 2), F.lit(" "), letter))
+    return codelists.filter_contains_any(prod, "vmp_name", patterns)
+
+
 def _q_ingredient_exact(spark, d):
     return _lookup(spark, d, EXACT_NAMES, wildcards=False)
 
@@ -272,8 +293,7 @@ def _q_ingredient_wildcard(spark, d):
 
 
 def _q_exact_union_wildcard(spark, d):
-    return codelists.exact_union_wildcard(_lookup(spark, d, EXACT_NAMES, False),
-                                          _lookup(spark, d, WILDCARD_NAMES, True))
+    return codelists.exact_or_wildcard_lookup(*_lookup_tables(spark, d), EXACT_NAMES, WILDCARD_NAMES, **LOOKUP_COLUMNS)
 
 
 def _q_missing_names(spark, d):
@@ -557,8 +577,7 @@ def _q_locf(spark, d):
 def _q_subtotals(spark, d):
     a = (td.activity(spark, d).join(td.orgs(spark, d).select("ods_code", "ods_name"), "ods_code", "left")
          .join(td.products(spark, d).select("vmp_code", "vmp_name"), "vmp_code", "left"))
-    return a.rollup("ods_name", "vmp_name").agg(F.sum("total_quantity").alias("total_quantity"),
-                                                F.grouping_id().alias("grp"))
+    return reports.subtotals(a, ["ods_name", "vmp_name"], "total_quantity")
 
 
 def _q_combined_sources(spark, d):
@@ -570,7 +589,8 @@ def _q_source_share(spark, d):
 
 
 def _q_area_share_pivot(spark, d):
-    out = reports.area_share_by_source(_combined(spark, d), *PERIOD, ONE_MOIETY)
+    rows = reports.source_rows(*_sources(spark, d, PERIOD), hospital_value="quantity")
+    out = reports.area_share_by_source(rows, reports.area_names(td.ccg_map(spark, d)), ONE_MOIETY)
     return _round(out, {"community": 6, "hospital": 6, "total": 6})
 
 
@@ -765,6 +785,10 @@ CATALOG: dict[str, Query] = {
     "name_wildcard_many": Query(_q_name_wildcard_many,
                                 f"{V}\nSELECT vmp_code, vmp_name FROM prod WHERE "
                                 + " OR ".join(f"vmp_name LIKE '%{p}%'" for p in MANY_PATTERNS), "F3"),
+    "name_wildcard_table": Query(_q_name_wildcard_table,
+                                 f"{V}, pats AS (SELECT DISTINCT right(list_extract(string_split(vmp_name, ' '), 1), 2) || "
+                                 "' ' || chr(97 + CAST(vmp_code % 26 AS INTEGER)) AS p FROM prod)\nSELECT vmp_code, "
+                                 "vmp_name FROM prod WHERE EXISTS (SELECT 1 FROM pats WHERE contains(vmp_name, p))", "F3"),
     "ingredient_exact": Query(_q_ingredient_exact, f"{V}\n{_ingredient_sql(EXACT_NAMES, False)}", "G1 J2 J3"),
     "ingredient_wildcard": Query(_q_ingredient_wildcard, f"{V}\n{_ingredient_sql(WILDCARD_NAMES, True)}",
                                  "G1 F3 J2 J3"),

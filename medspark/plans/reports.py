@@ -26,10 +26,9 @@ from medspark.operators.calendar import trend_array
 from medspark.operators.codelists import in_codelist
 from medspark.operators.joins import join_left
 from medspark.operators.organisations import apply_override
-from medspark.operators.reshape import pivot_one, unpivot_longer
+from medspark.operators.reshape import unpivot_longer
 from medspark.operators.quality import percentiles_by
-from medspark.operators.windows import (fill_group_attribute, share_of_group, stable, stacked_midpoint,
-                                        top_n_groups)
+from medspark.operators.windows import share_of_group, stable, stacked_midpoint, top_n_groups
 
 
 def _cols(cs: str | Sequence[str]) -> list[str]:
@@ -136,9 +135,21 @@ def dictionary_view(dictionary: DataFrame, codes: DataFrame | Sequence, code: st
 
 def subtotals(df: DataFrame, groups: Sequence[str], value: str, out: str | None = None,
               level: str = "grp") -> DataFrame:
-    """Sums per group with subtotals for every prefix of ``groups`` and
-    the grand total (``ROLLUP``); ``level`` is the grouping id (0 = detail)."""
-    return df.rollup(*groups).agg(F.sum(value).alias(out or value), F.grouping_id().alias(level))
+    """Sums per group with subtotals for every prefix of ``groups`` and the grand
+    total; ``level`` is the grouping id of ``ROLLUP`` (0 = detail).
+
+    The rows are summed once, at the finest level; every coarser level adds up the
+    one below it, so raw rows are neither copied per level nor shuffled again."""
+    groups, out = list(groups), out or value
+    finer = df.groupBy(*groups).agg(F.sum(value).alias(out))
+    types = {c: finer.schema[c].dataType for c in groups}
+    levels = finer.withColumn(level, F.lit(0).cast("bigint"))
+    for n in range(len(groups) - 1, -1, -1):
+        finer = finer.groupBy(*groups[:n]).agg(F.sum(out).alias(out))
+        missing = [F.lit(None).cast(types[c]).alias(c) for c in groups[n:]]
+        levels = levels.unionByName(finer.select(
+            *groups[:n], *missing, out, F.lit((1 << (len(groups) - n)) - 1).cast("bigint").alias(level)))
+    return levels
 
 
 # --- trends ----------------------------------------------------------------------
@@ -221,37 +232,50 @@ def trend_table(df: DataFrame, keys: Sequence[str], month: str, value: str,
 
 # --- two sources -------------------------------------------------------------
 
-def combine_sources(hospital: DataFrame, org_area: DataFrame, community: DataFrame, ccg_map: DataFrame,
-                    *, hospital_month: str = "year_month", hospital_org: str = "ods_code",
-                    hospital_product: str = "product_name", hospital_value: str = "total_quantity",
-                    community_month: str = "month", community_ccg: str = "ccg_code",
-                    community_product: str = "product_name", community_value: str = "quantity",
-                    na_rm: bool = False) -> DataFrame:
-    """Q13 (A22 U2 P8 F5 W5): hospital and community issues rolled up to area
-    level, set-unioned by column name, rows without an area dropped, area and
-    region names filled per area from the side that has them, rows whose area
-    name stays unknown dropped.
+def area_names(ccg_map: DataFrame, area: str = "stp_code") -> DataFrame:
+    """One row per area of the commissioner map: its name and region, which depend on
+    the area alone (W5: the smallest non-missing one, N8)."""
+    return (ccg_map.where(F.col(area).isNotNull()).groupBy(F.col(area).alias("stp"))
+            .agg(F.min("comm_region_name").alias("comm_region_name"), F.min("stp_name").alias("stp_name"))
+            .where(F.col("stp_name").isNotNull()))
+
+
+def source_rows(hospital: DataFrame, org_area: DataFrame, community: DataFrame, ccg_map: DataFrame,
+                *, hospital_month: str = "year_month", hospital_org: str = "ods_code",
+                hospital_product: str = "product_name", hospital_value: str = "total_quantity",
+                community_month: str = "month", community_ccg: str = "ccg_code",
+                community_product: str = "product_name", community_value: str = "quantity") -> DataFrame:
+    """Rows of both sources by area, before any sum: stp, month, source, product_name,
+    quantity (U2 by column name); rows without an area are dropped (F5)."""
+    h = (hospital.join(org_area.select(hospital_org, F.col("stp_code").alias("stp")), hospital_org, "left")
+         .select("stp", F.col(hospital_month).alias("month"), F.lit("hospital").alias("source"),
+                 F.col(hospital_product).alias("product_name"), F.col(hospital_value).alias("quantity")))
+    ccgs = ccg_map.select(F.col("ccg_code").alias(community_ccg), F.col("stp_code").alias("stp"))
+    c = (community.join(ccgs, community_ccg, "left")
+         .select("stp", F.col(community_month).alias("month"), F.lit("community").alias("source"),
+                 F.col(community_product).alias("product_name"), F.col(community_value).alias("quantity")))
+    return c.unionByName(h).where(F.col("stp").isNotNull())
+
 
+def combine_sources(hospital: DataFrame, org_area: DataFrame, community: DataFrame, ccg_map: DataFrame,
+                    *, na_rm: bool = False, **columns: str) -> DataFrame:
+    """Q13 (A22 U2 P8 F5 W5): hospital and community issues, at any grain, rolled up to
+    area, month, source and product; rows of areas without a name are dropped.  Names
+    come from the map, for areas that community issues occur in.
+
+    One sum over both sources; names are joined to its rows, which are unique by
+    their keys, so the union needs no distinct and the names no window.
+    ``columns`` as for ``source_rows``.
     Output: comm_region_name, stp_name, stp, month, source, product_name, quantity.
     """
-    h = (hospital.join(org_area.select(hospital_org, F.col("stp_code").alias("stp")), hospital_org, "left")
-         .groupBy(F.col(hospital_month).alias("month"), "stp", F.lit("hospital").alias("source"),
-                  F.col(hospital_product).alias("product_name"))
-         .agg(agg_sum(hospital_value, na_rm).alias("quantity"))
-         .withColumn("comm_region_name", F.lit(None).cast("string"))
-         .withColumn("stp_name", F.lit(None).cast("string")))
-    c = (community.join(ccg_map.withColumnRenamed("ccg_code", community_ccg), community_ccg, "left")
-         .groupBy("comm_region_name", "stp_name", F.col("stp_code").alias("stp"),
-                  F.col(community_month).alias("month"), F.lit("community").alias("source"),
-                  F.col(community_product).alias("product_name"))
-         .agg(agg_sum(community_value, na_rm).alias("quantity")))
-    cols = ["comm_region_name", "stp_name", "stp", "month", "source", "product_name", "quantity"]
-    both = c.select(*cols).unionByName(h.select(*cols)).distinct().where(F.col("stp").isNotNull())
-    # W5 as a window: each area holds at most months x sources x products rows
-    # here, and the window reads the union once (the aggregate-and-join form
-    # would evaluate the union twice, once per branch)
-    filled = fill_group_attribute(both, ["comm_region_name", "stp_name"], "stp")
-    return filled.where(F.col("stp_name").isNotNull())
+    sums = (source_rows(hospital, org_area, community, ccg_map, **columns)
+            .groupBy("stp", "month", "source", "product_name").agg(agg_sum("quantity", na_rm).alias("quantity")))
+    # asks for the quantity too, so that both uses of the sums share one shuffle
+    seen = F.max(F.when(F.col("source") == "community", F.struct(F.lit(1), "quantity"))).alias("_seen")
+    areas = sums.groupBy("stp").agg(seen).where(F.col("_seen").isNotNull()).select("stp")
+    named = join_left(area_names(ccg_map), areas, "stp", how="left_semi")
+    return (join_left(sums, named, "stp", how="inner")
+            .select("comm_region_name", "stp_name", "stp", "month", "source", "product_name", "quantity"))
 
 
 def source_share(combined: DataFrame, product: str | None = None) -> DataFrame:
@@ -266,20 +290,33 @@ def source_share(combined: DataFrame, product: str | None = None) -> DataFrame:
     return out
 
 
-def area_share_by_source(combined: DataFrame, start: str, end: str, product: str,
+def area_share_by_source(rows: DataFrame, names: DataFrame, product: str,
                          sources: Sequence[str] = ("community", "hospital")) -> DataFrame:
-    """Q16 (F4 A5 W1 F6 W2 R2 R4): share of one product per area and source in a
-    period (denominator: the area's total over BOTH sources), cast wide by
-    source, with the strict sum of the source shares (N15)."""
-    per = (in_period(combined, "month", start, end)
-           .groupBy("stp_name", "stp", "source", "product_name").agg(sum_strict("quantity").alias("stp_quantity")))
-    shared = share_of_group(per, "stp_quantity", "stp", "prop_prescribing", na_rm=False)
-    one = shared.where(F.col("product_name") == F.lit(product))
-    wide = pivot_one(one, ["stp_name", "stp", "product_name"], "source", "prop_prescribing", list(sources))
-    total = None
+    """Q16 (A5 W1 F6 W2 R2 R4): share of one product per area and source (denominator:
+    the area's total over BOTH sources), wide by source, with the strict sum of the
+    source shares (N15).
+
+    ``rows`` as ``source_rows`` gives them for the period, ``names`` as ``area_names``.
+    One conditional sum by area yields all numerators and the denominator, strict as
+    the sums by product would be; areas without the product have no row."""
+    def total(q):
+        return F.when(F.count(q) == F.count(F.lit(1)), F.sum(q))
+
+    def of(source):
+        here = (F.col("source") == source) & (F.col("product_name") == product)
+        n = F.count_if(here)
+        return F.when((n > 0) & (n == F.count(F.when(here, F.col("quantity")))), F.sum(F.when(here, F.col("quantity"))))
+
+    sums = (rows.groupBy("stp").agg(total(F.col("quantity")).alias("_all"), *[of(s).alias(f"_{s}") for s in sources],
+                                    F.count_if(F.col("product_name") == product).alias("_n"))
+            .where(F.col("_n") > 0))
+    shares = join_left(sums, names, "stp", how="inner").select(
+        "stp_name", "stp", F.lit(product).alias("product_name"),
+        *[safe_div(F.col(f"_{s}"), F.col("_all")).alias(s) for s in sources])
+    out = None
     for s in sources:
-        total = F.col(s) if total is None else total + F.col(s)
-    return wide.withColumn("total", total)
+        out = F.col(s) if out is None else out + F.col(s)
+    return shares.withColumn("total", out)
 
 
 def trust_share_deciles(hospital: DataFrame, product: str, *, month: str = "year_month",

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from medspark.functions.dose import (dose_factor, dose_units, quantity_units, strength_per_single, volume_ddd,
                                      volume_singles)
-from medspark.functions.scalars import month_start
+from medspark.functions.scalars import in_months, month_start
 from medspark.operators import activity as activity_ops
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -169,15 +169,22 @@ CCG_MAP_SQL = """SELECT c_custkey AS ccg_code, c_nationkey AS stp_code, stp_name
 FROM customer LEFT JOIN areas ON c_nationkey = areas.stp_code"""
 
 
-def community(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second source: quantities per order month, commissioner and moiety."""
+def community_issues(spark: SparkSession, sf_dir: str, period: tuple[str, str] | None = None) -> DataFrame:
+    """Second source row by row: month of the order, commissioner, moiety, quantity."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    if period is not None:
+        o = o.where(in_months("o_orderdate", *period))
     p = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     j = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(p, li["l_partkey"] == p["p_partkey"])
-    return (j.groupBy(month_start("o_orderdate").alias("month"), F.col("o_custkey").alias("ccg_code"),
-                      F.col("p_type").alias("product_name"))
-            .agg(F.sum("l_quantity").alias("quantity")))
+    return j.select(month_start("o_orderdate").alias("month"), F.col("o_custkey").alias("ccg_code"),
+                    F.col("p_type").alias("product_name"), F.col("l_quantity").alias("quantity"))
+
+
+def community(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second source: quantities per order month, commissioner and moiety."""
+    return (community_issues(spark, sf_dir).groupBy("month", "ccg_code", "product_name")
+            .agg(F.sum("quantity").alias("quantity")))
 
 
 COMMUNITY_SQL = """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_custkey AS ccg_code,

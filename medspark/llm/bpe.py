@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from medspark.llm.texts import Recent, map_texts
 
-WORD_ENTRIES, CHUNK_ENTRIES = 100_000, 400_000  # that one Python worker keeps; others are computed again
+WORD_ENTRIES, CHUNK_ENTRIES = 60_000, 150_000  # that one Python worker keeps, twice at most; others are computed again
 #: Latin letters that the normalizer lowers one by one, then signs that it keeps
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _NEVER = 1 << 60

@@ -31,7 +31,7 @@ def not_in_codelist(df: DataFrame, col: str, codes: DataFrame, code_col: str | N
     return anti_join(df, codes.select(code_col), {col: code_col}, null_safe=True)
 
 
-FEW_PATTERNS = 64  # so many are tested on each row; more go through the index of pieces
+FEW_PATTERNS = 128  # so many are tested on each row; more go through the index of pieces
 PIECE = 3  # characters
 
 

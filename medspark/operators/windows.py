@@ -11,7 +11,6 @@ offsets, and top-N keeps only ``n`` distinct values before ranking.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 
 from medspark.functions.semantics import running, safe_div, window_sum
 from medspark.session import checkpoint_root
+from medspark.sources.cache import copy_path
 
 _LOW33 = (1 << 33) - 1  # monotonically_increasing_id keeps the row index in the low 33 bits
 
@@ -104,12 +104,81 @@ def fill_group_attribute(df: DataFrame, cols: Sequence[str], by: str | Sequence[
     return df.withColumns({c: F.min(c).over(w) for c in cols})
 
 
-def locf(df: DataFrame, value: str, keys: str | Sequence[str], order: str, out: str | None = None) -> DataFrame:
-    """Carry the last non-missing value forward along ``order`` per key."""
-    w = running(Window.partitionBy(*_cols(keys)).orderBy(order))
+def locf(df: DataFrame, value: str, keys: str | Sequence[str], order: str | Sequence[str], out: str | None = None,
+         method: str = "window") -> DataFrame:
+    """Carry the last non-missing value forward along ``order`` per key.
+
+    ``method="window"`` holds a key's rows in one task: right after an aggregation or
+    a calendar fill, where a key has a row per period.  ``method="segments"`` is for raw
+    rows, where a key may hold a third of the table (``locf_by_segments``).
+    ``order`` should tell a key's rows apart; rows alike in it follow one another in any order.
+    """
+    keys, order = _cols(keys), _cols(order)
+    if method == "segments":
+        return locf_by_segments(df, value, keys, order, out or value)
+    if method != "window":
+        raise ValueError(f"unknown method {method!r}")
+    w = running(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn(out or value, F.last(value, ignorenulls=True).over(w))
 
 
+def locf_by_segments(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], out: str,
+                     segments: int | None = None) -> DataFrame:
+    """W7 as a segmented scan, whatever the length of a key.
+
+    1. Rows are range-partitioned by (key, order), which cuts a long key into several
+       segments; the segment's number is written with the rows.
+    2. Values are carried forward within (segment, key).
+    3. What enters a segment's part of a key comes from the earlier segments of that
+       key: the last value of each (segment, key) is a small table, of about one row per
+       segment and key, in which the same scan finds the value to carry in.
+    """
+    names = _fresh(df, ["segment", "inside", "carried"])
+    segment, inside, carried = names
+    by = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
+    n = [segments] if segments else []
+    rows = stable(df.repartitionByRange(*n, *by).withColumn(segment, F.spark_partition_id()))
+    within = running(Window.partitionBy(segment, *keys).orderBy(*order))
+    filled = rows.withColumn(inside, F.last(value, ignorenulls=True).over(within))
+
+    # the key's last value in each of its segments: largest order among non-missing values
+    at = F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)) for c in order])
+    last = (rows.groupBy(segment, *keys)
+            .agg(F.max_by(value, F.when(F.col(value).isNotNull(), at)).alias(carried)))
+    # keys that lie in one segment have nothing to carry: only cut ones meet the window
+    cut = last.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
+    before = Window.partitionBy(*keys).orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (join_null_safe(last, cut, keys, "left_semi")
+             .withColumn(carried, F.last(carried, ignorenulls=True).over(before))
+             .where(F.col(carried).isNotNull()))
+    joined = join_null_safe(filled, carry, [segment, *keys], "left")
+    return joined.withColumn(out, F.coalesce(inside, carried)).select(*dict.fromkeys([*df.columns, out]))
+
+
+def _fresh(df: DataFrame, names: Sequence[str]) -> list[str]:
+    """``names``, lengthened until ``df`` has no such columns."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on ``keys``, missing matching missing (N5); the keys once."""
+    l, r = left.alias("_l"), right.alias("_r")
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}"))
+    joined = l.join(r, cond, how)
+    if how in ("left_semi", "left_anti"):
+        return joined
+    return joined.select("_l.*", *[F.col(f"_r.{c}") for c in right.columns if c not in keys])
+
+
 def minmax_scale(df: DataFrame, value: str, out: str, materialise: bool = True) -> DataFrame:
     """``(v - min) / (max - min)`` with the bounds as one scalar subquery.
 
@@ -132,11 +201,11 @@ def stable(df: DataFrame) -> DataFrame:
     ``Dataset.checkpoint``: that computes the plan twice (eager count, then the
     write) and yields a relation of unknown size, while the parquet copy is
     one job, columnar, and carries real size statistics for join planning.
-    Schemas parquet cannot hold fall back to ``checkpoint``.
+    Schemas parquet cannot hold fall back to ``checkpoint``.  Inside a block of
+    ``sources.cache.copies`` the copy is deleted at the block's end.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_root(spark)
-    path = f"{root.rstrip('/')}/medspark-stable/{uuid.uuid4().hex}"
+    path = copy_path(spark)
     try:
         df.write.parquet(path)
     except AnalysisException as e:

@@ -279,7 +279,7 @@ def _q_name_wildcard_table(spark, d):
     that depends on the product's code."""
     prod = td.products(spark, d).select("vmp_code", "vmp_name")
     first = F.element_at(F.split("vmp_name", " "), 1)
-    letter = F.chr(F.lit(97) + F.col("vmp_code") % 26)
+    letter = F.chr(F.lit(97) + F.col("vmp_code") % 5)
     patterns = prod.select(F.concat(F.substring(first, -2, 2), F.lit(" "), letter))
     return codelists.filter_contains_any(prod, "vmp_name", patterns)
 
@@ -574,6 +574,13 @@ def _q_locf(spark, d):
     return windows.locf(filled, "total_quantity", "ods_code", "year_month", "total_quantity_locf")
 
 
+def _q_fill_down_events(spark, d):
+    """Raw rows of few, long keys: readings taken at some events, carried on per event type."""
+    reading = F.when(F.col("event_id") % 7 == 0, F.col("value")).alias("reading")
+    rows = td.table(spark, d, "events").select("event_type", "ts", "event_id", reading)
+    return windows.locf(rows, "reading", "event_type", ["ts", "event_id"], "reading_locf", method="segments")
+
+
 def _q_subtotals(spark, d):
     a = (td.activity(spark, d).join(td.orgs(spark, d).select("ods_code", "ods_name"), "ods_code", "left")
          .join(td.products(spark, d).select("vmp_code", "vmp_name"), "vmp_code", "left"))
@@ -787,7 +794,7 @@ CATALOG: dict[str, Query] = {
                                 + " OR ".join(f"vmp_name LIKE '%{p}%'" for p in MANY_PATTERNS), "F3"),
     "name_wildcard_table": Query(_q_name_wildcard_table,
                                  f"{V}, pats AS (SELECT DISTINCT right(list_extract(string_split(vmp_name, ' '), 1), 2) || "
-                                 "' ' || chr(97 + CAST(vmp_code % 26 AS INTEGER)) AS p FROM prod)\nSELECT vmp_code, "
+                                 "' ' || chr(97 + CAST(vmp_code % 5 AS INTEGER)) AS p FROM prod)\nSELECT vmp_code, "
                                  "vmp_name FROM prod WHERE EXISTS (SELECT 1 FROM pats WHERE contains(vmp_name, p))", "F3"),
     "ingredient_exact": Query(_q_ingredient_exact, f"{V}\n{_ingredient_sql(EXACT_NAMES, False)}", "G1 J2 J3"),
     "ingredient_wildcard": Query(_q_ingredient_wildcard, f"{V}\n{_ingredient_sql(WILDCARD_NAMES, True)}",
@@ -1016,6 +1023,11 @@ CATALOG: dict[str, Query] = {
                   "k.ods_code AND m.year_month = cal.year_month)\nSELECT *, LAST_VALUE(total_quantity IGNORE NULLS) "
                   "OVER (PARTITION BY ods_code ORDER BY year_month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) "
                   "AS total_quantity_locf FROM filled", "W7"),
+    "fill_down_events": Query(_q_fill_down_events,
+                              "WITH r AS (SELECT event_type, ts, event_id, CASE WHEN event_id % 7 = 0 THEN value END AS "
+                              "reading FROM events)\nSELECT *, LAST_VALUE(reading IGNORE NULLS) OVER (PARTITION BY "
+                              "event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS "
+                              "reading_locf FROM r", "W7"),
     "subtotals": Query(_q_subtotals,
                        f"{V}\nSELECT orgs.ods_name, prod.vmp_name, SUM(act.total_quantity) AS "
                        "total_quantity, GROUPING(orgs.ods_name, prod.vmp_name) AS grp FROM act LEFT JOIN orgs ON "

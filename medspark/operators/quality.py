@@ -9,7 +9,7 @@ in one task (histograms + order statistics), or approximate on request.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,20 +21,48 @@ from medspark.operators.windows import stable
 
 
 def activity_profile(df: DataFrame, date_col: str, org_col: str, product_col: str, value: str,
-                     approx: bool = False) -> DataFrame:
+                     approx: bool = False, dense_ids: bool = False) -> DataFrame:
     """Date range, distinct organisations and products (NA counted,
-    N13), and the sums of positive and of negative quantities."""
-    if approx:
-        n_org = F.approx_count_distinct(org_col)
-        n_prod = F.approx_count_distinct(product_col)
-    else:
-        n_org = count_distinct_na(org_col)
-        n_prod = count_distinct_na(product_col)
+    N13), and the sums of positive and of negative quantities.
+
+    ``dense_ids``: both keys are integers without large gaps, such as surrogate keys;
+    they are then counted exactly with bitmaps, in the same single pass
+    (``profile_with_bitmaps``).  Other keys are counted by Spark's distinct
+    aggregation, which copies each row for every distinct count."""
     v = F.col(value)
-    return df.agg(F.min(date_col).alias("first_month"), F.max(date_col).alias("last_month"),
-                  n_org.alias("n_ods_codes"), n_prod.alias("n_products"),
-                  F.sum(F.when(v > 0, v)).alias("sum_positive"),
-                  F.sum(F.when(v < 0, v)).alias("sum_negative"))
+    plain = {"first_month": (F.min, F.col(date_col)), "last_month": (F.max, F.col(date_col)),
+             "sum_positive": (F.sum, F.when(v > 0, v)), "sum_negative": (F.sum, F.when(v < 0, v))}
+    counts = {"n_ods_codes": org_col, "n_products": product_col}
+    names = ["first_month", "last_month", "n_ods_codes", "n_products", "sum_positive", "sum_negative"]
+    if dense_ids:
+        return profile_with_bitmaps(df, counts, plain).select(*names)
+    count = F.approx_count_distinct if approx else count_distinct_na
+    return df.agg(*[make(c).alias(n) for n, (make, c) in plain.items()],
+                  *[count(c).alias(n) for n, c in counts.items()]).select(*names)
+
+
+def profile_with_bitmaps(df: DataFrame, counts: Mapping[str, str], plain: Mapping[str, tuple]) -> DataFrame:
+    """Exact numbers of distinct integers of several columns (NULL counted, N13),
+    beside other aggregates, in one pass that copies no row.
+
+    Integers fall into buckets of 32,768; rows are grouped by the buckets of all the
+    columns and each group keeps a bitmap for each column.  The groups, few where
+    integers are dense, are then merged bucket by bucket.  ``plain`` names an
+    aggregate that merges with itself (min, max, sum) and its argument."""
+    ids = {n: F.col(c).cast("bigint") for n, c in counts.items()}
+    merges = {n: make for n, (make, _) in plain.items()}
+    groups = df.groupBy(*[F.bitmap_bucket_number(c).alias(f"_b_{n}") for n, c in ids.items()]).agg(
+        *[F.bitmap_construct_agg(F.coalesce(F.bitmap_bit_position(c), F.lit(0))).alias(f"_m_{n}") for n, c in ids.items()],
+        *[make(c).alias(f"_p_{n}") for n, (make, c) in plain.items()])
+    # one row per group and column; the other aggregates go with the first column's
+    rows = groups.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("name"), F.col(f"_b_{n}").alias("bucket"), F.col(f"_m_{n}").alias("bits"),
+                 *[F.when(F.lit(i == 0), F.col(f"_p_{p}")).alias(p) for p in plain]) for i, n in enumerate(ids)])))
+    merged = rows.groupBy("name", "bucket").agg(
+        F.when(F.col("bucket").isNull(), F.lit(1).cast("bigint")).otherwise(F.bitmap_count(F.bitmap_or_agg("bits"))).alias("n"),
+        *[make(F.col(p)).alias(p) for p, make in merges.items()])
+    return merged.agg(*[F.coalesce(F.sum(F.when(F.col("name") == n, F.col("n"))), F.lit(0)).alias(n) for n in ids],
+                      *[make(F.col(p)).alias(p) for p, make in merges.items()])
 
 
 def distinct_per_period(df: DataFrame, period: str, entity: str, out: str = "n") -> DataFrame:

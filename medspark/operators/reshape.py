@@ -17,9 +17,16 @@ from medspark.functions.semantics import round_half_even
 from medspark.operators.columns import require_columns
 
 
+MAX_CATEGORIES = 2000  # columns of a measure that a pivot makes from the data
+
+
 def categories_of(df: DataFrame, col: str) -> list[str | None]:
-    """The distinct categories in name order, a missing one last."""
-    return [r[0] for r in df.select(col).distinct().orderBy(F.col(col).asc_nulls_last()).collect()]
+    """The distinct categories in name order, a missing one last; more than
+    ``MAX_CATEGORIES`` are an error, since each becomes columns."""
+    found = df.select(col).distinct().limit(MAX_CATEGORIES + 1).collect()
+    if len(found) > MAX_CATEGORIES:
+        raise ValueError(f"column {col} has more than {MAX_CATEGORIES} categories; name the wanted ones")
+    return sorted((r[0] for r in found), key=lambda x: (x is None, x))
 
 
 def _shown(category: str | None) -> str:

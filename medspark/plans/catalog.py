@@ -607,7 +607,8 @@ def _q_share_deciles_long(spark, d):
 
 
 def _q_profile_activity(spark, d):
-    return quality.activity_profile(td.activity(spark, d), "year_month", "ods_code", "vmp_code", "total_quantity")
+    return quality.activity_profile(td.activity(spark, d), "year_month", "ods_code", "vmp_code", "total_quantity",
+                                    dense_ids=True)
 
 
 def _q_orgs_per_month(spark, d):

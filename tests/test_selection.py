@@ -182,3 +182,32 @@ def test_combined_sources_shuffle_at_most_five_times(spark):
     final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     shuffles = [x for x in final.splitlines() if "Exchange hashpartitioning" in x and "ReusedExchange" not in x]
     assert len(shuffles) <= 5 and "ReusedExchange" in final and "Window" not in final
+
+
+# --- distinct counts ------------------------------------------------------------------------
+
+def test_bitmaps_count_as_distinct_does(spark):
+    rng = random.Random(6)
+    rows = [(dt.date(2020, 1 + i % 5, 1), rng.choice([None, 0, -1, -32768, 5, 32768, 32769, 2**40]), rng.choice([None, *range(-70000, 70000, 7)]),
+             rng.choice([None, -2.0, 3.0, 0.0])) for i in range(4000)]
+    df = spark.createDataFrame(rows, "m date, o bigint, p int, q double").repartition(5)
+    a, b = (quality.activity_profile(df, "m", "o", "p", "q", dense_ids=x).collect() for x in (True, False))
+    assert a == b and a[0]["n_ods_codes"] == 8
+    some = df.where("o IS NOT NULL AND p IS NOT NULL AND q > 0")
+    a, b = (quality.activity_profile(some, "m", "o", "p", "q", dense_ids=x).collect() for x in (True, False))
+    assert a == b and a[0]["sum_negative"] is None
+    a = quality.activity_profile(df.where("false"), "m", "o", "p", "q", dense_ids=True).collect()
+    assert [tuple(r) for r in a] == [(None, None, 0, 0, None, None)]
+
+
+def test_profile_copies_no_row(spark):
+    assert "Expand" not in catalog._q_profile_activity(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_too_many_categories_are_an_error(spark, monkeypatch):
+    from medspark.operators import reshape
+    df = spark.createDataFrame([(c,) for c in ["b", None, "a", "b"]], "c string")
+    assert reshape.categories_of(df, "c") == ["a", "b", None]
+    monkeypatch.setattr(reshape, "MAX_CATEGORIES", 2)
+    with pytest.raises(ValueError, match="column c "):
+        reshape.categories_of(df, "c")

@@ -85,21 +85,30 @@ def held_out(d):
     return zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
 
 
-def language_model(docs, mass):
+def language_model(docs, mass, order=2):
     """(held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
     tokens = [[*words(lower(t)), None] for _, t in docs]
     train = [t for (d, _), t in zip(docs, tokens, strict=True) if not held_out(d)]
     count = Counter(x for t in train for x in t)
-    pairs = Counter(p for t in train for p in zip(["begin", *[(x,) for x in t]], t, strict=False))
+    grams, histories = Counter(), Counter()
+    for t in train:
+        padded = ["begin"] * (order - 1) + [(x,) for x in t]
+        for k in range(2, order + 1):
+            for i in range(order - 1, len(padded)):
+                gram = tuple(padded[i - k + 1:i + 1])
+                grams[gram] += 1
+                histories[gram[:-1]] += 1
     n, v = sum(count.values()), len(count)
     out = []
     for (d, _), t in zip(docs, tokens, strict=True):
         base = sum(math.log10((count[x] + 1) / (n + v + 1)) for x in t)
-        score, before = 0.0, "begin"
-        for x in t:
-            history = len(train) if before == "begin" else count[before[0]]
-            score += math.log10((pairs[before, x] + mass * (count[x] + 1) / (n + v + 1)) / (history + mass))
-            before = (x,)
+        score, padded = 0.0, ["begin"] * (order - 1) + [(x,) for x in t]
+        for i, x in enumerate(t, order - 1):
+            p = (count[x] + 1) / (n + v + 1)
+            for k in range(2, order + 1):
+                gram = tuple(padded[i - k + 1:i + 1])
+                p = (grams[gram] + mass * p) / (histories[gram[:-1]] + mass)
+            score += math.log10(p)
         out.append((held_out(d), len(t), sum(count[x] > 0 for x in t), n, base, score))
     return out
 

@@ -102,14 +102,20 @@ def test_cover_has_all_differences():
     assert {(a - b) % repeats.PERIOD for a in repeats.COVER for b in repeats.COVER} == set(range(repeats.PERIOD))
 
 
-def test_language_model(docs):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_language_model(docs, order):
     rows = pairs(docs)
-    got = by_id(language_model.score_texts(docs))
-    for (d, _), want in zip(rows, brute.language_model(rows, language_model.MASS), strict=True):
+    got = by_id(language_model.score_texts(docs, order=order))
+    for (d, _), want in zip(rows, brute.language_model(rows, language_model.MASS, order), strict=True):
         assert got[d][:4] == want[:4]
         assert math.isclose(got[d][4], want[4], rel_tol=1e-9) and math.isclose(got[d][5], want[5], rel_tol=1e-9)
 
 
+def test_longer_histories_fit_training_texts_better(real):
+    scores = [sum(r["score"] for r in language_model.score_texts(real, order=n).collect() if not r["held_out"]) for n in (1, 2, 3)]
+    assert scores[0] < scores[1] < scores[2]
+
+
 def test_language_model_beats_unigrams_on_held_out_texts(real):
     rows = [r for r in language_model.score_texts(real).collect() if r["held_out"]]
     assert rows and sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)

@@ -251,6 +251,26 @@ def test_gap_fill_single_month_and_month_missing_for_all_keys(spark):
     assert ("a", D(2020, 2, 1), None) in got and len(got) == 6
 
 
+def test_trend_table_joins_names_before_it_fills_the_calendar(spark):
+    df = spark.createDataFrame([("a", 1, "2019-01-01", 2.0), ("a", 1, "2019-03-01", 3.0), ("b", None, "2019-02-01", 4.0)],
+                               "k string, p int, m string, q double").withColumn("m", F.to_date("m"))
+    ks = spark.createDataFrame([("a", "A"), ("a", "AA")], "k string, k_name string")
+    ps = spark.createDataFrame([(1, "one")], "p int, p_name string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        t = reports.trend_table(df, ["k", "p"], "m", "q", [(ks, "k"), (ps, "p")])
+        plan = t._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert t.columns == ["p", "k", "trend", "total_quantity", "many_positive_months", "k_name", "p_name"]
+    assert rows(t) == rows(spark.createDataFrame(
+        [(1, "a", [2.0, 0.0, 3.0], 5.0, False, "A", "one"), (1, "a", [2.0, 0.0, 3.0], 5.0, False, "AA", "one"),
+         (None, "b", [0.0, 4.0, 0.0], 4.0, False, None, None)], t.schema))
+    assert plan.count("Join") == 2
+    assert plan.rindex("array_repeat") < plan.index("Join")  # rows of the joins hold the observed months alone
+
+
 def test_trend_table_totals_and_flags(spark):
     data = [("a", D(2020, m, 1), float(m)) for m in range(1, 13)] + [("b", D(2020, 5, 1), -1.0)]
     df = spark.createDataFrame(data, "k string, year_month date, q double")

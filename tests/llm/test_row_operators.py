@@ -117,6 +117,18 @@ def test_bpe_automaton_on_random_words():
         assert encoder.automaton.encode(word) == tokenizer.encode(word, add_special_tokens=False).ids
 
 
+def test_bpe_handles_each_run_of_a_slice_once():
+    import pyarrow as pa
+
+    tokenizer, encoder = Tokenizer.from_file(WORD), bpe.WordEncoder(WORD)
+    texts = [" \tWord word. \x0b\x0c", "", "ÀÉ, word.\nword. ÀÉ, x\x85y\x1fz " * 50, "\u200b", "word. it's <|endoftext|>a"]
+    offsets, numbers, entries = encoder.chunks(pa.array(texts))
+    assert len(entries) == len(set(" ".join(texts).encode().split()) | {b""})
+    got = [[int(x) for n in numbers.to_pylist()[a:b] for x in entries[n][1].split()]
+           for a, b in zip(offsets.tolist(), offsets.tolist()[1:], strict=False)]
+    assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_quality_measures(docs):
     got = by_id(quality_rules.judge(docs))
     want = {d: brute.quality(t) for d, t in texts(docs).items()}

@@ -27,70 +27,96 @@ from medspark.llm.texts import slices
 END_ID = 2
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
-CACHE_ENTRIES = 300_000  # chunks that one Python worker keeps, twice at most; others are encoded again
-#: Blanks other than the plain one and the line feed
-_BLANKS = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-
-def _stray_blank(text: str) -> bool:
-    """Does some blank not simply open the next word?  Such texts are encoded whole."""
-    return text.endswith(" ") or "  " in text or "\n " in text or " \n" in text or _BLANKS.search(text) is not None
+CACHE_ENTRIES = 300_000  # pieces that one Python worker keeps, twice at most; others are encoded again
+#: Blanks beyond ASCII, and controls that are blanks to some: texts with them are encoded whole
+_BLANKS = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Kinds of bytes: letters, digits, signs, blanks; apostrophes and bytes beyond ASCII may be several and have their bits
+_LETTER, _DIGIT, _SIGN, _BLANK = 1, 2, 4, 8
+_KIND = bytes(
+    _BLANK if c in b" \t\n\r\x0b\x0c" else _LETTER | _DIGIT | _SIGN if c > 127 or c == ord("'") else
+    _LETTER if chr(c).isalpha() else _DIGIT if chr(c).isdigit() else _SIGN for c in range(256))
+
+
+def _piece_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts begin that lie one after another in ``data``.
+
+    The pattern of byte-level BPE always parts letters, digits, signs and blanks;
+    the last blank before a word is parted from those before it and, if it is the
+    plain one, opens the word.  Where a byte may be of several kinds nothing is cut,
+    so a piece may hold more than one match, never a part of one."""
+    kind = np.frombuffer(data.tobytes().translate(_KIND), np.uint8)
+    cut = np.ones(len(data), bool)
+    np.equal((kind[:-1] | (data[:-1] == 32) * np.uint8(7)) & kind[1:], 0, out=cut[1:])
+    blank, word = kind == _BLANK, kind != _BLANK
+    word[starts] = False
+    cut[1:-1] |= blank[:-2] & blank[1:-1] & word[2:]
+    cut[starts] = True
+    return np.flatnonzero(cut)
 
 
 class IdEncoder:
-    """Ids of a byte-level BPE vocabulary whose words begin with their blank: the
-    ids of a text are those of its blank-led chunks one after another.  The chunks
-    of some texts that are not known go to the library as one text; only the ids
-    that begin with a blank begin a chunk."""
+    """Ids of a byte-level BPE vocabulary: those of a text are those of its pieces,
+    one after another.  The pieces of some texts that are not known go to the library
+    as one text, one to a line."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         self._encode = tokenizer.encode_batch_fast
-        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
-        blank = tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]  # as labels write it
-        self._opens = np.zeros(max(vocabulary.values()) + 1, bool)
-        self._opens[[i for token, i in vocabulary.items() if token.startswith(blank)]] = True
-        self._known, self._older = {"": b""}, {}  # chunks used lately; twice CACHE_ENTRIES and a slice's at most
+        special = [re.escape(x.content) for x in tokenizer.get_added_tokens_decoder().values()]
+        self._whole = "|".join([_BLANKS, *special])
+        self._line = self._ids("\n")[0]
+        self._known, self._older = {}, {}  # pieces used lately; twice CACHE_ENTRIES and a slice's at most
 
     def _ids(self, text: str) -> np.ndarray:
         return np.asarray(self._encode([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Makes the ids of ``chunks`` known."""
+    def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each of ``pieces``, which are then known."""
         if len(self._known) > CACHE_ENTRIES:
-            self._known, self._older = {"": b""}, self._known
-        new = set(chunks).difference(self._known)
-        again = new.intersection(self._older)
-        self._known.update((c, self._older[c]) for c in again)
-        if new := list(new - again):
-            ids = self._ids(" " + " ".join(new))
-            cuts, raw = (4 * np.flatnonzero(self._opens[ids])).tolist(), ids.tobytes()
-            self._known.update(zip(new, [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)],
-                                   strict=True))
+            self._known, self._older = {}, self._known
+        ids = [*map(self._known.get, pieces)]
+        if missing := [i for i, x in enumerate(ids) if x is None]:
+            new = []
+            for i in missing:
+                ids[i] = self._older.get(pieces[i])
+                if ids[i] is None:
+                    if pieces[i].isspace():
+                        ids[i] = self._ids(pieces[i].decode()).tobytes()
+                    else:
+                        new.append(i)
+            if new:
+                lines = self._ids("\n".join([pieces[i].decode() for i in new]))
+                ends, raw = (4 * np.flatnonzero(lines == self._line)).tolist(), lines.tobytes()
+                for i, a, b in zip(new, [0, *(x + 4 for x in ends)], [*ends, len(raw)], strict=True):
+                    ids[i] = raw[a:b]
+            self._known.update((pieces[i], ids[i]) for i in missing)
+        return ids
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by ``end_id``, and how many each has.  Every
-        text is a list of numbered parts: its first chunk (or all of it, if a blank
-        strays), its other chunks, the end."""
-        rows = texts.to_pylist()
-        stray = [_stray_blank(t) for t in rows]
-        if any(stray):
-            texts = pa.compute.if_else(pa.array(stray), "", texts)
-        chunks = pa.compute.split_pattern(texts, " ")
-        offsets, chunks = chunks.offsets.to_numpy(), chunks.flatten().dictionary_encode()
-        known = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self._learn(known)
-        parts = [*map(self._known.__getitem__, known),
-                 *(self._ids(t if whole else t.split(" ", 1)[0]).tobytes() for t, whole in zip(rows, stray, strict=True)),
-                 np.asarray([end_id], "<u4").tobytes()]
-        number = chunks.indices.to_numpy().astype(np.int64)
-        number[offsets[:-1]] = len(known) + np.arange(len(rows))
-        number = np.insert(number, offsets[1:], len(parts) - 1)
-        taken = pa.array(parts, pa.large_binary()).take(pa.array(number))
-        _, ends, ids = taken.buffers()
-        ends = np.frombuffer(ends, np.int64)[offsets + np.arange(len(offsets))] // 4
+        text is a list of numbered parts: its pieces and the end, or all of it with
+        the end, if it can't be cut."""
+        whole = pa.compute.match_substring_regex(texts, self._whole)
+        end = np.asarray([end_id], "<u4").tobytes()
+        rest = [self._ids(t).tobytes() + end for t in texts.filter(whole).to_pylist()]
+        texts = pa.compute.if_else(whole, "", texts)
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(data or b"", np.uint8)[offsets[0]:offsets[-1]]
+        offsets = offsets - offsets[0]
+        starts = _piece_starts(data, offsets[offsets < len(data)]).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [
+            None, pa.py_buffer(np.append(starts, np.int32(len(data)))), pa.py_buffer(data)]).dictionary_encode()
+        parts = self._ids_of(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        closing = np.full(len(texts), len(parts))
+        closing[whole.to_numpy(zero_copy_only=False)] += 1 + np.arange(len(rest))
+        ends = np.searchsorted(starts, offsets[1:])
+        number = np.insert(pieces.indices.to_numpy().astype(np.int64), ends, closing)
+        taken = pa.array([*parts, end, *rest], pa.large_binary()).take(pa.array(number))
+        _, places, ids = taken.buffers()
+        ends = np.frombuffer(places, np.int64)[np.append(0, ends + 1 + np.arange(len(ends)))] // 4
         return np.frombuffer(ids, "<u4", ends[-1]), np.diff(ends)
 
 

@@ -191,6 +191,31 @@ def test_id_encoder_equals_the_library(monkeypatch):
     assert got == want
 
 
+def test_id_encoder_of_blanks_and_signs(monkeypatch):
+    """Blanks of all sorts before, between and after words, digits and signs."""
+    monkeypatch.setattr(token_files, "CACHE_ENTRIES", 50)
+    rng, library = random.Random(7), Tokenizer.from_file(BYTE)
+    parts = [" ", "  ", "\n", "\r\n", "\t", "\x0b", "\x0c", "\x1c", "\x85", "\u2003", "\u3000", "\u200b", "ab", "Ω", "7",
+             "²", "Ⅷ", ".", "--", "'", "'ll", "<|", "endoftext", "|>", "\x7f", "\U0001f642"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(5000)]
+    encoder, got = token_files.IdEncoder(BYTE), []
+    for first in range(0, len(texts), 83):
+        ids, sizes = encoder.encode(pa.array(texts[first:first + 83]), 2)
+        got += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_id_encoder_asks_for_a_word_once_whatever_stands_beside_it():
+    encoder, asked = token_files.IdEncoder(BYTE), []
+    library = encoder._encode
+    encoder._encode = lambda texts, **how: (asked.extend(texts), library(texts, **how))[1]
+    encoder.encode(pa.array(["One two three four", "\tOne two"]), 2)
+    assert "three" in "".join(asked)
+    asked.clear()
+    encoder.encode(pa.array(["One three, four. two; 5 two\nOne two!\n\n  three four\t\n"]), 2)
+    assert asked and not any(c.isalpha() for c in "".join(asked))
+
+
 def test_token_file_layout(spark, real):
     import pyarrow.parquet as pq
     from glob import glob
